@@ -7,11 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Query and the module that has it.
 _OPERATORS = {
+    "op3_html_extraction": "html_extraction",
+    "op6_language_id": "language_id",
     "op7_quality_rules": "quality_rules",
     "op8_bpe_codec": "bpe_codec",
+    "op9_url_filters": "url_filters",
 }
 
+#: Those whose module has ``oracle()``.
+_WITH_SQL = ("op9_url_filters",)
+
 
 def _lazy(module: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: importlib.import_module(f"{__package__}.{_OPERATORS[name]}").oracle() for name in _WITH_SQL}

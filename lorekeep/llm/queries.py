@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query and the module that has it.
 _OPERATORS = {
     "op3_html_extraction": "html_extraction",
+    "op5_source_mixing": "source_mixing",
     "op6_language_id": "language_id",
     "op7_quality_rules": "quality_rules",
     "op8_bpe_codec": "bpe_codec",
@@ -17,7 +18,7 @@ _OPERATORS = {
 }
 
 #: Those whose module has ``oracle()``.
-_WITH_SQL = ("op9_url_filters",)
+_WITH_SQL = ("op5_source_mixing", "op9_url_filters",)
 
 
 def _lazy(module: str, name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query and the module that has it.
 _OPERATORS = {
+    "op1_fingerprints": "fingerprints",
     "op3_html_extraction": "html_extraction",
     "op5_source_mixing": "source_mixing",
     "op6_language_id": "language_id",

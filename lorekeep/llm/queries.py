@@ -16,6 +16,7 @@ _OPERATORS = {
     "op7_quality_rules": "quality_rules",
     "op8_bpe_codec": "bpe_codec",
     "op9_url_filters": "url_filters",
+    "op10_ngram_jaccard_join": "shingle_join",
 }
 
 #: Those whose module has ``oracle()``.

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _OPERATORS = {
     "op1_fingerprints": "fingerprints",
     "op3_html_extraction": "html_extraction",
+    "op4_line_dedup": "line_dedup",
     "op5_source_mixing": "source_mixing",
     "op6_language_id": "language_id",
     "op7_quality_rules": "quality_rules",

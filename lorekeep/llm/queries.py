@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query and the module that has it.
 _OPERATORS = {
     "op1_fingerprints": "fingerprints",
+    "op2_suffix_array_dedup": "suffix_dedup",
     "op3_html_extraction": "html_extraction",
     "op4_line_dedup": "line_dedup",
     "op5_source_mixing": "source_mixing",

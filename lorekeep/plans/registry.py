@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..functions import text as T
 from ..operators import evaluate, fusion, graph, links, maintenance, predicates, reports, retrieval
 from ..sources import scans
 from . import bases, dql
@@ -211,7 +212,7 @@ def _(spark, d):
     return retrieval.search_text(table(spark, d, "documents"), "license public", "any", 40, key="doc_id", body="text").select("doc_id", "score")
 
 
-_STOPS = ", ".join(f"'{w}'" for w in __import__("lorekeep.functions.text", fromlist=["STOP_WORDS"]).STOP_WORDS)
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _TF = f"""tok AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}_-]*'), lambda t: length(t) BETWEEN 2 AND 40 AND t NOT IN ({_STOPS}))) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM documents), df AS (SELECT term, count(*) AS df, ln(1 + (SELECT n FROM n) / (1 + count(*))) AS idf FROM tf GROUP BY term),
 w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w, idf FROM tf JOIN df USING (term)), norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)"""
@@ -233,17 +234,16 @@ st AS (SELECT count(*)::DOUBLE AS N, avg(length) AS avg FROM len), tf AS (SELECT
 sc AS (SELECT tf.*, length, N, avg, count(*) FILTER (WHERE a > 0) OVER () AS na, count(*) FILTER (WHERE b > 0) OVER () AS nb FROM tf JOIN len USING (doc_id), st),
 id AS (SELECT *, CASE WHEN ln((N - na + 0.5) / (na + 0.5)) > 0 THEN ln((N - na + 0.5) / (na + 0.5)) ELSE 1e-6 END AS ia, CASE WHEN ln((N - nb + 0.5) / (nb + 0.5)) > 0 THEN ln((N - nb + 0.5) / (nb + 0.5)) ELSE 1e-6 END AS ib FROM sc)
 SELECT doc_id, round(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * length / avg)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * length / avg)), 6) AS score FROM id WHERE a > 0 AND b > 0"""
-_T = __import__("lorekeep.functions.text", fromlist=["MARKED"])
 
 
-@query("bm25_query", "WITH " + _FTS % (_T.MARKED, _T.PLAIN))
+@query("bm25_query", "WITH " + _FTS % (T.MARKED, T.PLAIN))
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     postings, lengths = retrieval.bm25_index(docs, ("doc_id",), ("content",))
     return retrieval.bm25_search(postings, lengths, "license public", 1_000_000, ("doc_id",)).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("bm25_phrase", "WITH " + _FTS.split("st AS")[0] % (_T.MARKED, _T.PLAIN) + "x AS (SELECT doc_id, len(regexp_extract_all(' ' || array_to_string(t, '  ') || ' ', ' general  public ')) AS tf FROM tk) SELECT doc_id FROM x WHERE tf > 0")
+@query("bm25_phrase", "WITH " + _FTS.split("st AS")[0] % (T.MARKED, T.PLAIN) + "x AS (SELECT doc_id, len(regexp_extract_all(' ' || array_to_string(t, '  ') || ' ', ' general  public ')) AS tf FROM tk) SELECT doc_id FROM x WHERE tf > 0")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     postings, lengths = retrieval.bm25_index(docs, ("doc_id",), ("content",))
@@ -478,7 +478,7 @@ def _(spark, d):
     return chunk_rows(parsed(files)).select("path", "chunk_index", "line_start", "line_end", F.length("text").alias("size"))
 
 
-@query("chat_islands", "SELECT conv_id, turn::BIGINT AS turn, role, trim(text) AS content FROM conversations")
+@query("chat_islands", "SELECT conv_id, turn::BIGINT AS turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content FROM conversations")
 def _(spark, d):
     from ..sources.markdown import chat_messages
 

@@ -336,4 +336,4 @@ def chat_messages(lines: DataFrame) -> DataFrame:
         F.max(F.when(F.col("is_message"), head)).alias("role"), F.max(F.when(F.col("is_message"), F.trim(F.regexp_extract("text", r"^###\s+(\S+)\s+·\s+(.+)$", 2)))).alias("timestamp"),
         F.min("line").alias("line_start"), F.max("line").alias("line_end"), F.sort_array(F.collect_list(F.when(~F.col("is_message") & ~F.col("is_title"), F.struct("line", "text")))).alias("rest"),
     )
-    return grouped.where("role is not null").select("path", "thread", "thread_title", "role", "timestamp", "line_start", "line_end", F.trim(F.array_join(F.col("rest")["text"], "\n")).alias("content"))
+    return grouped.where("role is not null").select("path", "thread", "thread_title", "role", "timestamp", "line_start", "line_end", F.regexp_replace(F.array_join(F.col("rest")["text"], "\n"), r"^\s+|\s+$", "").alias("content"))

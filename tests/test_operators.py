@@ -170,3 +170,23 @@ def test_scalars(spark):
     df = spark.createDataFrame([("aaa a\nb", [1.0, 0.0], [])], "t string, v array<double>, e array<double>")
     r = df.select(X.overlapping_count(F.col("t"), "aa").alias("o"), X.literal_count(F.col("t"), "aa").alias("l"), X.word_count(F.col("t")).alias("w"), X.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("j"), X.round_half_up(F.lit(-0.5), 0).alias("r"), X.dequantise(X.quantise(F.col("v"))).alias("d"), X.ngrams(F.lit("abcd"), 3).alias("g")).first()
     assert (r.o, r.l, r.w, r.j, r.r, r.d, r.g) == (2, 1, 3, 0.0, 0.0, [1.0, 0.0], ["abc", "bcd"])
+
+
+def test_hybrid_search_and_context_pack(spark, notes):
+    from lorekeep.plans import search
+
+    vectors = spark.createDataFrame([(1, "a/One.md", 0, [1.0, 0.0]), (2, "b/Two.md", 0, [0.0, 1.0])], "id long, path string, chunk_index int, vector array<double>")
+    resolved = links.resolve(M.link_table(notes), notes)
+    corpus = search.Corpus(notes, links.edges(resolved), M.chunk_rows(notes), vectors=vectors, embed=lambda text: [0.0, 1.0] if "alone" in text else [1.0, 0.0]).with_indexes()
+    for name in ("edges", "chunks", "postings", "lengths", "tfidf", "terms"):
+        setattr(corpus, name, getattr(corpus, name).cache())
+    got = search.hybrid(corpus, "alone", search.Options(limit=3, now=datetime(2024, 1, 4)))
+    assert got.signals == ["bm25", "tfidf", "vector"] and got.hits.first().id == "b/Two.md" and not got.errors
+    assert [r.id for r in search.hybrid(corpus, "alone", search.Options(fields={"status": "open"})).hits.collect()] == []
+    assert search.hybrid_multi(corpus, ["alone", "hello world"], search.Options(limit=2)).hits.count() == 2
+    pack = search.context_pack(corpus, "alone", budget_tokens=200, options=search.Options(limit=2))
+    assert pack["notes"][0] == "b/Two.md" and "### b/Two.md" in pack["text"]
+    assert search.resolve_target(notes, path="a/one") == {"path": "a/One.md"} and search.resolve_target(notes, title="Two")["path"] == "a/Two.md"
+    assert search.resolve_target(notes, title="Thre")["suggestions"] == ["b/Three.md"]
+    with pytest.raises(ValueError):
+        search.resolve_target(notes, title="Two", strict=True)

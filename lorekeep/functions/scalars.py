@@ -118,8 +118,9 @@ def json_kind(j: Column) -> Column:
     return F.when(j.isNull(), None).when(c == '"', "string").when(c == "[", "list").when(c == "{", "map").when(c.isin("t", "f"), "boolean").when(c == "n", "null").otherwise("number")
 
 
-def note_uri(vault: str, path: Column) -> Column:
-    return F.concat(F.lit(f"obsidian://open?vault={vault}&file="), F.regexp_replace(F.url_encode(path), r"\+", "%20"))
+def note_uri(base: str, path: Column) -> Column:
+    """Address of a note for an editor: ``base`` ends where the encoded path begins."""
+    return F.concat(F.lit(base), F.regexp_replace(F.url_encode(path), r"\+", "%20"))
 
 
 def page_range(first: Column, last: Column, pages: Column, most: int = 500) -> Column:

@@ -41,6 +41,16 @@ def collection_stats(notes: DataFrame, now: Column, body: str = "body") -> DataF
     )
 
 
+def link_stats(notes: DataFrame, resolved: DataFrame, tags: DataFrame, top: int = 10) -> dict[str, DataFrame]:
+    """Orphans, broken links and distinct tags as one row each, and the commonest tags (each spelling of a note counts)."""
+    from .links import orphans
+
+    return {
+        "orphans": orphans(notes, resolved).agg(F.count(F.lit(1)).alias("n")), "broken": resolved.where("resolved is null and kind <> 'embed'").agg(F.count(F.lit(1)).alias("n")), "tags": tags.agg(F.count_distinct("tag_folded").alias("n")),
+        "top_tags": tags.select("path", "tag", "tag_folded").distinct().groupBy("tag_folded").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "tag_folded").limit(top),
+    }
+
+
 def list_notes(notes: DataFrame, tag: str | None = None, since: Column | None = None, folder: str | None = None, limit: int = 50) -> DataFrame:
     rows = notes.where(in_folder(F.col("path"), folder))
     if tag:

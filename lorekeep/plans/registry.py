@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import text as T
-from ..operators import evaluate, fusion, graph, links, maintenance, predicates, reports, retrieval
+from ..operators import chunks, evaluate, fusion, graph, links, maintenance, predicates, reports, retrieval
 from ..sources import scans
 from . import bases, dql
 
@@ -469,6 +469,24 @@ def _(spark, d):
     return rows.select("doc_id", "chunk_index", F.md5(F.concat_ws("\n", tail, "t", head)).alias("context"))
 
 
+@query("embed_text", "WITH l AS (SELECT doc_id AS path, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS t FROM documents), c AS (SELECT path, i, t, regexp_replace(right(lag(t) OVER w, 200), '^[^ ]* ', '') AS tail, regexp_replace(left(lead(t) OVER w, 200), ' [^ ]*$', '') AS head, greatest(512, least(8000, floor(512000 / count(*) OVER (PARTITION BY path)))) AS b FROM l WINDOW w AS (PARTITION BY path ORDER BY i)) SELECT path, i::INTEGER AS chunk_index, md5(CASE WHEN length(concat_ws(chr(10), tail, t, head)) <= b THEN concat_ws(chr(10), tail, t, head) WHEN length(t) <= b THEN t ELSE left(t, b::INTEGER) END) AS embed_md5 FROM c")
+def _(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.posexplode(X.lines(F.col("text"))).alias("chunk_index", "text"))
+    return chunks.embed_text(rows, 200, title=None).select("path", "chunk_index", F.md5("embed_text").alias("embed_md5"))
+
+
+@query("marked_snippets")
+def _(spark, d):
+    return table(spark, d, "documents").where(F.lower("text").contains("license")).select("doc_id", chunks.marked_snippet(F.col("text"), ["license", "public"]).alias("snippet"))
+
+
+@query("tag_top", "SELECT tag_folded, count(*) AS count FROM (SELECT doc_id, lang AS tag_folded FROM documents UNION SELECT doc_id, source FROM documents) GROUP BY 1 ORDER BY count DESC, tag_folded LIMIT 10")
+def _(spark, d):
+    t = _tags(spark, d).withColumn("tag", F.col("tag_folded"))
+    none = t.select("path", F.lit(None).cast("string").alias("resolved"), F.lit("wikilink").alias("kind")).limit(0)
+    return reports.link_stats(t.select("path"), none, t)["top_tags"]
+
+
 @query("chunker")
 def _(spark, d):
     from ..sources.markdown import chunk_rows

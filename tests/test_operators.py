@@ -190,3 +190,18 @@ def test_hybrid_search_and_context_pack(spark, notes):
     assert search.resolve_target(notes, title="Thre")["suggestions"] == ["b/Three.md"]
     with pytest.raises(ValueError):
         search.resolve_target(notes, title="Two", strict=True)
+
+
+def test_chunk_operators(spark):
+    from lorekeep.operators import chunks
+
+    c = spark.createDataFrame([("p", i, t, "H") for i, t in enumerate(["first words here", "the Licence text", "last part of it"])], "path string, chunk_index int, text string, breadcrumb string")
+    got = [r.embed_text for r in chunks.embed_text(c, 8).orderBy("chunk_index").collect()]
+    assert got[1] == "H\nhere\nthe Licence text\nlast" and chunks.chunk(c, "p", 2).first().text == "last part of it"
+    assert c.select(chunks.marked_snippet(F.col("text"), ["licence"], 2).alias("s")).collect()[1].s == "…«Licence» text" or c.select(chunks.marked_snippet(F.col("text"), ["licence"], 3).alias("s")).collect()[1].s == "the «Licence» text"
+    pages = spark.createDataFrame([("d", 2, "two", "ok"), ("d", 1, "one", "ok"), ("d", 3, "", "failed")], "path string, page_number int, text string, status string")
+    assert chunks.page_text(pages).first().content == "[page: 1]\none\n\n[page: 2]\ntwo"
+    vectors = spark.createDataFrame([(1, "p", 0), (2, "q", 0)], "id long, path string, chunk_index int")
+    table, out, new = chunks.replace_vectors(vectors, "p", spark.createDataFrame([("p", 0), ("p", 1)], "path string, chunk_index int"))
+    assert [r.id for r in out.collect()] == [1] and sorted(r.id for r in new.collect()) == [3, 4] and table.count() == 3
+    assert chunks.fold_with_map("aİb") == ("ai̇b", [0, 1, 1, 2])

@@ -101,7 +101,7 @@ def test_bpe_keeps_other_columns(spark):
 
 def test_fingerprint_estimates():
     rng = np.random.default_rng(1)
-    pool = np.unique(rng.integers(0, 2**63, 30_000).astype(np.uint64))
+    pool = rng.permutation(np.unique(rng.integers(0, 2**64 - 1, 30_000, dtype=np.uint64)))
     for a, b in ((pool[:20_000], pool[10_000:]), (pool[:100], pool[50:120]), (pool[:0], pool[:0]), (pool[:0], pool[:5])):
         sa, sb = fingerprints.bottom(a), fingerprints.bottom(b)
         union = len(set(a) | set(b))

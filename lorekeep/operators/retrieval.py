@@ -95,7 +95,7 @@ def bm25_search(postings: DataFrame, lengths: DataFrame, query: str, limit: int
     for number, phrase in enumerate(phrases):
         rows = found.where(F.col("term") == phrase[0]).select(*key, "column", F.col("positions").alias("at"))
         for offset, word in enumerate(phrase[1:], 1):
-            nxt = found.where(F.col("term") == word).select(*key, "column", F.transform("positions", lambda p, o=offset: p - o).alias("next"))
+            nxt = found.where(F.col("term") == word).select(*key, "column", _back(F.col("positions"), offset).alias("next"))
             rows = rows.join(nxt, [*key, "column"]).select(*key, "column", F.array_intersect("at", "next").alias("at")).where(F.size("at") > 0)
         weight = F.element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), F.col("column"))
         tf = rows.groupBy(*key).agg(F.sum(weight * F.size("at")).alias("tf")).withColumn("phrase", F.lit(number))
@@ -111,6 +111,10 @@ def bm25_search(postings: DataFrame, lengths: DataFrame, query: str, limit: int
     return total.select(*key, "score").orderBy(F.desc("score"), *key).limit(limit)
 
 
+def _back(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
 def fill_with_parts(hits: DataFrame, chunks: DataFrame, query: str, limit: int, key: tuple[str, ...] = ("path", "chunk_index")) -> DataFrame:
     """Slots that are left go, at score 0, to chunks whose identifier parts hold all words."""
     words = [w for p in fts_query(query) for w in p]

@@ -94,7 +94,7 @@ def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
 
 def stage_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it; rows that repeat a doc_id are taken alike."""
-    counts = mix(docs, word_count()).groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "mixed_id")
+    counts = mix(docs, word_count()).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).cast("int").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "mixed_id")
     columns = docs.columns
     joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["mixed_id"]))
     return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in columns])

@@ -6,18 +6,21 @@ A document's set holds its distinct five-word shingles; two documents link when
 * Tokens have one global order: those that occur in many documents come last, the rest by hash.  Two
   sets that link share a token among the first ``n - ceil(0.75 n) + 1`` of both, so only these
   prefixes are indexed, with the position of the token and the size of the set.
-* Index-level skipping.  A list entry is passed over when its position and size leave too few tokens
-  for the overlap that is needed, and tokens that only one distinct text has never enter the index.
-* Answer-level skipping.  In each list every member is first compared with one leader.  Members that
-  link with it (or with each other through other lists) are one component and are not compared again.
+* Index-level skipping.  Tokens that only one distinct text has never enter the index.  Entries of a list
+  are passed over in blocks of a component when their sizes cannot fit, and a pair is passed over when its
+  prefixes share fewer tokens than a pair with the overlap that is needed must: at most ``n - overlap``
+  tokens of either can stand before a common one, which bounds the positions that count.
+* Answer-level skipping.  In each list every member is first compared with one leader, the member with
+  the fewest tokens of its own.  Members that link with it (or with each other through other lists) are one
+  component and are not compared again.  Two members of a list always have its leader in common.
   For members of different components the answers already computed for the leader bound theirs:
   one minus the Jaccard similarity is a distance, so ``|d(a, leader) - d(b, leader)| > 0.25`` rules the
   link out.  Only pairs that remain are verified on the whole texts.
 
 Texts that are equal are one node from the start.  All steps are grouped aggregates and equi-joins that
-Spark can split; there is no list of a key's rows and no pair of two members of one component.  The set of
-frequent tokens that is broadcast holds at most ``1 / FREQUENT`` times the mean set size of numbers,
-whatever the size of the input.
+Spark can split; there is no list of a key's rows and no pair of two members of one component.  Which
+tokens are frequent is told by a bitmap of ``MAP_BITS`` bits, whatever the size of the input: a token whose
+bit another one has set merely comes later in the order, which stays the same for all sets.
 
 Defined results: a null text or one without words has an empty set and links with nothing; with fewer
 than five words the whole sequence is the one shingle; rows that share a doc_id are one node; a row
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -40,10 +43,10 @@ from .shared import stored, table
 
 SHINGLE = 5
 PERCENT = 75
-#: Share of the documents from which on a token counts as frequent.
-FREQUENT = 1e-3
-#: Tokens that a task counts at a time, and how often one must occur there to be reported.
-COUNTED, REPORTED = 4_000_000, 4
+#: Tokens that a task counts at a time, how often one must occur there to be reported, and in all to be frequent.
+COUNTED, REPORTED, FREQUENT = 4_000_000, 2, 8
+MAP_BITS = 1 << 25
+PAGE_BITS = 32768  # of Spark's bitmap functions
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,44 +76,45 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The tokens to index, in the global order, of an ascending set."""
+    """The tokens to index, in the global order, of an ascending set; ``frequent`` is a bitmap over their first 25 bits."""
     n = len(tokens)
     size = n - (percent * n + 99) // 100 + 1
     if n and len(frequent):
-        at = np.searchsorted(frequent, tokens)
-        often = frequent[np.minimum(at, len(frequent) - 1)] == tokens
+        bit = tokens >> K.U64(39)
+        often = (frequent[bit >> K.U64(3)] >> (bit & K.U64(7)).astype(np.uint8)) & 1 == 1
         if often.any():
             tokens = np.concatenate([tokens[~often], tokens[often]])
     return tokens[:size] if n else tokens
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(token, id, n, pos) of the indexed tokens; a text that a batch holds twice is indexed once."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def postings(docs: DataFrame, frequent: np.ndarray, repeated: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(token, id, m) of the indexed tokens; m is twice the set size, plus 1 if the text may have copies (a bit of ``repeated`` is set).
+
+    A text that a batch holds twice is indexed once."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        often, again = shared.value
         for whole in batches:
             seen: set[tuple[int, int]] = set()
-            keys = list(zip(whole.column("h1").to_pylist(), whole.column("h2").to_pylist(), strict=True))
+            h1 = whole.column("h1").to_numpy()
+            bit = h1.view(np.uint64) >> K.U64(39)
+            copied = ((again[bit >> K.U64(3)] >> (bit & K.U64(7)).astype(np.uint8)) & 1).astype(np.int64)
+            keys = list(zip(h1.tolist(), whole.column("h2").to_pylist(), strict=True))
             for at in range(0, len(whole), 1024):
                 b = whole.slice(at, 1024)
                 ids, sizes, firsts = [], [], []
-                for doc_id, key, s in zip(b.column("doc_id").to_pylist(), keys[at : at + 1024], K.shingle_sets(b.column("text"), SHINGLE), strict=True):
-                    if len(s) and key not in seen:
-                        seen.add(key)
+                for k, (doc_id, s) in enumerate(zip(b.column("doc_id").to_pylist(), K.shingle_sets(b.column("text"), SHINGLE), strict=True), at):
+                    if len(s) and keys[k] not in seen:
+                        seen.add(keys[k])
                         ids.append(doc_id)
-                        sizes.append(len(s))
+                        sizes.append(2 * len(s) + int(copied[k]))
                         firsts.append(prefix(s, often, percent))
                 if firsts:
                     counts = np.array([len(f) for f in firsts])
-                    pos = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(ids, dtype=np.int64), counts)),
-                        pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)), pa.array(pos.astype(np.int32)),
-                    ], names=["token", "id", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(ids, dtype=np.int64), counts)), pa.array(np.repeat(np.array(sizes, dtype=np.int64), counts))], names=["token", "id", "m"])
 
-    return docs.select("doc_id", "h1", "h2", "text").mapInArrow(run, "token long, id long, n int, pos int")
+    return docs.select("doc_id", "h1", "h2", "text").mapInArrow(run, "token long, id long, m long")
 
 
 def _verify(percent: int):
@@ -131,17 +135,35 @@ def _verify(percent: int):
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, d, linked) of each pair of nodes, from their whole texts."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    nodes = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct())
     own = stored(texts.join(nodes, "id", "left_semi"), "pair-texts")
     with_a = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long, d double, linked boolean")
 
 
-def _possible(percent: int) -> Column:
-    """Whether sizes and positions of a shared token (columns na, pa, nb, pb) leave room for a link."""
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    return (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+def _shared_prefix(percent: int, na: str = "na", nb: str = "nb") -> Column:
+    """Tokens that the indexed prefixes of linked sets of these sizes must share."""
+    overlap = F.ceil(F.lit(percent) * (F.col(na) + F.col(nb)) / F.lit(100 + percent))
+
+    def room(n: str) -> Column:  # prefix length less the tokens that may stand before a common one
+        return F.col(n) - F.ceil(F.lit(percent) * F.col(n) / 100) + 1 - (F.col(n) - overlap)
+
+    return F.greatest(F.lit(1), F.least(room(na), room(nb)))
+
+
+def _fit(percent: int) -> Column:
+    return (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+
+
+def _bitmap(tokens: DataFrame) -> np.ndarray:
+    """The bitmap of the first 25 bits of a column ``token``: MAP_BITS / 8 bytes, built by grouped aggregates."""
+    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    bit = tokens.select(F.shiftrightunsigned("token", 39).alias("bit"))
+    pages = bit.groupBy((F.col("bit") / PAGE_BITS).cast("int").alias("page")).agg(F.bitmap_construct_agg((F.col("bit") % PAGE_BITS).cast("long")).alias("bits"))
+    for r in pages.toLocalIterator():
+        out[r.page * PAGE_BITS // 8 : (r.page + 1) * PAGE_BITS // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -150,42 +172,56 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame,
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(7))})
     survey = stored(keyed.mapInArrow(_survey, "doc_id long, h1 long, h2 long, token long, n long"), "survey")
     sizes = survey.where("token is null").select("doc_id", "h1", "h2", "n")
-    least = max(2 * REPORTED, int(FREQUENT * sizes.count()))
-    often = survey.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token").toArrow()["token"].to_numpy()
-    frequent = np.sort(often.view(np.uint64)) if len(often) else np.zeros(0, np.uint64)
     # Equal texts: one node, the smallest doc_id.
     same = sizes.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node < last")
     copies = stored(sizes.join(same.select("h1", "h2", "node"), ["h1", "h2"]).where("doc_id is not null").select("doc_id", "node").distinct(), "copies")
 
-    rows = postings(keyed.where("doc_id is not null"), frequent, percent)
+    often = survey.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = postings(keyed.where("doc_id is not null"), _bitmap(often), _bitmap(same.select(F.col("h1").alias("token"))), percent)
     twice = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    lists = rows.join(twice, "token", "left_semi")
-    lists = lists.join(copies.withColumnRenamed("doc_id", "id"), "id", "left").select("token", F.coalesce("node", "id").alias("id"), "n", "pos")
-    lists = stored(lists.distinct(), "lists")
-
-    leaders = lists.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("token", "lead")
-    led = lists.join(leaders, "token")
-    pairs = stored(led.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    found = stored(rows.join(twice, "token", "left_semi"), "found")
+    # Only rows of texts that may have copies need the look-up of their node.
+    moved = found.where("m % 2 = 1").join(copies.withColumnRenamed("doc_id", "id"), "id", "left").select("token", F.coalesce("node", "id").alias("id"), "m").distinct()
+    every = found.where("m % 2 = 0").unionByName(moved).select("token", "id", F.shiftright("m", 1).alias("n"))
+    lists = stored(every.withColumn("t", F.count(F.lit(1)).over(Window.partitionBy("id"))), "lists")
+
+    # Leader of a list: the member with the largest share of its prefix in the index, which is the least edited of near copies.
+    private = 1 - F.col("t") / (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1) + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * 1e-12
+    leaders = lists.groupBy("token").agg(F.min_by("id", private).alias("lead"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token", "lead")
+    # (lead, id): in how many lists of this leader the member stands, and under how many leaders; the leader is a member too.
+    under = lists.join(leaders, "token").groupBy("lead", "id").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"), F.max("t").alias("t"))
+    under = stored(under.withColumn("leads", F.count(F.lit(1)).over(Window.partitionBy("id"))), "under")
+    led = under.where("id <> lead").withColumnRenamed("n", "nb").join(under.where("id = lead").select("lead", F.col("n").alias("na")), "lead")
+    # A member that shares few of its tokens under this leader is left to the second step.
+    pairs = stored(led.where(_fit(percent) & (2 * F.col("shared") >= _shared_prefix(percent))).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
     node_texts = keyed.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     answers = stored(verified(pairs, node_texts, percent), "answers")
     linked = answers.where("linked").select("a", "b")
     labels = components(linked)
 
-    # Lists whose members are still in several components: the leader's answers rule out most of the rest.
-    members = led.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = members.join(answers.select(F.col("a").alias("lead"), F.col("b").alias("id"), "d"), ["lead", "id"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    parts = members.groupBy("token", "component").agg(F.min("d").alias("near"), F.max("d").alias("far"))
-    open_lists = parts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    members = stored(members.join(open_lists, "token", "left_semi").select("token", "id", "n", "pos", "component", "d"), "members")
-    parts = members.groupBy("token", "component").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.col("n") - F.col("pos")).alias("room"))
-    x, y = parts.alias("x"), parts.alias("y")
-    apart = (F.col("x.component") < F.col("y.component")) & (F.col("x.near") - F.col("y.far") <= reach) & (F.col("y.near") - F.col("x.far") <= reach)
-    fitting = (100 * F.col("x.large") >= percent * F.col("y.small")) & (100 * F.col("y.large") >= percent * F.col("x.small")) & ((100 + percent) * F.least("x.room", "y.room") >= percent * (F.col("x.small") + F.col("y.small")))
-    between = x.join(y, F.col("x.token") == F.col("y.token")).where(apart & fitting).select(F.col("x.token").alias("token"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
-    left = members.select("token", F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("d").alias("da"))
-    right = members.select("token", F.col("component").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("d").alias("db"))
-    more = between.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where((F.abs(F.col("da") - F.col("db")) <= reach) & _possible(percent))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    # Two members of a list share its leader.  Leaders whose members are in several components are looked at again;
+    # the leader's answers, the sizes and the numbers of shared tokens rule out most of what is left.
+    known = answers.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
+    members = under.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_leads = members.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("lead")
+    members = members.join(open_leads, "lead", "left_semi").withColumns({"a": F.least("lead", "id"), "b": F.greatest("lead", "id")}).join(known, ["a", "b"], "left")
+    # Distance from the leader: known, or anything from 0 to 1.
+    members = members.withColumn("d", F.when(F.col("id") == F.col("lead"), F.lit(0.0)).otherwise(F.col("d")))
+    members = stored(members.select("lead", "id", "n", "t", "shared", "leads", "component", F.coalesce("d", F.lit(0.0)).alias("least"), F.coalesce("d", F.lit(1.0)).alias("most")), "members")
+    parts = members.groupBy("lead", "component").agg(F.min("least").alias("near"), F.max("most").alias("far"), F.min("n").alias("small"), F.max("n").alias("large"), F.max("t").alias("t"))
+    x, y = [parts.select("lead", *[F.col(c).alias(f"{c}_{side}") for c in ("component", "near", "far", "small", "large", "t")]) for side in "xy"]
+    apart = (F.col("component_x") < F.col("component_y")) & (F.col("near_x") - F.col("far_y") <= reach) & (F.col("near_y") - F.col("far_x") <= reach)
+    fitting = (100 * F.col("large_x") >= percent * F.col("small_y")) & (100 * F.col("large_y") >= percent * F.col("small_x"))
+    single = (F.col("small_x") == F.col("large_x")) & (F.col("small_y") == F.col("large_y"))
+    enough = ~single | (_shared_prefix(percent, "small_x", "small_y") <= F.least("t_x", "t_y"))
+    between = x.join(y, "lead").where(apart & fitting & enough).select("lead", F.col("component_x").alias("ca"), F.col("component_y").alias("cb"))
+    side = lambda c, k: members.select("lead", F.col("component").alias(c), F.col("id").alias(k), *[F.col(v).alias(v + k) for v in ("n", "t", "shared", "leads", "least", "most")])
+    met = between.join(side("ca", "a"), ["lead", "ca"]).join(side("cb", "b"), ["lead", "cb"])
+    # Under a leader two members share at most as many tokens as the one with fewer has; some leader of theirs must give an even part of what is needed.
+    part = F.least("shareda", "sharedb") * F.least("leadsa", "leadsb")
+    met = met.where(_fit(percent) & (_shared_prefix(percent) <= F.least("ta", "tb", part)) & (F.col("leasta") - F.col("mostb") <= reach) & (F.col("leastb") - F.col("mosta") <= reach))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = met.join(pairs, ["a", "b"], "left_anti")
     more = stored(more, "more-pairs")
     if more.limit(1).count():
         second = stored(verified(more, node_texts, percent), "more-answers")

@@ -95,7 +95,7 @@ def _suffixes(min_words: int):
 
 
 def _frames(min_words: int):
-    """All frames of ``min_words`` words that hold a matched suffix's first words."""
+    """All frames of ``min_words`` words that hold a matched suffix's first words; ``bounds`` packs where a frame begins and ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = min_words - GRAM
@@ -132,8 +132,8 @@ def _frames(min_words: int):
                     base = points[off[row]]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(ids[lo + row]), pa.array((start - ptr[row]).astype(np.int32)),
-                        pa.array((points[ws[start]] - base).astype(np.int64)), pa.array((points[we[start + min_words - 1]] - base).astype(np.int64)),
-                    ], names=["f1", "f2", "doc_id", "word", "begin", "finish"])
+                        pa.array(((points[ws[start]] - base) << 32) | (points[we[start + min_words - 1]] - base)),
+                    ], names=["f1", "f2", "doc_id", "word", "bounds"])
 
     return run
 
@@ -160,9 +160,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     suffixes = keyed.mapInArrow(_suffixes(min_words), "h long, doc_id long, place int")
     shared = suffixes.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
     matched = suffixes.join(shared, "h", "left_semi").join(others, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    frames = stored(keyed.join(matched, "doc_id").mapInArrow(_frames(min_words), "f1 long, f2 long, doc_id long, word int, begin long, finish long"), "frames")
+    frames = stored(keyed.join(matched, "doc_id").mapInArrow(_frames(min_words), "f1 long, f2 long, doc_id long, word int, bounds long"), "frames")
     twice = frames.groupBy("f1", "f2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    hits = frames.join(twice, ["f1", "f2"])
+    hits = frames.join(twice, ["f1", "f2"]).withColumns({"begin": F.shiftright("bounds", 32), "finish": F.col("bounds").bitwiseAND(F.lit(0xFFFFFFFF))})
     # Frames of a document in the order of their places; a frame that begins behind all before it opens a new span.
     order = Window.partitionBy("doc_id").orderBy("word", "finish")
     opened = hits.withColumn("reach", F.max("word").over(order.rowsBetween(Window.unboundedPreceding, -1)))

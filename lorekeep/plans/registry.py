@@ -46,7 +46,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-NOW = F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
+def _now():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
 NOTES = """notes AS (SELECT d.doc_id, d.source || '/' || d.doc_id || '.md' AS path, 'note ' || d.doc_id AS title, d.doc_id % 1000 AS age, d.source AS folder, d.lang, d.text AS body, d.n_chars, l.quality, l.toxic
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
@@ -116,17 +121,17 @@ def _(spark, d):
 
 @query("list_notes", f"WITH {NOTES} SELECT path, title FROM notes WHERE lang = 'de' AND age <= 400 ORDER BY age, path LIMIT 50")
 def _(spark, d):
-    return reports.list_notes(notes(spark, d), tag="#DE", since=NOW - F.expr("interval 400 days")).drop("mtime")
+    return reports.list_notes(notes(spark, d), tag="#DE", since=_now() - F.expr("interval 400 days")).drop("mtime")
 
 
 @query("list_recent", f"WITH {NOTES} SELECT path FROM notes WHERE age <= 30 ORDER BY age, path LIMIT 20")
 def _(spark, d):
-    return reports.recent(notes(spark, d), NOW, minutes=30 * 1440).select("path")
+    return reports.recent(notes(spark, d), _now(), minutes=30 * 1440).select("path")
 
 
 @query("stale_notes", f"WITH {NOTES} SELECT path, age::INTEGER AS age_days FROM notes WHERE age >= 365 ORDER BY age DESC, path LIMIT 50")
 def _(spark, d):
-    return reports.stale(notes(spark, d), NOW)
+    return reports.stale(notes(spark, d), _now())
 
 
 @query("keyset_page", f"WITH {NOTES}, later AS (SELECT path FROM notes WHERE path > 'src12' ORDER BY path LIMIT 101) SELECT path, (SELECT count(*) FROM later) > 100 AS has_more FROM later ORDER BY path LIMIT 100")
@@ -167,7 +172,7 @@ def _(spark, d):
 
 @query("corpus_stats", f"WITH {NOTES} SELECT count(*) AS notes, sum(strlen(body))::BIGINT AS bytes, floor(avg(CASE WHEN trim(regexp_replace(body, '^\\s+|\\s+$', '', 'g')) = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), '\\s+')) END) + 0.5)::BIGINT AS mean_words, count(*) FILTER (WHERE age <= 7) AS modified_last_week FROM notes")
 def _(spark, d):
-    return reports.collection_stats(notes(spark, d), NOW).withColumn("mean_words", F.col("mean_words").cast("long"))
+    return reports.collection_stats(notes(spark, d), _now()).withColumn("mean_words", F.col("mean_words").cast("long"))
 
 
 @query("concept_phrases", """WITH RECURSIVE p AS (SELECT doc_id, regexp_extract_all(text, '\\b([A-Z][a-z][a-z]+(?:\\s+[A-Z][a-z][a-z]+){0,2})\\b', 1) AS found FROM documents),
@@ -195,8 +200,8 @@ def _(spark, d):
 
 @query("mtime_age", f"WITH {NOTES} SELECT path, age::INTEGER AS age_days, age >= 365 AS stale, round(365.0 / (365.0 + age), 6) AS recency FROM notes")
 def _(spark, d):
-    a = X.age_days(F.col("mtime"), NOW)
-    return notes(spark, d).select("path", a.alias("age_days"), X.is_stale(F.col("mtime"), NOW).alias("stale"), F.round(X.recency_score(a), 6).alias("recency"))
+    a = X.age_days(F.col("mtime"), _now())
+    return notes(spark, d).select("path", a.alias("age_days"), X.is_stale(F.col("mtime"), _now()).alias("stale"), F.round(X.recency_score(a), 6).alias("recency"))
 
 
 # ---- text retrieval --------------------------------------------------------------------------------------

@@ -15,7 +15,10 @@ before the shuffle and split hot values; no task gathers the suffixes of one val
 Result: one row for each maximal span of at least ``min_words`` words that occurs in two or more documents:
 doc_id, start and end (code points), n_words, first_doc_id (smallest document with an equal frame of the
 span), and is_first (this document is where every frame of the span occurs first).  Documents with equal
-texts are one document until the end; then each has its whole text as one span.
+texts are one document until the end; then each has its whole text as one span, whose first_doc_id and is_first
+tell of the whole text.  The first of them keeps its passages that other texts share: ``inside`` of its row lists
+their spans (start, end, n_words, first_doc_id, is_first as above, in the order of start; empty if there are none)
+and is null in all other rows, as a later copy is a repeat as a whole.
 
 Defined results: null, empty and shorter texts have no spans; rows with a null doc_id are left out;
 rows that share a doc_id are one document (its own repeats do not count); an empty table gives no rows;
@@ -167,12 +170,14 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("word", "finish")
     opened = hits.withColumn("reach", F.max("word").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     opened = opened.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("word") > F.col("reach") + min_words), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = opened.groupBy("doc_id", "island").agg(
+    spans = stored(opened.groupBy("doc_id", "island").agg(
         F.min("begin").alias("start"), F.max("finish").alias("end"), (F.max("word") - F.min("word") + min_words).cast("long").alias("n_words"), F.min("first_doc").alias("first_doc_id"),
         F.min(F.col("first_doc") == F.col("doc_id")).alias("is_first"),
-    )
-    partial = spans.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "start", "end", "n_words", "first_doc_id", "is_first")
-    whole = copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), "n_words", F.col("node").alias("first_doc_id"), (F.col("doc_id") == F.col("node")).alias("is_first"))
+    ), "spans")
+    inside = F.sort_array(F.collect_list(F.struct("start", "end", "n_words", "first_doc_id", "is_first")))
+    own = spans.join(copies.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(inside.alias("own"))
+    partial = spans.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "start", "end", "n_words", "first_doc_id", "is_first", F.lit(None).cast(own.schema["own"].dataType).alias("inside"))
+    whole = copies.join(own, "doc_id", "left").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), "n_words", F.col("node").alias("first_doc_id"), (F.col("doc_id") == F.col("node")).alias("is_first"), F.when(F.col("doc_id") == F.col("node"), F.coalesce("own", F.array())).alias("inside"))
     return partial.unionByName(whole)
 
 

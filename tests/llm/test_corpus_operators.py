@@ -109,6 +109,17 @@ def test_repeated_spans_query(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([(1, None), (None, "a")], "doc_id long, text string")).count() == 0
 
 
+def test_first_copy_keeps_its_shared_passages(spark):
+    text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    passage, node = text("p", 60), text("x", 70) + " " + text("p", 60) + " " + text("y", 70)
+    rows = [(1, text("a", 80) + " " + passage), (10, node), (11, node), (20, text("z", 60)), (21, text("z", 60))]
+    got = {r.doc_id: r for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = node.index("p0")
+    assert [tuple(s) for s in got[10].inside] == [(at, at + len(passage), 60, 1, False)]
+    assert (got[10].start, got[10].end, got[10].first_doc_id, got[10].is_first) == (0, len(node), 10, True)
+    assert got[20].inside == [] and all(got[k].inside is None for k in (1, 11, 21)) and got[1].is_first and not got[11].is_first
+
+
 def test_mixing_query(spark):
     assert_same(source_mixing.op5_source_mixing(spark, SF), source_mixing.oracle(), SF)
 

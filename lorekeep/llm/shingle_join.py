@@ -16,16 +16,22 @@ A document's set holds its distinct five-word shingles; two documents link when
   For members of different components the answers already computed for the leader bound theirs:
   one minus the Jaccard similarity is a distance, so ``|d(a, leader) - d(b, leader)| > 0.25`` rules the
   link out.  Only pairs that remain are verified on the whole texts.
+* ``n_links`` (``link_counts``) needs every pair of texts that link, those within a component too.  Two distances
+  from a common leader of at most 0.25 together make a link, a difference above 0.25 rules it out, and all other
+  pairs are verified; this part grows with the square of a group, as the links themselves do.  The pipeline
+  needs components only and leaves it out.
 
 Texts that are equal are one node from the start.  All steps are grouped aggregates and equi-joins that
-Spark can split; there is no list of a key's rows and no pair of two members of one component.  Which
+Spark can split; there is no list of a key's rows, and for components no pair of two members of one.  Which
 tokens are frequent is told by a bitmap of ``MAP_BITS`` bits, whatever the size of the input: a token whose
 bit another one has set merely comes later in the order, which stays the same for all sets.
 
 Defined results: a null text or one without words has an empty set and links with nothing; with fewer
 than five words the whole sequence is the one shingle; rows that share a doc_id are one node; a row
 with a null doc_id keeps its set size and has a null component; repeated rows give repeated results;
-an empty table gives no rows; columns of other names are ignored.
+an empty table gives no rows; columns of other names are ignored.  ``n_links`` is the number of other doc_ids
+that the document links with: 0 for an empty set, null for a null doc_id; for a doc_id with several texts, the
+links of its texts added up.
 """
 
 from __future__ import annotations
@@ -166,8 +172,37 @@ def _bitmap(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, component_id), the verified pairs between distinct texts, and (doc_id, node) for copies."""
+def link_counts(under: DataFrame, answers: DataFrame, copies: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_links) of the documents that link with others: all pairs of members of a leader, then the copies of their texts."""
+    reach = (100 - percent) / 100
+    known = stored(answers.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("linked").alias("linked")), "known")
+    members = under.withColumns({"a": F.least("lead", "id"), "b": F.greatest("lead", "id")}).join(known.drop("linked"), ["a", "b"], "left")
+    # Distance from the leader: known, or anything from 0 to 1.
+    members = members.withColumn("d", F.when(F.col("id") == F.col("lead"), F.lit(0.0)).otherwise(F.col("d")))
+    members = stored(members.select("lead", "id", "n", "t", "shared", "leads", F.coalesce("d", F.lit(0.0)).alias("least"), F.coalesce("d", F.lit(1.0)).alias("most")), "all-members")
+    side = lambda k: members.select("lead", F.col("id").alias(k), *[F.col(v).alias(v + k) for v in ("n", "t", "shared", "leads", "least", "most")])
+    met = side("a").join(side("b"), "lead").where("a < b")
+    part = F.least("shareda", "sharedb") * F.least("leadsa", "leadsb")  # as in join()
+    met = met.where(_fit(percent) & (_shared_prefix(percent) <= F.least("ta", "tb", part)) & (F.col("leasta") - F.col("mostb") <= reach + 1e-9) & (F.col("leastb") - F.col("mosta") <= reach + 1e-9))
+    met = met.groupBy("a", "b").agg(F.min(F.col("mosta") + F.col("mostb")).alias("far")).join(known, ["a", "b"], "left_anti")
+    met = stored(met, "link-pairs")
+    sure = F.col("far") <= reach - 1e-9
+    links = known.where("linked").select("a", "b").unionByName(met.where(sure).select("a", "b"))
+    unsure = met.where(~sure).select("a", "b")
+    if unsure.limit(1).count():
+        links = links.unionByName(verified(unsure, texts, percent).where("linked").select("a", "b").distinct())
+    # Weight of a text: the documents that have it.
+    weights = copies.groupBy("node").agg(F.count(F.lit(1)).alias("w"))
+    links = stored(links, "links")
+    ends = links.select(F.col("a").alias("id"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("node")))
+    own = ends.join(weights, "node", "left").select("id", F.coalesce("w", F.lit(1)).alias("w")).unionByName(weights.select(F.col("node").alias("id"), (F.col("w") - 1).alias("w")))
+    own = stored(own.groupBy("id").agg(F.sum("w").alias("n")), "node-links")
+    moved = own.join(copies.where("doc_id <> node").withColumnRenamed("node", "id"), "id").select("doc_id", "n")
+    return own.withColumnRenamed("id", "doc_id").unionByName(moved).groupBy("doc_id").agg(F.sum("n").alias("n_links"))
+
+
+def join(docs: DataFrame, percent: int = PERCENT, count_links: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, component_id; n_links if wanted), the verified pairs between distinct texts (not all that link), and (doc_id, node) for copies."""
     reach = (100 - percent) / 100 + 1e-9
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(7))})
     survey = stored(keyed.mapInArrow(_survey, "doc_id long, h1 long, h2 long, token long, n long"), "survey")
@@ -230,11 +265,14 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame,
     edges = linked.unionByName(copies.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     final = components(edges)
     out = sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    if count_links:
+        counts = link_counts(under, answers, copies, node_texts, percent)
+        out = out.join(counts, "doc_id", "left").withColumn("n_links", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))))
     return out, answers, copies
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+    return join(table(spark, sf_dir, "documents").select("doc_id", "text"), count_links=True)[0]
 
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,27 @@ def test_jaccard_query_and_odd_rows(spark):
     assert shingle_join.join(odd.limit(0))[0].count() == 0
 
 
+def link_numbers(rows):
+    sets = {i: brute.shingle_set(t) for i, t in rows}
+    linked = lambda a, b: a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    return {a: sum(bool(linked(a, b)) for b in sets) for a in sets}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_links(spark, seed):
+    rows = near_copies(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = shingle_join.join(df, count_links=True)[0].collect()
+    assert {r.doc_id: r.n_links for r in out} == link_numbers(rows) and max(r.n_links for r in out) > 2
+
+
+def test_jaccard_links_query(spark):
+    got = {r.doc_id: r.n_links for r in shingle_join.op10_ngram_jaccard_join(spark, SF).collect()}
+    assert got == link_numbers(documents(spark))
+    odd = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (4, None), (5, "a b c d e f")], "doc_id long, text string")
+    assert {(r.doc_id, r.n_links) for r in shingle_join.join(odd, count_links=True)[0].collect()} == {(None, None), (2, 1), (3, 0), (4, 0), (5, 1)}
+
+
 def test_jaccard_prefix_bounds():
     import numpy as np
 

@@ -136,12 +136,16 @@ def vector_search(vectors: DataFrame, query: list[float], limit: int = 10, min_s
 
 
 def vector_batch(vectors: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.3, key: str = "id", vector: str = "vector", most_queries: int = 1000) -> DataFrame:
-    """Top-k of each of a stated, bounded set of query vectors (query_id, q): the set is checked, then broadcast against all rows.
+    """Top-k of each of a set of query vectors (query_id, q), which are broadcast against all rows in blocks of about ``most_queries``.
 
     Each task first keeps its best ``limit`` rows of every query, so what is shuffled does not grow with the rows."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} query vectors: split the set")
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", key, X.dot(F.col(vector), F.col("q")).alias("score")).where(F.col("score") >= min_score)
+    blocks = max(1, -(-queries.count() // most_queries))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    scored = None
+    for number in range(blocks):
+        asked = queries.where(block == number) if blocks > 1 else queries
+        part = vectors.crossJoin(F.broadcast(asked)).select("query_id", key, X.dot(F.col(vector), F.col("q")).alias("score")).where(F.col("score") >= min_score)
+        scored = part if scored is None else scored.unionByName(part)
     local = Window.partitionBy("query_id", "slice").orderBy(F.desc("score"), key)
     few = scored.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("n", F.row_number().over(local)).where(F.col("n") <= limit).drop("n", "slice")
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= limit)

@@ -205,3 +205,10 @@ def test_chunk_operators(spark):
     table, out, new = chunks.replace_vectors(vectors, "p", spark.createDataFrame([("p", 0), ("p", 1)], "path string, chunk_index int"))
     assert [r.id for r in out.collect()] == [1] and sorted(r.id for r in new.collect()) == [3, 4] and table.count() == 3
     assert chunks.fold_with_map("aİb") == ("ai̇b", [0, 1, 1, 2])
+
+
+def test_vector_batch_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float((i * 7 + k) % 11) for k in range(4)]) for i in range(40)], "id long, vector array<double>")
+    asked = v.select(F.col("id").alias("query_id"), F.col("vector").alias("q")).where("id < 9")
+    whole, blocks = [sorted(tuple(r) for r in retrieval.vector_batch(v, asked, 3, -1.0, most_queries=m).collect()) for m in (1000, 2)]
+    assert blocks == whole and len(whole) == 27

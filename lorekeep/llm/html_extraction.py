@@ -5,8 +5,9 @@ The standard library's streaming HTML parser turns a page into lines: a line is
 in it, the share of it that is link text, and the chain of elements it stands in.  The text-to-tag
 ratio of each line is smoothed with a Gaussian over its neighbours; lines whose smoothed ratio
 exceeds a threshold (``SPREAD`` standard deviations below the mean of the page, at least ``FLOOR``)
-form clusters of content.  The region is the element that holds the clustered text best, an
-``article`` or ``main`` before others; all of its lines are returned but for those inside
+form clusters of content.  The region is every outermost ``article`` or ``main`` with clustered text, if
+these hold enough of it (``NAMED``); else the nearest section that holds all clusters, the ``h1`` of the page
+and headings beside its content.  All lines of the region are returned but for those inside
 boilerplate elements (navigation, header, footer, aside, form, script, style, and elements whose
 class, id or role names an advert, notice, menu, sidebar, sharing or comment box).
 
@@ -33,11 +34,16 @@ from .shared import table
 SIGMA = 1.5
 SPREAD = 0.5
 FLOOR = 5.0
+#: Share of the clustered text that articles must hold together to be the region; teasers beside other content hold less.
+NAMED = 0.3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas select textarea button".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu".split())
 PREFERRED = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that can be a region, besides the page; paragraphs, lists and tables are parts of one.
+SECTIONS = frozenset("body html div section article main".split())
 #: Elements that end an open paragraph when they start.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _HINT = re.compile(
@@ -178,28 +184,51 @@ def extract(html: str | None) -> str:
                 mass[number] += len(text)
     for k in range(len(mass) - 1, 0, -1):  # children come after their parents
         mass[parser.parent[k]] += mass[k]
-    whole = mass[0]
-    named = [k for k in range(len(mass)) if parser.kind[k] in PREFERRED and mass[k] >= 0.3 * whole and mass[k] > 0]
-    if named:
-        # Several articles stand side by side: their common holder; one inside another: the outer one.
-        outer = [k for k in named if not any(j != k and _within(parser.parent, k, j) for j in named)]
+    outer, held = [], [False] * len(mass)  # articles with clustered text may stand side by side; of one inside another the outer one
+    for k in range(1, len(mass)):
+        held[k] = held[parser.parent[k]]
+        if not held[k] and parser.kind[k] in PREFERRED and mass[k] > 0:
+            outer.append(k)
+            held[k] = True
+    if sum([mass[k] for k in outer]) >= NAMED * mass[0] > 0:
         regions = set(outer)
     else:
-        region = 0
-        for k in range(1, len(mass)):  # the deepest element with nearly all of it
-            if whole and mass[k] >= 0.9 * whole:
-                region = k
-        regions = {region}
+        regions = {_section(parser, mass, {number for _, _, _, number, dull in lines if not dull})}
     known: dict[int, bool] = {}
     return "\n".join([text for text, _, _, number, dull in lines if not dull and _holds(parser.parent, regions, known, number)])
 
 
-def _within(parent: list[int], k: int, region: int) -> bool:
+def _section(parser: _Lines, mass: list[float], bright: set[int]) -> int:
+    """The nearest section that holds all the mass and the headings that belong to it."""
+    parent, kind = parser.parent, parser.kind
+    region = max([k for k in range(len(mass)) if mass[k] == mass[0] > 0], default=0)
+    while region and kind[region] not in SECTIONS:
+        region = parent[region]
+    above = {0}  # the region and what it stands in
+    k = region
     while k:
+        above.add(k)
         k = parent[k]
-        if k == region:
-            return True
-    return False
+    heading = [0] * len(mass)  # that an element stands in
+    for k in range(1, len(mass)):
+        heading[k] = k if kind[k] in HEADINGS else heading[parent[k]]
+    wanted = region
+    for k in {heading[x] for x in bright}:  # of lines that are not boilerplate
+        if k and (kind[k] == "h1" or parent[k] in above):
+            wanted = _meet(parent, wanted, k)
+    while wanted and kind[wanted] not in SECTIONS:
+        wanted = parent[wanted]
+    return wanted
+
+
+def _meet(parent: list[int], a: int, b: int) -> int:
+    """The nearest element that holds both; the number of a parent is below those of its children."""
+    while a != b:
+        if a > b:
+            a = parent[a]
+        else:
+            b = parent[b]
+    return a
 
 
 def _holds(parent: list[int], regions: set[int], known: dict[int, bool], k: int) -> bool:

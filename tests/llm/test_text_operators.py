@@ -144,6 +144,22 @@ def test_html():
     assert html_extraction.extract("just text") == "just text" and len(html_extraction.extract("<div>" * 5000 + "deep")) == 4
 
 
+def test_html_keeps_the_whole_region():
+    long = "A sentence of the text with words enough to count. " * 60
+    short = "A short paragraph that stands in the same text."
+    want = lambda *x: "\n".join(t.strip() for t in x)
+    nav = "<nav><a href=/>Home</a></nav>"
+    for page, text in [
+        (f"<body>{nav}<h1>Title</h1><p>Lead words.</p><div><p>{long}</p><p>{short}</p></div>", want("Title", "Lead words.", long, short)),  # h1 and lead beside the content
+        (f"<body>{nav}<div class=top><h1>Title</h1></div><div><p>{long}</p></div>", want("Title", long)),  # h1 in its own holder
+        (f"<body>{nav}<div><p>{short}</p><p>{long}</p><ul><li>Item</li></ul></div>", want(short, long, "Item")),  # one very long paragraph
+        (f"<body>{nav}<div><pre>{long}</pre><p>{short}</p></div>", want(long, short)),
+        (f"<body>{nav}<article><p>{long}</p></article><article><p>{'Second article with its own words. ' * 25}</p></article>", want(long, "Second article with its own words. " * 25)),  # below 30 % of the mass
+        (f"<body><div class=sidebar>{short}</div><div id=x><p>{long}</p></div>", long.strip()),
+    ]:
+        assert html_extraction.extract(page) == text, page[:60]
+
+
 def test_html_query(spark):
     rows = html_extraction.op3_html_extraction(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all(r.n_chars == len(r.text) > 0 for r in rows)

@@ -81,19 +81,31 @@ def communities_exact(graph: DataFrame, passes: int = 50) -> DataFrame:
     return ranked.withColumn("community", F.dense_rank().over(Window.orderBy("first")) - 1).select("node", F.col("community").cast("long").alias("community"))
 
 
-def communities(graph: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): each node takes the label with most weight around it, smallest on ties; label names are node names."""
+def communities(graph: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, community): each node takes the label with most weight around it, smallest on ties; label names are node names.
+
+    Without ``rounds`` it goes on until labels stop changing or come back after two rounds, as they do on any graph with equal weights both ways."""
     labels = graph.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
+    lasting = graph.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    past: list[DataFrame] = [labels]
+    done = 0
+    while rounds is None or done < rounds:
         votes = graph.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
         held = labels.select(F.col("node").alias("src"), "community", F.lit(0.5).alias("w"))
         total = votes.unionByName(held).groupBy("src", "community").agg(F.sum("w").alias("w"))
         labels = total.groupBy(F.col("src").alias("node")).agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community"))
-        if graph.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            labels = labels.checkpoint()
+        labels = labels.checkpoint() if lasting else labels.localCheckpoint()
+        if any(not _differ(labels, p) for p in past):
+            break
+        past = [past[-1], labels]
+        done += 1
     return labels
 
 
+def _differ(a: DataFrame, b: DataFrame) -> bool:
+    return a.join(b.withColumnRenamed("community", "other"), "node").where("community <> other").limit(1).count() > 0
+
+
 def community_table(graph: DataFrame, membership: DataFrame, most: int = 2048) -> DataFrame:
     """Size, members and representative (most inner degree, then path) of each community."""
     m = membership.select("node", "community")

@@ -83,8 +83,8 @@ def bm25_index(chunks: DataFrame, key: tuple[str, ...] = ("path", "chunk_index")
     return postings, lengths
 
 
-def bm25_search(postings: DataFrame, lengths: DataFrame, query: str, limit: int = 25, key: tuple[str, ...] = ("path", "chunk_index"), scope: DataFrame | None = None) -> DataFrame:
-    """All words and phrases must match; statistics are those of the whole index, ``scope`` only restricts rows."""
+def bm25_search(postings: DataFrame, lengths: DataFrame, query: str, limit: int | None = 25, key: tuple[str, ...] = ("path", "chunk_index"), scope: DataFrame | None = None) -> DataFrame:
+    """All words and phrases must match; without ``limit`` every match is given, in no order; statistics are those of the whole index, ``scope`` only restricts rows."""
     phrases = fts_query(query)
     if not phrases:
         return lengths.limit(0).select(*key, F.lit(0.0).alias("score"))
@@ -108,7 +108,8 @@ def bm25_search(postings: DataFrame, lengths: DataFrame, query: str, limit: int
         scored = scored.join(scope.select(*key).distinct(), list(key), "left_semi")
     one = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg")))
     total = scored.groupBy(*key).agg(F.sum(one).alias("score"), F.count(F.lit(1)).alias("matched")).where(F.col("matched") == len(phrases))
-    return total.select(*key, "score").orderBy(F.desc("score"), *key).limit(limit)
+    every = total.select(*key, "score")
+    return every if limit is None else every.orderBy(F.desc("score"), *key).limit(limit)
 
 
 def _back(positions: Column, by: int) -> Column:

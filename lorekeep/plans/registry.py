@@ -245,14 +245,14 @@ SELECT doc_id, round(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * length / avg)) + i
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     postings, lengths = retrieval.bm25_index(docs, ("doc_id",), ("content",))
-    return retrieval.bm25_search(postings, lengths, "license public", 1_000_000, ("doc_id",)).select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.bm25_search(postings, lengths, "license public", None, ("doc_id",)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_phrase", "WITH " + _FTS.split("st AS")[0] % (T.MARKED, T.PLAIN) + "x AS (SELECT doc_id, len(regexp_extract_all(' ' || array_to_string(t, '  ') || ' ', ' general  public ')) AS tf FROM tk) SELECT doc_id FROM x WHERE tf > 0")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     postings, lengths = retrieval.bm25_index(docs, ("doc_id",), ("content",))
-    return retrieval.bm25_search(postings, lengths, "general-public", 1_000_000, ("doc_id",)).select("doc_id")
+    return retrieval.bm25_search(postings, lengths, "general-public", None, ("doc_id",)).select("doc_id")
 
 
 @query("title_ngram_jaccard", "WITH g AS (SELECT p_partkey, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(lower(p_name), i, 3))) AS g FROM part), me AS (SELECT g AS mine FROM g WHERE p_partkey = 1) SELECT p_partkey, round(len(list_intersect(g, mine)) / len(list_distinct(list_concat(g, mine))), 6) AS score FROM g, me WHERE p_partkey <> 1")
@@ -448,7 +448,7 @@ def _(spark, d):
 @query("label_communities")
 def _(spark, d):
     g = graph.undirected(links.edges(_resolved(spark, d)))
-    return graph.community_table(g, graph.communities(g, 3)).select("community", "size", "representative")
+    return graph.community_table(g, graph.communities(g)).select("community", "size", "representative")
 
 
 @query("entity_path", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n1 AS (SELECT DISTINCT p FROM e WHERE c = 1), n2 AS (SELECT DISTINCT e.c FROM e JOIN n1 USING (p) WHERE e.c <> 1) SELECT c AS custkey, 2 AS hops FROM n2")

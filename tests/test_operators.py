@@ -212,3 +212,25 @@ def test_vector_batch_in_blocks(spark):
     asked = v.select(F.col("id").alias("query_id"), F.col("vector").alias("q")).where("id < 9")
     whole, blocks = [sorted(tuple(r) for r in retrieval.vector_batch(v, asked, 3, -1.0, most_queries=m).collect()) for m in (1000, 2)]
     assert blocks == whole and len(whole) == 27
+
+
+def test_bm25_without_limit(spark):
+    chunks = spark.createDataFrame([(f"{i}.md", 0, "apple pie", "t", "") for i in range(40)], "path string, chunk_index int, content string, title string, aliases string")
+    assert retrieval.bm25_search(*retrieval.bm25_index(chunks), "apple", None).count() == 40
+
+
+def test_communities_until_labels_stand(spark):
+    edges = [(f"n{i:02}", f"n{i + 1:02}", 1 + i % 3) for i in range(11)] + [("x", "y", 1)]
+    g = spark.createDataFrame([e for a, b, w in edges for e in ((a, b, w), (b, a, w))], "src string, dst string, weight long")
+    labels = {n: n for a, b, _ in edges for n in (a, b)}
+    past = [dict(labels)]
+    while True:  # the same rule on plain values
+        weight = {n: {labels[n]: 0.5} for n in labels}
+        for a, b, w in edges:
+            weight[a][labels[b]] = weight[a].get(labels[b], 0) + w
+            weight[b][labels[a]] = weight[b].get(labels[a], 0) + w
+        labels = {n: min(x, key=lambda c: (-x[c], c)) for n, x in weight.items()}
+        if labels in past[-2:]:
+            break
+        past.append(labels)
+    assert len(past) > 3 and {r.node: r.community for r in graph.communities(g, None).collect()} == labels

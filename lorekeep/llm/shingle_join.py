@@ -5,11 +5,11 @@ A document's set holds its distinct five-word shingles; two documents link when
 
 * Tokens have one global order: those that occur in many documents come last, the rest by hash.  Two
   sets that link share a token among the first ``n - ceil(0.75 n) + 1`` of both, so only these
-  prefixes are indexed, with the position of the token and the size of the set.
+  prefixes are indexed, with the size of the set; positions of tokens are not kept.
 * Index-level skipping.  Tokens that only one distinct text has never enter the index.  Entries of a list
   are passed over in blocks of a component when their sizes cannot fit, and a pair is passed over when its
   prefixes share fewer tokens than a pair with the overlap that is needed must: at most ``n - overlap``
-  tokens of either can stand before a common one, which bounds the positions that count.
+  tokens of either can stand before a common one.
 * Answer-level skipping.  In each list every member is first compared with one leader, the member with
   the fewest tokens of its own.  Members that link with it (or with each other through other lists) are one
   component and are not compared again.  Two members of a list always have its leader in common.

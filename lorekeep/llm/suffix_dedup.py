@@ -5,14 +5,15 @@ A suffix is retained where the hash of its first ``GRAM`` words is the smallest
 passage of ``min_words`` words that stands in two documents has a retained suffix at the same place in
 both, while only about one suffix in twenty is kept.
 
-Retained suffixes are ordered by their first words and each is compared with its neighbours in that
-order: one that shares its first words with no other is dropped.  The others are extended to the left
+Retained suffixes are grouped by the hash of their first words, not sorted: one that shares its first words with no
+other document is dropped.  The others are extended to the left
 and right inside their own texts: every frame of ``min_words`` words around such a suffix is hashed (128
-bits), equal frames are matched between documents, and overlapping matched frames join into maximal
-spans.  Ordering and matching are Spark's grouped aggregates and equi-joins on these hashes, which combine
+bits), equal frames are matched between documents, and overlapping or touching matched frames join into maximal
+spans.  Grouping and matching are Spark's grouped aggregates and equi-joins on these hashes, which combine
 before the shuffle and split hot values; no task gathers the suffixes of one value, no pairs are formed.
 
-Result: one row for each maximal span of at least ``min_words`` words that occurs in two or more documents:
+Result: one row for each maximal run of overlapping or touching frames of ``min_words`` words that each occur in two or more
+documents (partners may differ from frame to frame, so the run need not occur as a whole elsewhere):
 doc_id, start and end (code points), n_words, first_doc_id (smallest document with an equal frame of the
 span), and is_first (this document is where every frame of the span occurs first).  Documents with equal
 texts are one document until the end; then each has its whole text as one span, whose first_doc_id and is_first

@@ -1,37 +1,40 @@
 """N-gram Jaccard join with set-relation skipping.
 
 A document's set holds its distinct five-word shingles; two documents link when
-``100 * |A & B| >= 75 * |A | B|``.  The join is exact (up to collisions of 64-bit hashes):
+``100 * |A & B| >= 75 * |A | B|``.  The join is exact (up to collisions of 64-bit hashes).  Equal sets are
+one node from the start: the smallest doc_id that has them.
 
 * Tokens have one global order: those that occur in many documents come last, the rest by hash.  Two
   sets that link share a token among the first ``n - ceil(0.75 n) + 1`` of both, so only these
-  prefixes are indexed, with the size of the set; positions of tokens are not kept.
-* Index-level skipping.  Tokens that only one distinct text has never enter the index.  Entries of a list
-  are passed over in blocks of a component when their sizes cannot fit, and a pair is passed over when its
-  prefixes share fewer tokens than a pair with the overlap that is needed must: at most ``n - overlap``
-  tokens of either can stand before a common one.
-* Answer-level skipping.  In each list every member is first compared with one leader, the member with
-  the fewest tokens of its own.  Members that link with it (or with each other through other lists) are one
-  component and are not compared again.  Two members of a list always have its leader in common.
-  For members of different components the answers already computed for the leader bound theirs:
-  one minus the Jaccard similarity is a distance, so ``|d(a, leader) - d(b, leader)| > 0.25`` rules the
-  link out.  Only pairs that remain are verified on the whole texts.
-* ``n_links`` (``link_counts``) needs every pair of texts that link, those within a component too.  Two distances
-  from a common leader of at most 0.25 together make a link, a difference above 0.25 rules it out, and all other
-  pairs are verified; this part grows with the square of a group, as the links themselves do.  The pipeline
-  needs components only and leaves it out.
-
-Texts that are equal are one node from the start.  All steps are grouped aggregates and equi-joins that
-Spark can split; there is no list of a key's rows, and for components no pair of two members of one.  Which
-tokens are frequent is told by a bitmap of ``MAP_BITS`` bits, whatever the size of the input: a token whose
-bit another one has set merely comes later in the order, which stays the same for all sets.
+  prefixes are indexed.
+* Index-level skipping.  An index entry holds the set, its size and its position in the set's order, kept as its
+  *reach*: the largest partner whose overlap the tokens from that position on can still give.  At the first
+  common token of a link, each size is within the reach of the other entry.  Each list has the smallest size and
+  the largest reach in it, and entries that fit neither are passed over; so are whole blocks of a long family, by
+  the same bounds.  Tokens that only one set has never enter the index.
+* Families.  The entries of a list stand under one leader, the set with the most of its prefix in the index, so that
+  lists with the same leader become one family.  Two sets that share a token share a family; a pair is looked at in
+  the least family that both are in, and nowhere else.
+* Answer-level skipping.  In a family the answers of one reference set (its overlap with each member) are computed
+  first.  One minus the Jaccard similarity is a distance, so they settle every pair whose distances from the
+  reference add up to 0.25 at most, or differ by more.  The overlap of any other pair is derived from the reference's two
+  answers and the differences: what both members lack of the reference and what both have besides it.
+
+Families are cut into blocks of at most about ``BLOCK`` members, in the order of their sizes; a task holds two blocks at a time.  It
+returns one row a member, with its number of links and one neighbour that keeps the block's links connected;
+pairs never become rows.  Metadata (sizes, reach) is compared first, and only sets that still have a possible
+partner leave their partition.  The work inside a family of m different sets that the answers do not settle grows with
+m squared, as the links themselves do.
+
+Which tokens are frequent, and which occur twice, is told by bitmaps of fixed size.  They only order and prefilter:
+a bit that another token has set costs work, never a link.
 
 Defined results: a null text or one without words has an empty set and links with nothing; with fewer
-than five words the whole sequence is the one shingle; rows that share a doc_id are one node; a row
-with a null doc_id keeps its set size and has a null component; repeated rows give repeated results;
-an empty table gives no rows; columns of other names are ignored.  ``n_links`` is the number of other doc_ids
-that the document links with: 0 for an empty set, null for a null doc_id; for a doc_id with several texts, the
-links of its texts added up.
+than five words the whole sequence is the one shingle; repeated rows give repeated results; rows that share a doc_id
+are connected, each row has the size and links of its own text; rows with a null doc_id and equal sets count as one document,
+their component is the smallest doc_id that can be reached, null if there is none (doc_ids from 2^62 on are reserved for this);
+an empty table gives no rows; columns of other names are ignored.  ``n_links`` is the number of other documents whose
+sets link with the row's.
 """
 
 from __future__ import annotations
@@ -40,12 +43,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import stored, table
+from .shared import by_groups, discard, partitions, stored, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -53,230 +56,425 @@ PERCENT = 75
 COUNTED, REPORTED, FREQUENT = 4_000_000, 2, 8
 MAP_BITS = 1 << 25
 PAGE_BITS = 32768  # of Spark's bitmap functions
+#: The map of tokens that occur twice: PAGES pages of 2^16 bits.
+PAGES = 2048
+#: Members of a block of a family when sizes are compared, and when sets are.
+META_BLOCK, BLOCK = 4096, 512
+#: Tokens of a block when sets are compared (a set may have more).
+BLOCK_TOKENS = 2_000_000
+#: Columns of a matrix of differences at a time.
+COLUMNS = 4096
+#: Keys from here on stand for rows without a doc_id.
+NAMELESS = 1 << 62
+
+
+def set_hashes(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set, as signed numbers."""
+    if not len(s):
+        return 0, 0
+    with np.errstate(over="ignore"):
+        return int(K.mix64(s + K.U64(1)).sum().view(np.int64)), int(K.mix64(s ^ K.U64(0x5851F42D4C957F2D)).sum().view(np.int64))
+
+
+def _key(doc_id: int | None, h1: int) -> int:
+    return doc_id if doc_id is not None else NAMELESS | (h1 & (NAMELESS - 1))
+
+
+_SURVEY = "doc_id long, key long, t1 long, t2 long, h1 long, h2 long, n long, token long"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set sizes (doc_id, h1, h2, n) and counts (token, n) of tokens that are not rare where they stand."""
+    """For each row its set's hashes and size (token is null), and counts n of tokens that are not rare where they stand."""
     pending: list[np.ndarray] = []
     held = 0
+    names = [x.split()[0] for x in _SURVEY.split(", ")]
 
     def report() -> pa.RecordBatch:
         found, count = np.unique(np.concatenate(pending), return_counts=True)
         keep = count >= REPORTED
         m = int(keep.sum())
-        nothing = pa.nulls(m, pa.int64())
-        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(found[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], names=["doc_id", "h1", "h2", "token", "n"])
+        return pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 6, pa.array(count[keep].astype(np.int64)), pa.array(found[keep].view(np.int64))], names=names)
 
     for b in batches:
-        sizes = []
-        for s in K.shingle_sets(b.column("text"), SHINGLE):
-            sizes.append(len(s))
+        rows: list[tuple[int, int, int, int]] = []
+        for doc_id, s in zip(b.column("doc_id").to_pylist(), K.shingle_sets(b.column("text"), SHINGLE), strict=True):
+            h1, h2 = set_hashes(s)
+            rows.append((_key(doc_id, h1), h1, h2, len(s)))
             pending.append(s)
             held += len(s)
             if held > COUNTED:
                 yield report()
                 pending, held = [], 0
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h1"), b.column("h2"), pa.nulls(len(b), pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "h1", "h2", "token", "n"])
+        key, h1s, h2s, n = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), key, b.column("t1"), b.column("t2"), h1s, h2s, n, pa.nulls(len(b), pa.int64())], names=names)
     if pending:
         yield report()
 
 
+def _among(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set in a bitmap over their first bits."""
+    bit = hashes >> K.U64(64 - (len(bitmap) * 8 - 1).bit_length())
+    return (bitmap[bit >> K.U64(3)] >> (bit & K.U64(7)).astype(np.uint8)) & 1 == 1
+
+
 def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The tokens to index, in the global order, of an ascending set; ``frequent`` is a bitmap over their first 25 bits."""
+    """The tokens to index, in the global order, of an ascending set; ``frequent`` is a bitmap over their first bits."""
     n = len(tokens)
     size = n - (percent * n + 99) // 100 + 1
     if n and len(frequent):
-        bit = tokens >> K.U64(39)
-        often = (frequent[bit >> K.U64(3)] >> (bit & K.U64(7)).astype(np.uint8)) & 1 == 1
+        often = _among(frequent, tokens)
         if often.any():
             tokens = np.concatenate([tokens[~often], tokens[often]])
     return tokens[:size] if n else tokens
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, repeated: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(token, id, m) of the indexed tokens; m is twice the set size, plus 1 if the text may have copies (a bit of ``repeated`` is set).
-
-    A text that a batch holds twice is indexed once."""
+def prefixes(docs: DataFrame, frequent: np.ndarray, repeated: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(h1, h2, n, tokens) of each distinct set that is not empty; ``repeated`` is a bitmap of the h1 that several documents have."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, again = shared.value
         for whole in batches:
-            seen: set[tuple[int, int]] = set()
-            h1 = whole.column("h1").to_numpy()
-            bit = h1.view(np.uint64) >> K.U64(39)
-            copied = ((again[bit >> K.U64(3)] >> (bit & K.U64(7)).astype(np.uint8)) & 1).astype(np.int64)
-            keys = list(zip(h1.tolist(), whole.column("h2").to_pylist(), strict=True))
             for at in range(0, len(whole), 1024):
-                b = whole.slice(at, 1024)
-                ids, sizes, firsts = [], [], []
-                for k, (doc_id, s) in enumerate(zip(b.column("doc_id").to_pylist(), K.shingle_sets(b.column("text"), SHINGLE), strict=True), at):
-                    if len(s) and keys[k] not in seen:
-                        seen.add(keys[k])
-                        ids.append(doc_id)
-                        sizes.append(2 * len(s) + int(copied[k]))
-                        firsts.append(prefix(s, often, percent))
-                if firsts:
-                    counts = np.array([len(f) for f in firsts])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(ids, dtype=np.int64), counts)), pa.array(np.repeat(np.array(sizes, dtype=np.int64), counts))], names=["token", "id", "m"])
-
-    return docs.select("doc_id", "h1", "h2", "text").mapInArrow(run, "token long, id long, m long")
-
-
-def _verify(percent: int):
+                rows: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+                for s in K.shingle_sets(whole.column("text").slice(at, 1024), SHINGLE):
+                    if len(s) and (h := set_hashes(s)) not in rows:
+                        rows[h] = (len(s), prefix(s, often, percent))
+                if rows:
+                    off = np.zeros(len(rows) + 1, dtype=np.int32)
+                    np.cumsum([len(x[1]) for x in rows.values()], out=off[1:])
+                    tokens = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([x[1] for x in rows.values()]).view(np.int64)))
+                    h1 = np.array([h[0] for h in rows], dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array([h[1] for h in rows], pa.int64()), pa.array([x[0] for x in rows.values()], pa.int64()), tokens, pa.array(_among(again, h1.view(K.U64)))], names=["h1", "h2", "n", "tokens", "again"])
+
+    rows = docs.select("text").mapInArrow(run, "h1 long, h2 long, n long, tokens array<long>, again boolean")
+    return rows.where("not again").unionByName(rows.where("again").dropDuplicates(["h1", "h2"])).drop("again")
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, bits): the places, in their page of the map, of the tokens met, repeats included."""
+
+    def report(held: list[np.ndarray]) -> pa.RecordBatch:
+        bits = np.sort(np.concatenate(held) >> K.U64(64 - 16 - (PAGES - 1).bit_length()))
+        page, start = np.unique(bits >> K.U64(16), return_index=True)
+        low = (bits & K.U64(0xFFFF)).astype("<u2")
+        ends = np.append(start[1:], len(low))
+        return pa.RecordBatch.from_arrays([pa.array(page.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary())], names=["page", "bits"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b.column("tokens").flatten().to_numpy(zero_copy_only=False).view(K.U64))
+        n += len(held[-1])
+        if n > COUNTED:
+            yield report(held)
+            held, n = [], 0
+    if n:
+        yield report(held)
+
+
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, bits): a bitmap of the places that occur twice or more; all rows of a page are in one partition."""
+    seen: dict[int, np.ndarray] = {}
+    for b in batches:
+        for page, bits in zip(b.column("page").to_pylist(), b.column("bits").to_pylist(), strict=True):
+            own = seen.setdefault(page, np.zeros(1 << 16, dtype=np.uint8))
+            own[:] = np.minimum(own + np.minimum(np.bincount(np.frombuffer(bits, "<u2"), minlength=1 << 16), 2).astype(np.uint8), 2)
+    for page, own in seen.items():
+        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([np.packbits(own == 2, bitorder="little").tobytes()], pa.binary())], names=["page", "bits"])
+
+
+def twice(rows: DataFrame) -> np.ndarray:
+    """The bitmap of the tokens that stand in two or more prefixes: PAGES * 8 KB, whatever the input."""
+    out = np.zeros(PAGES << 13, dtype=np.uint8)
+    pages = rows.select("tokens").mapInArrow(_pages, "page int, bits binary").repartition(min(PAGES, partitions(rows.sparkSession)), "page").mapInArrow(_twice, "page int, bits binary")
+    for r in pages.collect():
+        out[r.page << 13 : (r.page + 1) << 13] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
+
+
+def entries(rows: DataFrame, again: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(token, id, n, t, reach): the index; id is the set's first hash, t how many entries it has at most."""
+    shared = rows.sparkSession.sparkContext.broadcast(again)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                b = whole.slice(at, 512)
-                inter, union = [], []
-                for x, y in zip(K.shingle_sets(b.column("text_a"), SHINGLE), K.shingle_sets(b.column("text_b"), SHINGLE), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    inter.append(both)
-                    union.append(len(x) + len(y) - both)
-                i, u = np.array(inter, dtype=np.int64), np.array(union, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(1.0 - i / np.maximum(u, 1)), pa.array((100 * i >= percent * u) & (i > 0))], names=["a", "b", "d", "linked"])
+        for b in batches:
+            lists = b.column("tokens")
+            tokens, off = lists.flatten().to_numpy(zero_copy_only=False).view(K.U64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            length = np.diff(off)
+            row = np.repeat(np.arange(len(b)), length)
+            at = np.arange(len(tokens)) - np.repeat(off[:-1], length)
+            keep = _among(shared.value, tokens)
+            tokens, row, at = tokens[keep], row[keep], at[keep]
+            n, t = b.column("n").to_numpy(), np.bincount(row, minlength=len(b))
+            reach = (n[row] - at) * (100 + percent) // percent - n[row]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(b.column("h1").to_numpy()[row]), pa.array(n[row]), pa.array(t[row].astype(np.int64)), pa.array(reach)], names=["token", "id", "n", "t", "reach"])
+
+    return rows.select("h1", "n", "tokens").mapInArrow(run, "token long, id long, n long, t long, reach long")
+
+
+def families(index: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(lead, id, n, t, reach) of each set in each of its families; reach is the largest of its entries there."""
+    # The largest share of its prefix in the index marks the least edited of near copies.
+    private = 1 - F.col("t") / (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1) + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * 1e-12
+    lists = index.groupBy("token").agg(F.min_by("id", private).alias("lead"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("most")).where("lo < hi").select("token", "lead", "least", "most")
+    return index.join(lists, "token").where("reach >= least and n <= most").groupBy("lead", "id").agg(F.max("n").alias("n"), F.max("t").alias("t"), F.max("reach").alias("reach"))
+
+
+def in_blocks(members: DataFrame, block: int, tokens: int | None = None) -> DataFrame:
+    """``members`` (lead, id, n, reach, ...) once for each pair (x, y) of blocks of their family that may hold a link, with ``side``: 0 in x, 1 in y, 0 if both are one.
+
+    The blocks of a family follow the sizes of its sets; one size with many sets is cut by hash.  Pairs of blocks whose sizes and reach cannot fit are skipped."""
+    sizes = members.groupBy("lead", "n").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("lead").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    weight = F.lit(1.0 / block)
+    if tokens:
+        weight = F.greatest(weight, F.col("n") / F.lit(float(tokens)))  # of one set, as a share of a block
+        before = F.sum(F.col("c") * weight).over(Window.partitionBy("lead").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c") * weight
+    else:
+        before = before * weight
+    cuts = sizes.select("lead", "n", F.floor(before).alias("at"), F.greatest(F.lit(1), F.ceil(F.col("c") * weight)).cast("int").alias("parts"))
+    large = cuts.groupBy("lead").agg(F.max(F.col("at") + F.col("parts")).alias("n_blocks")).where("n_blocks > 1").select("lead")
+    cuts = cuts.join(large, "lead", "left_semi")
+    placed = members.join(cuts, ["lead", "n"], "left").withColumn("block", F.when(F.col("at").isNull(), F.lit(0).cast("long")).otherwise(F.col("at") * (1 << 24) + F.pmod(F.xxhash64("id"), F.col("parts")))).drop("at", "parts")
+    bounds = placed.where("block is not null").join(large, "lead", "left_semi").groupBy("lead", "block").agg(F.min("n").alias("small"), F.max("n").alias("big"), F.max("reach").alias("most"))
+    a, b = [bounds.select("lead", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "small", "big", "most")]) for k in "xy"]
+    met = a.join(b, "lead").where("block_x <= block_y and small_x <= most_y and small_y <= most_x").select("lead", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
+    # Each block with the pairs it is in: (lead, block, x, y, side); a family of one block has no row here.
+    places = met.select("lead", F.col("x").alias("block"), "x", "y", F.lit(0).alias("side")).unionByName(met.where("x < y").select("lead", F.col("y").alias("block"), "x", "y", F.lit(1).alias("side")))
+    alone = placed.join(large, "lead", "left_anti").withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "side": F.lit(0)}).drop("block")
+    return alone.unionByName(placed.join(places, ["lead", "block"]).drop("block").select(*alone.columns))
+
+
+def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sizes against each other: the overlap of a link, and how many tokens the prefixes of a link share."""
+    overlap = -(-percent * (a + b) // (100 + percent))
+    room = lambda n: overlap + 1 - (percent * n + 99) // 100  # noqa: E731  prefix length less the tokens that may stand before a common one
+    return overlap, np.maximum(1, np.minimum(room(a), room(b)))
+
+
+def _possible(n: np.ndarray, t: np.ndarray, rows: slice, cols: slice, percent: int) -> np.ndarray:
+    """Pairs that size and number of entries allow to link."""
+    a, b = n[rows][:, None], n[cols][None, :]
+    _, shared = _needed(a, b, percent)
+    return (100 * a >= percent * b) & (100 * b >= percent * a) & (shared <= np.minimum(t[rows][:, None], t[cols][None, :]))
+
+
+def _partners(percent: int):
+    """Members that have a possible partner in their pair of blocks."""
+
+    def run(group: pa.Table) -> pa.Table:
+        if len(group) < 2:
+            return group.slice(0, 0).select(["lead", "id", "n", "t"])
+        n, t, reach, side = [group.column(c).to_numpy() for c in ("n", "t", "reach", "side")]
+        order = np.lexsort((n, side))
+        n, t, reach = n[order], t[order], reach[order]
+        cut = int((side == 0).sum())
+        has = np.zeros(len(n), dtype=bool)
+        rows, cols = (0, cut), ((cut, len(n)) if cut < len(n) else (0, cut))
+        step = 512
+        for i in range(rows[0], rows[1], step):
+            a = slice(i, min(i + step, rows[1]))
+            for j in range(cols[0], cols[1], step):
+                b = slice(j, min(j + step, cols[1]))
+                if cut == len(n) and j < i or n[a].min() > reach[b].max() or n[b].min() > reach[a].max():
+                    continue  # block skipping by size and reach
+                ok = _possible(n, t, a, b, percent) & (n[a][:, None] <= reach[b][None, :]) & (n[b][None, :] <= reach[a][:, None])
+                if cut == len(n) and i == j:
+                    np.fill_diagonal(ok, False)
+                has[a] |= ok.any(1)
+                has[b] |= ok.any(0)
+        return group.select(["lead", "id", "n", "t"]).take(pa.array(order[has]))
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, d, linked) of each pair of nodes, from their whole texts."""
-    nodes = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct())
-    own = stored(texts.join(nodes, "id", "left_semi"), "pair-texts")
-    with_a = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long, d double, linked boolean")
+def _sets(wanted):
+    """(h1, h2, key, n, tokens) of the rows whose text hash is in the broadcast bitmap; one of equal sets of a batch, with the smallest key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        for whole in batches:
+            b = whole.filter(pa.array(_among(wanted.value, whole.column("t1").to_numpy().view(K.U64))))
+            for at in range(0, len(b), 1024):
+                part = b.slice(at, 1024)
+                rows: dict[tuple[int, int], tuple] = {}
+                for doc_id, s in zip(part.column("doc_id").to_pylist(), K.shingle_sets(part.column("text"), SHINGLE), strict=True):
+                    h = set_hashes(s)
+                    key = _key(doc_id, h[0])
+                    if h not in rows or key < rows[h][2]:
+                        rows[h] = (*h, key, len(s), s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows.values(), strict=True), kinds, strict=True)], names=["h1", "h2", "key", "n", "tokens"])
+
+    return run
 
 
-def _shared_prefix(percent: int, na: str = "na", nb: str = "nb") -> Column:
-    """Tokens that the indexed prefixes of linked sets of these sizes must share."""
-    overlap = F.ceil(F.lit(percent) * (F.col(na) + F.col(nb)) / F.lit(100 + percent))
+def _gram(rows: np.ndarray, cols: np.ndarray, n_rows: int, cut: int) -> np.ndarray:
+    """How many columns each of the first ``cut`` rows shares with each of the others (of all, if cut is n_rows): a sum of matrix products over strips of columns."""
+    out = np.zeros((cut, n_rows - cut if cut < n_rows else n_rows), dtype=np.float64)
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    first = np.flatnonzero(np.concatenate([[True], cols[1:] != cols[:-1]])) if len(cols) else cols
+    length = np.diff(np.append(first, len(cols)))
+    several = np.repeat(length > 1, length)  # a column of one row is shared by none
+    rows, cols = rows[several], cols[several]
+    number = np.cumsum(np.concatenate([[True], cols[1:] != cols[:-1]])) - 1 if len(cols) else cols
+    ends = np.searchsorted(number, np.arange(0, (number[-1] + 1 if len(number) else 0) + COLUMNS, COLUMNS))
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        strip = np.zeros((n_rows, int(number[b - 1] - number[a]) + 1), dtype=np.float32)
+        strip[rows[a:b], number[a:b] - number[a]] = 1
+        out += strip[:cut] @ (strip[cut:] if cut < n_rows else strip).T
+    return out
 
-    def room(n: str) -> Column:  # prefix length less the tokens that may stand before a common one
-        return F.col(n) - F.ceil(F.lit(percent) * F.col(n) / 100) + 1 - (F.col(n) - overlap)
 
-    return F.greatest(F.lit(1), F.least(room(na), room(nb)))
+def _links(percent: int):
+    """(id, h1, links, other): what the members of a pair of blocks find there; ``other`` keeps the links of the pair connected."""
+    reach = (100 - percent) / 100
 
+    def run(group: pa.Table) -> pa.Table:
+        side, key = group.column("side").to_numpy(), group.column("key").to_numpy()
+        lead, h1 = group.column("lead")[0].as_py(), group.column("id").to_numpy()
+        order = np.lexsort((h1, side))
+        side, key, h1 = side[order], key[order], h1[order]
+        n, t, w = [group.column(c).to_numpy()[order] for c in ("n", "t", "w")]
+        data = group.column("tokens")
+        sets = [np.frombuffer(data[int(i)].as_buffer(), dtype=K.U64) for i in order]
+        m, cut = len(n), int((side == 0).sum())
+        one = cut == m
+        rows, cols = slice(0, cut), (slice(0, m) if one else slice(cut, m))
+        open_ = _possible(n, t, rows, cols, percent) & (key[rows][:, None] != key[cols][None, :])
+        if one:
+            open_ = np.triu(open_, 1)
+        # Pairs that are both in a family before this one are looked at there.
+        leads = [np.array(x, dtype=np.int64) for x in group.column("leads").take(pa.array(order)).to_pylist()]
+        earlier = [x[x < lead] for x in leads]
+        if any(map(len, earlier)):
+            both = _gram(np.repeat(np.arange(m), [len(x) for x in earlier]), np.concatenate(earlier), m, cut)
+            open_ &= both == 0
+        busy = np.zeros(m, dtype=bool)
+        busy[rows] |= open_.any(1)
+        busy[cols] |= open_.any(0)
+        linked = np.zeros(open_.shape, dtype=bool)
+        if busy.any():
+            # The answers of a reference set: the family's leader if it is here, else the first member.
+            at = np.flatnonzero(h1 == lead)
+            ref = sets[int(at[0]) if len(at) else int(np.flatnonzero(busy)[0])]
+            who = np.flatnonzero(busy)
+            tokens, owner = np.concatenate([sets[i] for i in who]), np.repeat(who, n[who])
+            place = np.minimum(np.searchsorted(ref, tokens), len(ref) - 1)
+            common = ref[place] == tokens
+            answer = np.bincount(owner[common], minlength=m)
+            far = 1.0 - answer / np.maximum(n + len(ref) - answer, 1)
+            fa, fb = far[rows][:, None], far[cols][None, :]
+            linked = open_ & (fa + fb <= reach - 1e-9)
+            rest = open_ & ~linked & (np.abs(fa - fb) <= reach + 1e-9)
+            left = np.zeros(m, dtype=bool)
+            left[rows] |= rest.any(1)
+            left[cols] |= rest.any(0)
+            if left.any():
+                # |A & B| is what they share of the reference, and of the rest.  The first part is |A & R| + |B & R| - |R| + |both lack of R|
+                # where the members are similar to the reference, and counted as it is where they lack more of it than they have.
+                has = left[owner]
+                inside, extra = has & common, has & ~common
+                some = np.flatnonzero(left)
+                if 2 * inside.sum() >= len(some) * len(ref):
+                    seen = np.zeros((len(some), len(ref)), dtype=bool)
+                    seen[(np.cumsum(left) - 1)[owner[inside]], place[inside]] = True
+                    lacking, missed = np.nonzero(~seen)
+                    both = answer[rows][:, None] + answer[cols][None, :] - len(ref) + _gram(some[lacking], missed, m, cut)
+                else:
+                    both = _gram(owner[inside], place[inside], m, cut)
+                both = both + _gram(owner[extra], tokens[extra], m, cut)
+                linked |= rest & ((100 + percent) * both >= percent * (n[rows][:, None] + n[cols][None, :])) & (both > 0)
+        links = np.zeros(m, dtype=np.int64)
+        links[rows] += linked @ w[cols]
+        links[cols] += linked.T @ w[rows]
+        # Each member's neighbour of the least key, from either side, until labels stand.
+        label = key.copy()
+        top = np.iinfo(np.int64).max
+        while True:
+            before = label.copy()
+            if linked.any():
+                label[rows] = np.minimum(label[rows], np.where(linked, label[cols][None, :], top).min(1))
+                label[cols] = np.minimum(label[cols], np.where(linked, label[rows][:, None], top).min(0))
+            if np.array_equal(before, label):
+                break
+        got = links > 0
+        return pa.table({"id": pa.array(key[got]), "h1": pa.array(h1[got]), "links": pa.array(links[got].astype(np.int64)), "other": pa.array(label[got])})
 
-def _fit(percent: int) -> Column:
-    return (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    return run
 
 
-def _bitmap(tokens: DataFrame) -> np.ndarray:
+def _bitmap(hashes: DataFrame) -> np.ndarray:
     """The bitmap of the first 25 bits of a column ``token``: MAP_BITS / 8 bytes, built by grouped aggregates."""
     out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
-    bit = tokens.select(F.shiftrightunsigned("token", 39).alias("bit"))
+    bit = hashes.select(F.shiftrightunsigned("token", 39).alias("bit"))
     pages = bit.groupBy((F.col("bit") / PAGE_BITS).cast("int").alias("page")).agg(F.bitmap_construct_agg((F.col("bit") % PAGE_BITS).cast("long")).alias("bits"))
-    for r in pages.toLocalIterator():
+    for r in pages.collect():
         out[r.page * PAGE_BITS // 8 : (r.page + 1) * PAGE_BITS // 8] = np.frombuffer(r.bits, dtype=np.uint8)
     return out
 
 
-def link_counts(under: DataFrame, answers: DataFrame, copies: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_links) of the documents that link with others: all pairs of members of a leader, then the copies of their texts."""
-    reach = (100 - percent) / 100
-    known = stored(answers.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("linked").alias("linked")), "known")
-    members = under.withColumns({"a": F.least("lead", "id"), "b": F.greatest("lead", "id")}).join(known.drop("linked"), ["a", "b"], "left")
-    # Distance from the leader: known, or anything from 0 to 1.
-    members = members.withColumn("d", F.when(F.col("id") == F.col("lead"), F.lit(0.0)).otherwise(F.col("d")))
-    members = stored(members.select("lead", "id", "n", "t", "shared", "leads", F.coalesce("d", F.lit(0.0)).alias("least"), F.coalesce("d", F.lit(1.0)).alias("most")), "all-members")
-    side = lambda k: members.select("lead", F.col("id").alias(k), *[F.col(v).alias(v + k) for v in ("n", "t", "shared", "leads", "least", "most")])
-    met = side("a").join(side("b"), "lead").where("a < b")
-    part = F.least("shareda", "sharedb") * F.least("leadsa", "leadsb")  # as in join()
-    met = met.where(_fit(percent) & (_shared_prefix(percent) <= F.least("ta", "tb", part)) & (F.col("leasta") - F.col("mostb") <= reach + 1e-9) & (F.col("leastb") - F.col("mosta") <= reach + 1e-9))
-    met = met.groupBy("a", "b").agg(F.min(F.col("mosta") + F.col("mostb")).alias("far")).join(known, ["a", "b"], "left_anti")
-    met = stored(met, "link-pairs")
-    sure = F.col("far") <= reach - 1e-9
-    links = known.where("linked").select("a", "b").unionByName(met.where(sure).select("a", "b"))
-    unsure = met.where(~sure).select("a", "b")
-    if unsure.limit(1).count():
-        links = links.unionByName(verified(unsure, texts, percent).where("linked").select("a", "b").distinct())
-    # Weight of a text: the documents that have it.
-    weights = copies.groupBy("node").agg(F.count(F.lit(1)).alias("w"))
-    links = stored(links, "links")
-    ends = links.select(F.col("a").alias("id"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("node")))
-    own = ends.join(weights, "node", "left").select("id", F.coalesce("w", F.lit(1)).alias("w")).unionByName(weights.select(F.col("node").alias("id"), (F.col("w") - 1).alias("w")))
-    own = stored(own.groupBy("id").agg(F.sum("w").alias("n")), "node-links")
-    moved = own.join(copies.where("doc_id <> node").withColumnRenamed("node", "id"), "id").select("doc_id", "n")
-    return own.withColumnRenamed("id", "doc_id").unionByName(moved).groupBy("doc_id").agg(F.sum("n").alias("n_links"))
-
-
-def join(docs: DataFrame, percent: int = PERCENT, count_links: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, component_id; n_links if wanted), the verified pairs between distinct texts (not all that link), and (doc_id, node) for copies."""
-    reach = (100 - percent) / 100 + 1e-9
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(7))})
-    survey = stored(keyed.mapInArrow(_survey, "doc_id long, h1 long, h2 long, token long, n long"), "survey")
-    sizes = survey.where("token is null").select("doc_id", "h1", "h2", "n")
-    # Equal texts: one node, the smallest doc_id.
-    same = sizes.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node < last")
-    copies = stored(sizes.join(same.select("h1", "h2", "node"), ["h1", "h2"]).where("doc_id is not null").select("doc_id", "node").distinct(), "copies")
+def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, meta_block: int = META_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, component_id, n_links, and t1, t2, label: hashes of the text and the component with those of
+    rows without a doc_id); links (a, b) between class representatives that connect what links; (key, node) of rows that have a copy."""
+    spark = docs.sparkSession
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    survey = stored(keyed.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(7)).alias("t2")).mapInArrow(_survey, _SURVEY), "survey")
+    sizes = survey.where("token is null").drop("token")
+    # Equal sets: one node, the smallest key; w documents have it.
+    named = sizes.where("n > 0").select("key", "h1", "h2").distinct()
+    same = stored(named.groupBy("h1", "h2").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("w")).where("w > 1"), "same")
 
     often = survey.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    rows = postings(keyed.where("doc_id is not null"), _bitmap(often), _bitmap(same.select(F.col("h1").alias("token"))), percent)
-    twice = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    found = stored(rows.join(twice, "token", "left_semi"), "found")
-    # Only rows of texts that may have copies need the look-up of their node.
-    moved = found.where("m % 2 = 1").join(copies.withColumnRenamed("doc_id", "id"), "id", "left").select("token", F.coalesce("node", "id").alias("id"), "m").distinct()
-    every = found.where("m % 2 = 0").unionByName(moved).select("token", "id", F.shiftright("m", 1).alias("n"))
-    lists = stored(every.withColumn("t", F.count(F.lit(1)).over(Window.partitionBy("id"))), "lists")
-
-    # Leader of a list: the member with the largest share of its prefix in the index, which is the least edited of near copies.
-    private = 1 - F.col("t") / (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1) + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * 1e-12
-    leaders = lists.groupBy("token").agg(F.min_by("id", private).alias("lead"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token", "lead")
-    # (lead, id): in how many lists of this leader the member stands, and under how many leaders; the leader is a member too.
-    under = lists.join(leaders, "token").groupBy("lead", "id").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"), F.max("t").alias("t"))
-    under = stored(under.withColumn("leads", F.count(F.lit(1)).over(Window.partitionBy("id"))), "under")
-    led = under.where("id <> lead").withColumnRenamed("n", "nb").join(under.where("id = lead").select("lead", F.col("n").alias("na")), "lead")
-    # A member that shares few of its tokens under this leader is left to the second step.
-    pairs = stored(led.where(_fit(percent) & (2 * F.col("shared") >= _shared_prefix(percent))).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
-    node_texts = keyed.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    answers = stored(verified(pairs, node_texts, percent), "answers")
-    linked = answers.where("linked").select("a", "b")
-    labels = components(linked)
-
-    # Two members of a list share its leader.  Leaders whose members are in several components are looked at again;
-    # the leader's answers, the sizes and the numbers of shared tokens rule out most of what is left.
-    known = answers.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
-    members = under.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_leads = members.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("lead")
-    members = members.join(open_leads, "lead", "left_semi").withColumns({"a": F.least("lead", "id"), "b": F.greatest("lead", "id")}).join(known, ["a", "b"], "left")
-    # Distance from the leader: known, or anything from 0 to 1.
-    members = members.withColumn("d", F.when(F.col("id") == F.col("lead"), F.lit(0.0)).otherwise(F.col("d")))
-    members = stored(members.select("lead", "id", "n", "t", "shared", "leads", "component", F.coalesce("d", F.lit(0.0)).alias("least"), F.coalesce("d", F.lit(1.0)).alias("most")), "members")
-    parts = members.groupBy("lead", "component").agg(F.min("least").alias("near"), F.max("most").alias("far"), F.min("n").alias("small"), F.max("n").alias("large"), F.max("t").alias("t"))
-    x, y = [parts.select("lead", *[F.col(c).alias(f"{c}_{side}") for c in ("component", "near", "far", "small", "large", "t")]) for side in "xy"]
-    apart = (F.col("component_x") < F.col("component_y")) & (F.col("near_x") - F.col("far_y") <= reach) & (F.col("near_y") - F.col("far_x") <= reach)
-    fitting = (100 * F.col("large_x") >= percent * F.col("small_y")) & (100 * F.col("large_y") >= percent * F.col("small_x"))
-    single = (F.col("small_x") == F.col("large_x")) & (F.col("small_y") == F.col("large_y"))
-    enough = ~single | (_shared_prefix(percent, "small_x", "small_y") <= F.least("t_x", "t_y"))
-    between = x.join(y, "lead").where(apart & fitting & enough).select("lead", F.col("component_x").alias("ca"), F.col("component_y").alias("cb"))
-    side = lambda c, k: members.select("lead", F.col("component").alias(c), F.col("id").alias(k), *[F.col(v).alias(v + k) for v in ("n", "t", "shared", "leads", "least", "most")])
-    met = between.join(side("ca", "a"), ["lead", "ca"]).join(side("cb", "b"), ["lead", "cb"])
-    # Under a leader two members share at most as many tokens as the one with fewer has; some leader of theirs must give an even part of what is needed.
-    part = F.least("shareda", "sharedb") * F.least("leadsa", "leadsb")
-    met = met.where(_fit(percent) & (_shared_prefix(percent) <= F.least("ta", "tb", part)) & (F.col("leasta") - F.col("mostb") <= reach) & (F.col("leastb") - F.col("mosta") <= reach))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = met.join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "more-pairs")
-    if more.limit(1).count():
-        second = stored(verified(more, node_texts, percent), "more-answers")
-        answers = answers.unionByName(second)
-        linked = answers.where("linked").select("a", "b")
-    edges = linked.unionByName(copies.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    final = components(edges)
-    out = sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    if count_links:
-        counts = link_counts(under, answers, copies, node_texts, percent)
-        out = out.join(counts, "doc_id", "left").withColumn("n_links", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))))
-    return out, answers, copies
+    rows = stored(prefixes(keyed, _bitmap(often), _bitmap(same.select(F.col("h1").alias("token"))), percent), "prefixes")
+    index = entries(rows, twice(rows), percent)
+    under = stored(families(index, percent), "families")
+    discard(rows)
+    # Sizes and reach first: only members with a possible partner go on.
+    met = by_groups(in_blocks(under, meta_block), ["lead", "x", "y"], _partners(percent), "lead long, id long, n long, t long")
+    chosen = stored(met.distinct(), "chosen")
+    discard(under)
+    texts = sizes.join(chosen.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi")
+    wanted = spark.sparkContext.broadcast(_bitmap(texts.select(F.col("t1").alias("token"))))
+    found = keyed.withColumn("t1", F.xxhash64("text")).mapInArrow(_sets(wanted), "h1 long, h2 long, key long, n long, tokens binary")
+    sets = found.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("n").alias("size"), F.first("tokens").alias("tokens"))
+    sets = sets.join(same.select("h1", "h2", "w"), ["h1", "h2"], "left").withColumn("w", F.coalesce("w", F.lit(1)))
+    leads = chosen.groupBy("id").agg(F.collect_list("lead").alias("leads"))
+    sets = stored(sets.join(leads, sets["h1"] == leads["id"]).drop("id"), "sets")
+    blocks = in_blocks(chosen.withColumn("reach", F.floor(100 * F.col("n") / percent)), block, BLOCK_TOKENS)
+    ready = blocks.drop("reach").join(sets.drop("size").withColumnRenamed("h1", "id"), "id")
+    answers = stored(by_groups(ready, ["lead", "x", "y"], _links(percent), "id long, h1 long, links long, other long"), "answers")
+    edges = answers.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    # Rows that share a doc_id but not the set connect their nodes.
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    twins = stored(named.join(several, "key", "left_semi").join(same, ["h1", "h2"], "left").select("h1", "h2", "key", F.coalesce("node", "key").alias("node"), F.coalesce("w", F.lit(1)).alias("w")), "several")
+    edges = edges.unionByName(twins.where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b")))
+    labels = components(edges)
+    links = answers.groupBy(F.col("id").alias("node"), "h1").agg(F.sum("links").alias("links"))
+    # What is known of a set that links, has a copy, or belongs to a doc_id with several.
+    nodes = sets.select("h1", "h2", F.col("key").alias("node"), F.col("w").cast("long").alias("w")).unionByName(same.select("h1", "h2", "node", "w")).unionByName(twins.select("h1", "h2", "node", "w")).groupBy("h1", "h2").agg(F.min("node").alias("node"), F.max("w").alias("w"))
+    verdict = stored(nodes.join(labels, "node", "left").join(links, ["node", "h1"], "left").select("h1", "h2", F.coalesce("component", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links")), "verdict")
+    copies = sizes.join(same.select("h1", "h2", "node"), ["h1", "h2"]).select("key", "node").distinct()
+    discard(chosen, sets, answers, twins)
+    out = sizes.join(verdict, ["h1", "h2"], "left").withColumn("label", F.coalesce("label", "key"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label") < NAMELESS, F.col("label")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "t1", "t2", "label")
+    return out, labels.select(F.col("node").alias("a"), F.col("component").alias("b")), copies
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents").select("doc_id", "text"), count_links=True)[0]
+    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))[0].select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, that of the smallest doc_id; rows that share a doc_id stay together."""
+    """Pipeline stage: one document of each group stays, that of the smallest doc_id; rows that share a doc_id stay together.
+
+    Of a group without any doc_id the row of the least text hash stays; columns of any other name are kept as they are."""
     rows, _, _ = join(docs.select("doc_id", "text"))
     gone = rows.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    lost = rows.where("doc_id is null and n_shingles > 0").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("label").alias("_label")).distinct()
+    nameless = docs.where("doc_id is null").withColumns({"_t1": F.xxhash64(F.coalesce("text", F.lit(""))), "_t2": F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7))})
+    judged = nameless.join(lost, ["_t1", "_t2"], "left")
+    every = F.struct("_t1", "_t2", *[F.col(f"`{c}`") for c in docs.columns])
+    first = judged.where(F.col("_label") >= NAMELESS).groupBy("_label").agg(F.min(every).alias("row")).select("row.*").drop("_t1", "_t2")
+    return named.unionByName(judged.where("_label is null").select(*docs.columns)).unionByName(first.select(*docs.columns))

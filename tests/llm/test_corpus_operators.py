@@ -43,20 +43,13 @@ def near_copies(seed=3, groups=6):
     return rows
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_jaccard_join(spark, seed):
+@pytest.mark.parametrize(("seed", "blocks"), [(3, {}), (4, {"block": 3, "meta_block": 2})])  # families of one block, and of many
+def test_jaccard_join(spark, seed, blocks):
     rows = near_copies(seed)
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.join(df)[0].collect()}
-    assert got == brute.jaccard_components(rows)
-
-
-def test_jaccard_query_and_odd_rows(spark):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.op10_ngram_jaccard_join(spark, SF).collect()}
-    assert got == brute.jaccard_components(documents(spark))
-    odd = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
-    assert sorted((tuple(r) for r in shingle_join.join(odd)[0].collect()), key=str) == sorted([(None, 2, None), (2, 2, 2), (2, 2, 2), (3, 1, 3)], key=str)
-    assert shingle_join.join(odd.limit(0))[0].count() == 0
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("node", "key", "t1", "h1", "token", "n", "label")}).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in shingle_join.join(df, **blocks)[0].collect()}
+    links = link_numbers(rows)
+    assert got == {i: (*x, links[i]) for i, x in brute.jaccard_components(rows).items()} and max(links.values()) > 2
 
 
 def link_numbers(rows):
@@ -65,19 +58,30 @@ def link_numbers(rows):
     return {a: sum(bool(linked(a, b)) for b in sets) for a in sets}
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_jaccard_links(spark, seed):
-    rows = near_copies(seed)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = shingle_join.join(df, count_links=True)[0].collect()
-    assert {r.doc_id: r.n_links for r in out} == link_numbers(rows) and max(r.n_links for r in out) > 2
+def test_jaccard_query(spark):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in shingle_join.op10_ngram_jaccard_join(spark, SF).collect()}
+    links = link_numbers(documents(spark))
+    assert got == {i: (*x, links[i]) for i, x in brute.jaccard_components(documents(spark)).items()}
+
+
+def test_jaccard_odd_rows(spark):
+    def run(rows):
+        return sorted((tuple(r)[:4] for r in shingle_join.join(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()), key=str)
+
+    text = "a b c d e f"
+    # Equal texts without a doc_id are one document; it belongs to the least doc_id it links with.
+    assert run([(None, text), (None, text), (2, text), (2, text), (3, "x"), (4, None), (5, text.upper()), (None, "lone words")]) == sorted(
+        [(None, 2, 2, 2), (None, 2, 2, 2), (2, 2, 2, 2), (2, 2, 2, 2), (3, 1, 3, 0), (4, 0, 4, 0), (5, 2, 2, 2), (None, 1, None, 0)], key=str
+    )
+    # Rows of one doc_id with different texts connect what they link with; each row has its own number of links.
+    assert run([(1, "p q r s t u"), (5, "p q r s t u"), (5, text), (7, text)]) == [(1, 2, 1, 1), (5, 2, 1, 1), (5, 2, 1, 1), (7, 2, 1, 1)]
+    assert run([]) == [] and run([(1, None), (2, "")]) == [(1, 0, 1, 0), (2, 0, 2, 0)]
 
 
-def test_jaccard_links_query(spark):
-    got = {r.doc_id: r.n_links for r in shingle_join.op10_ngram_jaccard_join(spark, SF).collect()}
-    assert got == link_numbers(documents(spark))
-    odd = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (4, None), (5, "a b c d e f")], "doc_id long, text string")
-    assert {(r.doc_id, r.n_links) for r in shingle_join.join(odd, count_links=True)[0].collect()} == {(None, None), (2, 1), (3, 0), (4, 0), (5, 1)}
+def test_near_duplicate_stage_without_ids(spark):
+    rows = [(None, "a b c d e f", "s"), (None, "a b c d e f", "s"), (None, "g h i j k l", "s"), (3, "g h i j k l", "s"), (4, "G H i j k l", "s"), (None, None, "s"), (None, None, "s")]
+    out = shingle_join.stage_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, label string"), SF)
+    assert out.columns == ["doc_id", "text", "label"] and sorted((tuple(r) for r in out.collect()), key=str) == sorted([rows[0], rows[3], rows[5], rows[6]], key=str)
 
 
 def test_jaccard_prefix_bounds():

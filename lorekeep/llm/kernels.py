@@ -11,7 +11,7 @@ operations a byte, and dividing by ``BASE**start`` makes it independent of where
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,36 @@ def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return (sums[end] - sums[start]) * down[start]
 
 
+def _long_hash(span: np.ndarray, table: np.ndarray) -> int:
+    """The hash of one span of any length, piece by piece."""
+    total = 0
+    for at in range(0, len(span), BLOCK):
+        total += int(running(span[at : at + BLOCK], table)[-1]) * pow(BASE, at, 1 << 64)
+    return total % (1 << 64)
+
+
+def span_hasher(data: np.ndarray, table: np.ndarray = TABLE) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function for the hashes of spans [start, end) with ascending starts and ends.  Of long data only a piece is worked on at a time."""
+    if len(data) <= 4 * BLOCK:
+        sums = running(data, table)
+        return lambda start, end: spans_hash(sums, start, end)
+
+    def pieces(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out, lo = np.zeros(len(start), dtype=U64), 0
+        while lo < len(start):
+            if end[lo] - start[lo] > BLOCK:
+                out[lo] = _long_hash(data[start[lo] : end[lo]], table)
+                lo += 1
+                continue
+            hi = max(lo + 1, int(np.searchsorted(end, start[lo] + BLOCK, side="right")))
+            a, b = start[lo], end[hi - 1]
+            out[lo:hi] = spans_hash(running(data[a:b], table), start[lo:hi] - a, end[lo:hi] - a)
+            lo = hi
+        return out
+
+    return pieces
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n+1 offsets of a string column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -135,17 +165,7 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.nd
     starts, ends = word_spans(data, off)
     ptr = np.searchsorted(starts, off)
     ptr[-1] = len(starts)
-    if len(data) <= 4 * BLOCK:
-        raw = LOWER[data] if lower else data
-        return spans_hash(running(raw), starts, ends), starts, ends, ptr
-    parts, lo = [], 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, side="right")))
-        a, b = starts[lo], ends[hi - 1]
-        raw = LOWER[data[a:b]] if lower else data[a:b]
-        parts.append(spans_hash(running(raw), starts[lo:hi] - a, ends[lo:hi] - a))
-        lo = hi
-    return (np.concatenate(parts) if parts else np.zeros(0, U64)), starts, ends, ptr
+    return span_hasher(LOWER[data] if lower else data)(starts, ends), starts, ends, ptr
 
 
 def runs(word: np.ndarray, n: int, salt: int = 0) -> np.ndarray:

@@ -19,8 +19,9 @@ intact, so two lines within one edit agree on the hash of what precedes and what
 This is applied with two gaps to all distinct lines and with sixteen to those that remain, and variants
 are emitted only for places inside a gap that was matched.
 
-Defined results: a null text has no lines and stays null; an empty one is kept; a null doc_id comes
-before all others; rows that share a doc_id are one document in the order (each keeps the line); text is
+Defined results: a null text has no lines and stays null; an empty one is kept; rows with a null doc_id come
+before all others, in the order of the hash of their text (doc_ids below -2^62 are reserved for this); rows that share
+a doc_id, or have none and the same text, are one document in the order (each keeps the line); text is
 rejoined with ``\\n``; an empty table gives no rows; all columns are kept, those named ``n_lines`` or
 ``n_dropped`` are replaced.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import stored, table
+from .shared import discard, stored, table
 
 MIN_CHARS = 20
 MAX_EDITS = 1
@@ -62,7 +63,7 @@ def _cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return K.mix64(K.spans_hash(K.running(data), start, end)), K.mix64(K.spans_hash(K.running(data, K.TABLE2), start, end))
+    return K.mix64(K.span_hasher(data)(start, end)), K.mix64(K.span_hasher(data, K.TABLE2)(start, end))
 
 
 def _salt(width: np.ndarray, gap: int) -> np.ndarray:
@@ -83,14 +84,15 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end, _, ptr = _cut(data, off)
             if not len(start):
                 continue
-            h1, h2 = _hashes(data, start, end)
+            hashed = K.span_hasher(data)
+            h1, h2 = K.mix64(hashed(start, end)), K.mix64(K.span_hasher(data, K.TABLE2)(start, end))
             row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
             _, first = np.unique(np.stack([row.astype(K.U64), h1]), axis=1, return_index=True)
+            first.sort()
             start, end, h1, h2, row = start[first], end[first], h1[first], h2[first], row[first]
             points = np.flatnonzero(~TAIL[data])
             c0 = np.searchsorted(points, start)
             n = np.searchsorted(points, end) - c0
-            sums = K.running(data)
             near = n >= MIN_CHARS
             out = [keys[lo + row], h1.view(np.int64), h2.view(np.int64)]
             columns = [pa.array(x) for x in out]
@@ -100,8 +102,8 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 used = near & (width > 0) & ((width != width0) if shift else True)
                 w = np.where(used, width, 1)
                 at_front, at_back = points[np.minimum(c0 + w, len(points) - 1)], points[np.maximum(c0 + n - w, c0)]
-                front = K.mix64(K.spans_hash(sums, start, np.minimum(at_front, end)) ^ _salt(w, 1))
-                back = K.mix64(K.spans_hash(sums, at_back, end) ^ _salt(w, 0))
+                front = K.mix64(hashed(start, np.minimum(at_front, end)) ^ _salt(w, 1))
+                back = K.mix64(hashed(at_back, end) ^ _salt(w, 0))
                 columns += [pa.array(front.view(np.int64), mask=~used), pa.array(back.view(np.int64), mask=~used)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -187,7 +189,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h1, h2) of the distinct lines whose first occurrence lies within one edit of an earlier line."""
+    """(h1, h2), stored, of the distinct lines whose first occurrence lies within one edit of an earlier line."""
     # Distinct lines (h1, h2, key of the earliest document, gap keys).
     keyed = lines.where("k0 is not null").select("h1", "h2", "key", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("gap_key"))
     twice = keyed.groupBy("gap_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gap_key")
@@ -197,7 +199,7 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     content = content.withColumn("order", F.expr("cast(key as decimal(38,0)) * 4294967296 + line"))
     content = stored(content.withColumn("id", F.xxhash64("h1", "h2")), "near-candidates")
     if not content.limit(1).count():
-        return content.select("h1", "h2")
+        return stored(content.select("h1", "h2"), "near-lines")
     fine = stored(content.select("id", "content").mapInArrow(_fine, "gap_key long, id long, gap long"), "gaps")
     twice = fine.groupBy("gap_key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gap_key")
     gaps = fine.join(twice, "gap_key", "left_semi").groupBy("id").agg(F.collect_set("gap").alias("gaps"))
@@ -213,7 +215,9 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     own = content.select("id", "content", "h1", "h2", "order")
     first = content.select(F.col("order").alias("earlier"), F.col("content").alias("earlier_content"))
     checked = pairs.select("id", "earlier").join(own, "id").join(first, "earlier").where(F.levenshtein("content", "earlier_content", MAX_EDITS) >= 0)
-    return checked.select("h1", "h2").distinct()
+    close = stored(checked.select("h1", "h2").distinct(), "near-lines")
+    discard(content, fine, placed)
+    return close
 
 
 def _apply(columns: list[str]):
@@ -223,7 +227,7 @@ def _apply(columns: list[str]):
             raw, gone_lists, given = K.utf8(b.column("text")), b.column("gone").to_pylist(), b.column("text").is_null().to_pylist()
             for lo, hi, data, off in _pieces(*raw):
                 start, end, number, ptr = _cut(data, off)
-                h1 = _hashes(data, start, end)[0].view(np.int64).tolist() if len(start) else []
+                h1 = K.mix64(K.span_hasher(data)(start, end)).view(np.int64).tolist() if len(start) else []
                 numbers = number.tolist()
                 for d in range(hi - lo):
                     own = data[off[d] : off[d + 1]].tobytes()
@@ -246,15 +250,18 @@ def _apply(columns: list[str]):
 def dedup(docs: DataFrame, near: bool = True) -> DataFrame:
     """All rows of ``docs`` with their text without repeated lines, ``n_lines`` (before) and ``n_dropped``."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "key", "gone")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)))
+    # Without a doc_id the text tells rows apart: keys below all doc_ids from -2^62 on.
+    nameless = F.lit(LEAST) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    docs = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), nameless))
     texts = docs.select("key", "text")
-    places = texts.mapInArrow(_survey, "key long, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
+    places = stored(texts.mapInArrow(_survey, "key long, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long"), "places")
     lines = stored(places.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.max("key").alias("last"), *[F.min(k).alias(k) for k in ("k0", "k1", "k2", "k3")]), "lines")
     repeated = lines.where("key < last").select("h1", "h2", F.col("key").alias("kept"))
     if near:
-        close = stored(near_lines(texts, lines), "near-lines")
+        close = near_lines(texts, lines)
         repeated = repeated.join(close, ["h1", "h2"], "left_anti").unionByName(close.withColumn("kept", F.lit(None).cast("long")))
-    gone = places.select("key", "h1", "h2").join(repeated, ["h1", "h2"]).where("kept is null or kept <> key").groupBy("key").agg(F.collect_set("h1").alias("gone"))
+    gone = stored(places.select("key", "h1", "h2").join(repeated, ["h1", "h2"]).where("kept is null or kept <> key").groupBy("key").agg(F.collect_set("h1").alias("gone")), "gone")
+    discard(places, lines, *([close] if near else []))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own] + ["n_lines long, n_dropped long"])
     return docs.join(gone, "key", "left").drop("key").mapInArrow(_apply(own), schema)
 

@@ -102,8 +102,7 @@ def analyse(column: pa.Array) -> Iterator[tuple[dict[str, np.ndarray], np.ndarra
         line_ptr[-1] = len(starts)
         line_hash = np.zeros(0, K.U64)
         if len(starts):
-            sums = K.running(data) if len(data) <= 4 * K.BLOCK else None
-            line_hash = K.spans_hash(sums, starts, body_end) if sums is not None else np.array([hash(data[a:b].tobytes()) & (2**64 - 1) for a, b in zip(starts, body_end, strict=True)], dtype=K.U64)
+            line_hash = K.span_hasher(data)(starts, body_end)
         earlier = np.zeros(len(starts), dtype=bool)
         for a, b in zip(line_ptr[:-1].tolist(), line_ptr[1:].tolist(), strict=True):
             if b - a > 1:

@@ -121,6 +121,13 @@ def test_line_dedup_query(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_of_rows_without_ids(spark):
+    rows = [(None, "one line here"), (None, "other words here\none line here"), (None, None), (3, "one line here\nown"), (3, "one line here\nown"), (4, "own")]
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("key", "gone", "n_dropped", "h1", "kept")})).collect()
+    assert sum("one line here" in (r.text or "") for r in out) == 1 and [r.text for r in out if r.doc_id == 3] == ["own", "own"] and [r.text for r in out if r.doc_id == 4] == [""]
+    assert all(r.h1 == "x" and r.kept == "x" for r in out) and sum(r.text is None for r in out) == 1
+
+
 def test_repeated_spans(spark):
     rows = near_copies(9, 8)
     got = {(r.doc_id, r.start, r.end) for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(0)).repartition(3)).collect()}

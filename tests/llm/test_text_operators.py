@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe_codec, fingerprints, html_extraction, kernels, language_id, quality_rules, url_filters
+from lorekeep.llm import bpe_codec, fingerprints, html_extraction, kernels, language_id, line_dedup, quality_rules, url_filters
 from tests.compare import assert_same
 from tests.llm import brute
 
@@ -27,6 +27,22 @@ def test_words_of_the_kernel(texts):
     assert got == [brute.words(t) for t in texts]
 
 
+def test_long_texts_are_worked_on_in_pieces(monkeypatch):
+    texts = ["aé b\ncc dd  " * 40 + "x" * 100 + "\n" + "y " * 90, "", "x" * 100, "same line here\nother\nsame line here"]
+    def everything():  # noqa: E306
+        column = pa.array(texts, pa.string())
+        data, off = kernels.utf8(column)
+        sets = [s.tolist() for s in kernels.shingle_sets(column)]
+        counts = quality_rules.measure(column, quality_rules.LineField())
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), column], names=["key", "text"])
+        surveyed = [r for b in line_dedup._survey([batch]) for r in b.to_pylist()]
+        return sets, {k: v.tolist() for k, v in counts.items()}, surveyed, [x.tolist() for x in kernels.words(data, off)]
+
+    whole = everything()
+    monkeypatch.setattr(kernels, "BLOCK", 16)
+    assert everything() == whole
+
+
 def test_shingle_sets_have_the_right_sizes_in_any_block():
     texts = [*ODD, "A b c d e f", "a B c d e f"] * 3
     got = list(kernels.shingle_sets(pa.array(texts, pa.string())))

@@ -46,22 +46,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from . import kernels as K
 from .components import components
-from .shared import by_groups, discard, partitions, stored, table
+from .shared import by_groups, discard, stored, table
 
 SHINGLE = 5
 PERCENT = 75
 #: Tokens that a task counts at a time, how often one must occur there to be reported, and in all to be frequent.
 COUNTED, REPORTED, FREQUENT = 4_000_000, 2, 8
-MAP_BITS = 1 << 25
-PAGE_BITS = 32768  # of Spark's bitmap functions
-#: The map of tokens that occur twice: PAGES pages of 2^16 bits.
-PAGES = 2048
+#: The bitmaps of frequent tokens, of copies and of wanted texts have 2^MAP_BITS bits.
+MAP_BITS = 25
 #: Members of a block of a family when sizes are compared, and when sets are.
-META_BLOCK, BLOCK = 4096, 512
+META_BLOCK, BLOCK = 4096, 2048
 #: Tokens of a block when sets are compared (a set may have more).
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 4_000_000
+#: Rows and columns of a matrix of pairs at a time.
+TILE = 512
 #: Columns of a matrix of differences at a time.
 COLUMNS = 4096
 #: Keys from here on stand for rows without a doc_id.
@@ -111,18 +112,12 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield report()
 
 
-def _among(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether the bit of each hash is set in a bitmap over their first bits."""
-    bit = hashes >> K.U64(64 - (len(bitmap) * 8 - 1).bit_length())
-    return (bitmap[bit >> K.U64(3)] >> (bit & K.U64(7)).astype(np.uint8)) & 1 == 1
-
-
 def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The tokens to index, in the global order, of an ascending set; ``frequent`` is a bitmap over their first bits."""
     n = len(tokens)
     size = n - (percent * n + 99) // 100 + 1
     if n and len(frequent):
-        often = _among(frequent, tokens)
+        often = bitmaps.among(frequent, tokens)
         if often.any():
             tokens = np.concatenate([tokens[~often], tokens[often]])
     return tokens[:size] if n else tokens
@@ -145,51 +140,14 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, repeated: np.ndarray, percen
                     np.cumsum([len(x[1]) for x in rows.values()], out=off[1:])
                     tokens = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([x[1] for x in rows.values()]).view(np.int64)))
                     h1 = np.array([h[0] for h in rows], dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array([h[1] for h in rows], pa.int64()), pa.array([x[0] for x in rows.values()], pa.int64()), tokens, pa.array(_among(again, h1.view(K.U64)))], names=["h1", "h2", "n", "tokens", "again"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array([h[1] for h in rows], pa.int64()), pa.array([x[0] for x in rows.values()], pa.int64()), tokens, pa.array(bitmaps.among(again, h1.view(K.U64)))], names=["h1", "h2", "n", "tokens", "again"])
 
     rows = docs.select("text").mapInArrow(run, "h1 long, h2 long, n long, tokens array<long>, again boolean")
     return rows.where("not again").unionByName(rows.where("again").dropDuplicates(["h1", "h2"])).drop("again")
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, bits): the places, in their page of the map, of the tokens met, repeats included."""
-
-    def report(held: list[np.ndarray]) -> pa.RecordBatch:
-        bits = np.sort(np.concatenate(held) >> K.U64(64 - 16 - (PAGES - 1).bit_length()))
-        page, start = np.unique(bits >> K.U64(16), return_index=True)
-        low = (bits & K.U64(0xFFFF)).astype("<u2")
-        ends = np.append(start[1:], len(low))
-        return pa.RecordBatch.from_arrays([pa.array(page.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary())], names=["page", "bits"])
-
-    held, n = [], 0
-    for b in batches:
-        held.append(b.column("tokens").flatten().to_numpy(zero_copy_only=False).view(K.U64))
-        n += len(held[-1])
-        if n > COUNTED:
-            yield report(held)
-            held, n = [], 0
-    if n:
-        yield report(held)
-
-
-def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, bits): a bitmap of the places that occur twice or more; all rows of a page are in one partition."""
-    seen: dict[int, np.ndarray] = {}
-    for b in batches:
-        for page, bits in zip(b.column("page").to_pylist(), b.column("bits").to_pylist(), strict=True):
-            own = seen.setdefault(page, np.zeros(1 << 16, dtype=np.uint8))
-            own[:] = np.minimum(own + np.minimum(np.bincount(np.frombuffer(bits, "<u2"), minlength=1 << 16), 2).astype(np.uint8), 2)
-    for page, own in seen.items():
-        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([np.packbits(own == 2, bitorder="little").tobytes()], pa.binary())], names=["page", "bits"])
-
-
-def twice(rows: DataFrame) -> np.ndarray:
-    """The bitmap of the tokens that stand in two or more prefixes: PAGES * 8 KB, whatever the input."""
-    out = np.zeros(PAGES << 13, dtype=np.uint8)
-    pages = rows.select("tokens").mapInArrow(_pages, "page int, bits binary").repartition(min(PAGES, partitions(rows.sparkSession)), "page").mapInArrow(_twice, "page int, bits binary")
-    for r in pages.collect():
-        out[r.page << 13 : (r.page + 1) << 13] = np.frombuffer(r.bits, dtype=np.uint8)
-    return out
+    yield from bitmaps.paged(b.column("tokens").flatten().to_numpy(zero_copy_only=False).view(K.U64) for b in batches)
 
 
 def entries(rows: DataFrame, again: np.ndarray, percent: int = PERCENT) -> DataFrame:
@@ -203,7 +161,7 @@ def entries(rows: DataFrame, again: np.ndarray, percent: int = PERCENT) -> DataF
             length = np.diff(off)
             row = np.repeat(np.arange(len(b)), length)
             at = np.arange(len(tokens)) - np.repeat(off[:-1], length)
-            keep = _among(shared.value, tokens)
+            keep = bitmaps.among(shared.value, tokens)
             tokens, row, at = tokens[keep], row[keep], at[keep]
             n, t = b.column("n").to_numpy(), np.bincount(row, minlength=len(b))
             reach = (n[row] - at) * (100 + percent) // percent - n[row]
@@ -294,7 +252,7 @@ def _sets(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for whole in batches:
-            b = whole.filter(pa.array(_among(wanted.value, whole.column("t1").to_numpy().view(K.U64))))
+            b = whole.filter(pa.array(bitmaps.among(wanted.value, whole.column("t1").to_numpy().view(K.U64))))
             for at in range(0, len(b), 1024):
                 part = b.slice(at, 1024)
                 rows: dict[tuple[int, int], tuple] = {}
@@ -326,92 +284,120 @@ def _gram(rows: np.ndarray, cols: np.ndarray, n_rows: int, cut: int) -> np.ndarr
     return out
 
 
-def _links(percent: int):
+class _Family:
+    """The members of a pair of blocks, their sets' overlaps with one reference set, and what is left of each set besides it."""
+
+    def __init__(self, n: np.ndarray, tokens: np.ndarray, ref: np.ndarray) -> None:
+        self.n, self.ref = n, ref
+        self.off = np.zeros(len(n) + 1, dtype=np.int64)
+        np.cumsum(n, out=self.off[1:])
+        self.place = np.minimum(np.searchsorted(ref, tokens), len(ref) - 1).astype(np.int32)
+        self.common = ref[self.place] == tokens
+        self.tokens = tokens
+        self.answer = np.add.reduceat(self.common, self.off[:-1], dtype=np.int64)
+        self.far = 1.0 - self.answer / (n + len(ref) - self.answer)
+
+    def overlaps(self, a: np.ndarray, b: np.ndarray, one: bool) -> np.ndarray:
+        """|A & B| for members ``a`` against members ``b`` (the same ones if ``one``).
+
+        That is what they share of the reference, and of the rest.  The first part is |A & R| + |B & R| - |R| + |both lack of R| where the
+        members are similar to the reference, and counted as it is where they lack more of it than they have."""
+        who = a if one else np.concatenate([a, b])
+        at = np.concatenate([np.arange(self.off[i], self.off[i + 1]) for i in who])
+        owner = np.repeat(np.arange(len(who)), self.n[who])
+        common, place = self.common[at], self.place[at]
+        cut = len(a)
+        if 2 * common.sum() >= len(who) * len(self.ref):
+            seen = np.zeros((len(who), len(self.ref)), dtype=bool)
+            seen[owner[common], place[common]] = True
+            lacking, missed = np.nonzero(~seen)
+            both = self.answer[a][:, None] + self.answer[who if one else b][None, :] - len(self.ref) + _gram(lacking, missed, len(who), cut)
+        else:
+            both = _gram(owner[common], place[common], len(who), cut)
+        return both + _gram(owner[~common], self.tokens[at][~common], len(who), cut)
+
+
+def _links(percent: int, tile: int = TILE):
     """(id, h1, links, other): what the members of a pair of blocks find there; ``other`` keeps the links of the pair connected."""
     reach = (100 - percent) / 100
 
     def run(group: pa.Table) -> pa.Table:
-        side, key = group.column("side").to_numpy(), group.column("key").to_numpy()
-        lead, h1 = group.column("lead")[0].as_py(), group.column("id").to_numpy()
-        order = np.lexsort((h1, side))
-        side, key, h1 = side[order], key[order], h1[order]
-        n, t, w = [group.column(c).to_numpy()[order] for c in ("n", "t", "w")]
-        data = group.column("tokens")
-        sets = [np.frombuffer(data[int(i)].as_buffer(), dtype=K.U64) for i in order]
-        m, cut = len(n), int((side == 0).sum())
-        one = cut == m
-        rows, cols = slice(0, cut), (slice(0, m) if one else slice(cut, m))
-        open_ = _possible(n, t, rows, cols, percent) & (key[rows][:, None] != key[cols][None, :])
-        if one:
-            open_ = np.triu(open_, 1)
-        # Pairs that are both in a family before this one are looked at there.
-        leads = [np.array(x, dtype=np.int64) for x in group.column("leads").take(pa.array(order)).to_pylist()]
-        earlier = [x[x < lead] for x in leads]
-        if any(map(len, earlier)):
-            both = _gram(np.repeat(np.arange(m), [len(x) for x in earlier]), np.concatenate(earlier), m, cut)
-            open_ &= both == 0
-        busy = np.zeros(m, dtype=bool)
-        busy[rows] |= open_.any(1)
-        busy[cols] |= open_.any(0)
-        linked = np.zeros(open_.shape, dtype=bool)
-        if busy.any():
+        lead, m = group.column("lead")[0].as_py(), len(group)
+        order = np.lexsort((group.column("n").to_numpy(), group.column("side").to_numpy()))
+        side, key, h1, n, t, w = [group.column(c).to_numpy()[order] for c in ("side", "key", "id", "n", "t", "w")]
+        cut = int((side == 0).sum())
+        links, label = np.zeros(m, dtype=np.int64), key.copy()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if m > 1:
+            data = group.column("tokens").take(pa.array(order)).combine_chunks()
+            tokens = np.frombuffer(b"".join([x.as_buffer() for x in data]), dtype=K.U64)
+            # Pairs that are both in a family before this one are looked at there.
+            leads = [np.array(x, dtype=np.int64) for x in group.column("leads").take(pa.array(order)).to_pylist()]
+            earlier = [x[x < lead] for x in leads]
             # The answers of a reference set: the family's leader if it is here, else the first member.
             at = np.flatnonzero(h1 == lead)
-            ref = sets[int(at[0]) if len(at) else int(np.flatnonzero(busy)[0])]
-            who = np.flatnonzero(busy)
-            tokens, owner = np.concatenate([sets[i] for i in who]), np.repeat(who, n[who])
-            place = np.minimum(np.searchsorted(ref, tokens), len(ref) - 1)
-            common = ref[place] == tokens
-            answer = np.bincount(owner[common], minlength=m)
-            far = 1.0 - answer / np.maximum(n + len(ref) - answer, 1)
-            fa, fb = far[rows][:, None], far[cols][None, :]
-            linked = open_ & (fa + fb <= reach - 1e-9)
-            rest = open_ & ~linked & (np.abs(fa - fb) <= reach + 1e-9)
-            left = np.zeros(m, dtype=bool)
-            left[rows] |= rest.any(1)
-            left[cols] |= rest.any(0)
-            if left.any():
-                # |A & B| is what they share of the reference, and of the rest.  The first part is |A & R| + |B & R| - |R| + |both lack of R|
-                # where the members are similar to the reference, and counted as it is where they lack more of it than they have.
-                has = left[owner]
-                inside, extra = has & common, has & ~common
-                some = np.flatnonzero(left)
-                if 2 * inside.sum() >= len(some) * len(ref):
-                    seen = np.zeros((len(some), len(ref)), dtype=bool)
-                    seen[(np.cumsum(left) - 1)[owner[inside]], place[inside]] = True
-                    lacking, missed = np.nonzero(~seen)
-                    both = answer[rows][:, None] + answer[cols][None, :] - len(ref) + _gram(some[lacking], missed, m, cut)
-                else:
-                    both = _gram(owner[inside], place[inside], m, cut)
-                both = both + _gram(owner[extra], tokens[extra], m, cut)
-                linked |= rest & ((100 + percent) * both >= percent * (n[rows][:, None] + n[cols][None, :])) & (both > 0)
-        links = np.zeros(m, dtype=np.int64)
-        links[rows] += linked @ w[cols]
-        links[cols] += linked.T @ w[rows]
-        # Each member's neighbour of the least key, from either side, until labels stand.
-        label = key.copy()
-        top = np.iinfo(np.int64).max
-        while True:
-            before = label.copy()
-            if linked.any():
-                label[rows] = np.minimum(label[rows], np.where(linked, label[cols][None, :], top).min(1))
-                label[cols] = np.minimum(label[cols], np.where(linked, label[rows][:, None], top).min(0))
-            if np.array_equal(before, label):
-                break
+            at = int(at[0]) if len(at) else 0
+            begin = int(n[:at].sum())
+            family = _Family(n, tokens, tokens[begin : begin + int(n[at])])
+            last = m if cut == m else cut
+            for i in range(0, last, tile):
+                rows = slice(i, min(i + tile, last))
+                for j in range(i, m, tile) if cut == m else range(cut, m, tile):
+                    cols = slice(j, min(j + tile, m))
+                    one = rows == cols
+                    open_ = _possible(n, t, rows, cols, percent) & (key[rows][:, None] != key[cols][None, :])
+                    if one:
+                        open_ = np.triu(open_, 1)
+                    if not open_.any():
+                        continue
+                    if any(len(earlier[x]) for x in range(rows.start, rows.stop)):
+                        who = [*range(rows.start, rows.stop), *(() if one else range(cols.start, cols.stop))]
+                        own = [earlier[x] for x in who]
+                        open_ &= _gram(np.repeat(np.arange(len(who)), [len(x) for x in own]), np.concatenate(own), len(who), rows.stop - rows.start) == 0
+                    fa, fb = family.far[rows][:, None], family.far[cols][None, :]
+                    linked = open_ & (fa + fb <= reach - 1e-9)
+                    rest = open_ & ~linked & (np.abs(fa - fb) <= reach + 1e-9)
+                    if rest.any():
+                        a, b = np.flatnonzero(rest.any(1)), np.flatnonzero(rest.any(0))
+                        if one:
+                            a = b = np.union1d(a, b)
+                        both = family.overlaps(a + rows.start, b + cols.start, one)
+                        near = (100 + percent) * both >= percent * (n[rows][a][:, None] + n[cols][b][None, :])
+                        linked[np.ix_(a, b)] |= rest[np.ix_(a, b)] & near & (both > 0)
+                    if linked.any():
+                        links[rows] += linked @ w[cols]
+                        links[cols] += linked.T @ w[rows]
+                        x, y = np.nonzero(linked)
+                        found.append(_forest(x + rows.start, y + cols.start, key))
+        if found:
+            x, y = [np.concatenate(p) for p in zip(*found, strict=True)]
+            while True:  # labels fall until they stand
+                before = label.copy()
+                np.minimum.at(label, x, before[y])
+                np.minimum.at(label, y, before[x])
+                if np.array_equal(before, label):
+                    break
         got = links > 0
-        return pa.table({"id": pa.array(key[got]), "h1": pa.array(h1[got]), "links": pa.array(links[got].astype(np.int64)), "other": pa.array(label[got])})
+        return pa.table({"id": pa.array(key[got]), "h1": pa.array(h1[got]), "links": pa.array(links[got]), "other": pa.array(label[got])})
 
     return run
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """The bitmap of the first 25 bits of a column ``token``: MAP_BITS / 8 bytes, built by grouped aggregates."""
-    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
-    bit = hashes.select(F.shiftrightunsigned("token", 39).alias("bit"))
-    pages = bit.groupBy((F.col("bit") / PAGE_BITS).cast("int").alias("page")).agg(F.bitmap_construct_agg((F.col("bit") % PAGE_BITS).cast("long")).alias("bits"))
-    for r in pages.collect():
-        out[r.page * PAGE_BITS // 8 : (r.page + 1) * PAGE_BITS // 8] = np.frombuffer(r.bits, dtype=np.uint8)
-    return out
+def _forest(x: np.ndarray, y: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most as many links as there are ends, with the same components: each end with the least key that it is connected to."""
+    ends, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    ends = ends[np.argsort(key[ends], kind="stable")] if len(ends) else ends
+    rank = np.empty(int(max(x.max(), y.max())) + 1, dtype=np.int64)
+    rank[ends] = np.arange(len(ends))
+    p, q = rank[x], rank[y]
+    label = np.arange(len(ends))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, p, before[q])
+        np.minimum.at(label, q, before[p])
+        label = label[label]
+        if np.array_equal(before, label):
+            return ends, ends[label]
 
 
 def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, meta_block: int = META_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -426,8 +412,8 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, meta_block
     same = stored(named.groupBy("h1", "h2").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("w")).where("w > 1"), "same")
 
     often = survey.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    rows = stored(prefixes(keyed, _bitmap(often), _bitmap(same.select(F.col("h1").alias("token"))), percent), "prefixes")
-    index = entries(rows, twice(rows), percent)
+    rows = stored(prefixes(keyed, bitmaps.bitmap(often, "token", MAP_BITS), bitmaps.bitmap(same, "h1", MAP_BITS), percent), "prefixes")
+    index = entries(rows, bitmaps.twice(rows.select("tokens").mapInArrow(_pages, bitmaps.PAGED)), percent)
     under = stored(families(index, percent), "families")
     discard(rows)
     # Sizes and reach first: only members with a possible partner go on.
@@ -435,14 +421,16 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, meta_block
     chosen = stored(met.distinct(), "chosen")
     discard(under)
     texts = sizes.join(chosen.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi")
-    wanted = spark.sparkContext.broadcast(_bitmap(texts.select(F.col("t1").alias("token"))))
+    wanted = spark.sparkContext.broadcast(bitmaps.bitmap(texts, "t1", MAP_BITS))
     found = keyed.withColumn("t1", F.xxhash64("text")).mapInArrow(_sets(wanted), "h1 long, h2 long, key long, n long, tokens binary")
-    sets = found.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("n").alias("size"), F.first("tokens").alias("tokens"))
-    sets = sets.join(same.select("h1", "h2", "w"), ["h1", "h2"], "left").withColumn("w", F.coalesce("w", F.lit(1)))
+    # Grouped by the hash that the join is on, so that the sets are dealt once.
+    sets = found.groupBy("h1").agg(F.min("key").alias("key"), F.first("tokens").alias("tokens"))
     leads = chosen.groupBy("id").agg(F.collect_list("lead").alias("leads"))
-    sets = stored(sets.join(leads, sets["h1"] == leads["id"]).drop("id"), "sets")
     blocks = in_blocks(chosen.withColumn("reach", F.floor(100 * F.col("n") / percent)), block, BLOCK_TOKENS)
-    ready = blocks.drop("reach").join(sets.drop("size").withColumnRenamed("h1", "id"), "id")
+    places = blocks.groupBy("id").agg(F.collect_list(F.struct("lead", "x", "y", "side", "n", "t")).alias("places")).join(leads, "id")
+    weights = same.select(F.col("h1").alias("id"), F.col("w").alias("copies"))
+    places = places.join(weights, "id", "left").withColumn("w", F.coalesce("copies", F.lit(1)).cast("long")).drop("copies")
+    ready = sets.withColumnRenamed("h1", "id").join(places, "id").select("id", "key", "w", "leads", "tokens", F.explode("places").alias("place")).select("id", "key", "w", "leads", "tokens", "place.*")
     answers = stored(by_groups(ready, ["lead", "x", "y"], _links(percent), "id long, h1 long, links long, other long"), "answers")
     edges = answers.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"))
     # Rows that share a doc_id but not the set connect their nodes.
@@ -452,10 +440,11 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, meta_block
     labels = components(edges)
     links = answers.groupBy(F.col("id").alias("node"), "h1").agg(F.sum("links").alias("links"))
     # What is known of a set that links, has a copy, or belongs to a doc_id with several.
-    nodes = sets.select("h1", "h2", F.col("key").alias("node"), F.col("w").cast("long").alias("w")).unionByName(same.select("h1", "h2", "node", "w")).unionByName(twins.select("h1", "h2", "node", "w")).groupBy("h1", "h2").agg(F.min("node").alias("node"), F.max("w").alias("w"))
+    nodes = answers.select("h1", "id").distinct().join(survey.where("token is null").select("h1", "h2").distinct(), "h1").select("h1", "h2", F.col("id").alias("node"), F.lit(1).cast("long").alias("w"))
+    nodes = nodes.unionByName(same.select("h1", "h2", "node", "w")).unionByName(twins.select("h1", "h2", "node", "w")).groupBy("h1", "h2").agg(F.min("node").alias("node"), F.max("w").alias("w"))
     verdict = stored(nodes.join(labels, "node", "left").join(links, ["node", "h1"], "left").select("h1", "h2", F.coalesce("component", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links")), "verdict")
     copies = sizes.join(same.select("h1", "h2", "node"), ["h1", "h2"]).select("key", "node").distinct()
-    discard(chosen, sets, answers, twins)
+    discard(chosen, answers, twins)
     out = sizes.join(verdict, ["h1", "h2"], "left").withColumn("label", F.coalesce("label", "key"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label") < NAMELESS, F.col("label")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "t1", "t2", "label")
     return out, labels.select(F.col("node").alias("a"), F.col("component").alias("b")), copies

@@ -141,6 +141,17 @@ def test_repeated_spans_query(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([(1, None), (None, "a")], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_spans_of_odd_rows(spark):
+    text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    p = text("p", 60)
+    rows = [(None, "x " + p), (5, text("a", 30) + " " + p), (5, "y " + p), (5, "y " + p), (6, text("b", 50)), (6, text("b", 50) + " z"), (7, p[:-1]), (8, None), (None, None), (9, "w " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("key", "t", "h1", "node", "k", "content")})
+    got = suffix_dedup.repeated_spans(df).collect()
+    # The passage stands in 5 (two texts), in 7 without its last word, and in a row without a doc_id, which comes last; 6 and 9 only repeat themselves.
+    assert {(r.doc_id, r.first_doc_id, r.is_first) for r in got} == {(None, 5, False), (5, 5, True), (7, 5, False)}
+    assert {(r.start, r.end, r.n_words) for r in got if r.doc_id != 5} == {(2, 2 + len(p), 60), (0, len(" ".join(p.split()[:-1])), 59)}
+
+
 def test_first_copy_keeps_its_shared_passages(spark):
     text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
     passage, node = text("p", 60), text("x", 70) + " " + text("p", 60) + " " + text("y", 70)

@@ -12,8 +12,7 @@ one node from the start: the smallest doc_id that has them.
   common token of a link, each size is within the reach of the other entry.  Each list has the smallest size and
   the largest reach in it, and entries that fit neither are passed over; so are whole blocks of a long family, by
   the same bounds.  Tokens that only one set has never enter the index.
-* Families.  The entries of a list stand under one leader, the set with the most of its prefix in the index, so that
-  lists with the same leader become one family.  Two sets that share a token share a family; a pair is looked at in
+* Families.  The entries of a list stand under one leader, the set of least hash, so that lists with the same leader become one family.  Two sets that share a token share a family; a pair is looked at in
   the least family that both are in, and nowhere else.
 * Answer-level skipping.  In a family the answers of one reference set (its overlap with each member) are computed
   first.  One minus the Jaccard similarity is a distance, so they settle every pair whose distances from the
@@ -151,7 +150,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def entries(rows: DataFrame, again: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(token, id, n, t, reach): the index; id is the set's first hash, t how many entries it has at most."""
+    """(token, id, at): the index; id is the set's first hash, ``at`` packs its size and its reach."""
     shared = rows.sparkSession.sparkContext.broadcast(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,19 +162,22 @@ def entries(rows: DataFrame, again: np.ndarray, percent: int = PERCENT) -> DataF
             at = np.arange(len(tokens)) - np.repeat(off[:-1], length)
             keep = bitmaps.among(shared.value, tokens)
             tokens, row, at = tokens[keep], row[keep], at[keep]
-            n, t = b.column("n").to_numpy(), np.bincount(row, minlength=len(b))
-            reach = (n[row] - at) * (100 + percent) // percent - n[row]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(b.column("h1").to_numpy()[row]), pa.array(n[row]), pa.array(t[row].astype(np.int64)), pa.array(reach)], names=["token", "id", "n", "t", "reach"])
+            n = b.column("n").to_numpy()[row]
+            # The last entries of a prefix reach smaller sets only; a reach below zero reaches none.
+            reach = np.maximum((n - at) * (100 + percent) // percent - n, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(b.column("h1").to_numpy()[row]), pa.array((n << 32) | reach)], names=["token", "id", "at"])
 
-    return rows.select("h1", "n", "tokens").mapInArrow(run, "token long, id long, n long, t long, reach long")
+    return rows.select("h1", "n", "tokens").mapInArrow(run, "token long, id long, at long")
 
 
-def families(index: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(lead, id, n, t, reach) of each set in each of its families; reach is the largest of its entries there."""
-    # The largest share of its prefix in the index marks the least edited of near copies.
-    private = 1 - F.col("t") / (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1) + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * 1e-12
-    lists = index.groupBy("token").agg(F.min_by("id", private).alias("lead"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("most")).where("lo < hi").select("token", "lead", "least", "most")
-    return index.join(lists, "token").where("reach >= least and n <= most").groupBy("lead", "id").agg(F.max("n").alias("n"), F.max("t").alias("t"), F.max("reach").alias("reach"))
+def families(index: DataFrame) -> DataFrame:
+    """(lead, id, n, t, reach) of each set in each of its families; reach is the largest of its entries there, t the number of all its entries in lists of several sets."""
+    n, reach = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+    lists = index.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.min("at").alias("low"), F.max(reach).alias("most")).where("lead < last")
+    met = index.join(lists.select("token", "lead", F.shiftright("low", 32).alias("least"), "most"), "token")
+    fits = F.when((reach >= F.col("least")) & (n <= F.col("most")), reach)
+    under = met.groupBy("lead", "id").agg(F.max(n).alias("n"), F.count(F.lit(1)).alias("c"), F.max(fits).alias("reach"))
+    return under.withColumn("t", F.sum("c").over(Window.partitionBy("id"))).where("reach is not null").select("lead", "id", "n", "t", "reach")
 
 
 def in_blocks(members: DataFrame, block: int, tokens: int | None = None) -> DataFrame:
@@ -247,12 +249,12 @@ def _partners(percent: int):
 
 
 def _sets(wanted):
-    """(h1, h2, key, n, tokens) of the rows whose text hash is in the broadcast bitmap; one of equal sets of a batch, with the smallest key."""
+    """(h1, h2, key, n, tokens) of the rows whose hash is in the broadcast bitmap; one of equal sets of a batch, with the smallest key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for whole in batches:
-            b = whole.filter(pa.array(bitmaps.among(wanted.value, whole.column("t1").to_numpy().view(K.U64))))
+            b = whole.filter(pa.array(bitmaps.among(wanted.value, whole.column("row").to_numpy().view(K.U64))))
             for at in range(0, len(b), 1024):
                 part = b.slice(at, 1024)
                 rows: dict[tuple[int, int], tuple] = {}
@@ -414,15 +416,16 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, meta_block
     often = survey.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     rows = stored(prefixes(keyed, bitmaps.bitmap(often, "token", MAP_BITS), bitmaps.bitmap(same, "h1", MAP_BITS), percent), "prefixes")
     index = entries(rows, bitmaps.twice(rows.select("tokens").mapInArrow(_pages, bitmaps.PAGED)), percent)
-    under = stored(families(index, percent), "families")
+    under = stored(families(index), "families")
     discard(rows)
     # Sizes and reach first: only members with a possible partner go on.
     met = by_groups(in_blocks(under, meta_block), ["lead", "x", "y"], _partners(percent), "lead long, id long, n long, t long")
     chosen = stored(met.distinct(), "chosen")
     discard(under)
-    texts = sizes.join(chosen.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi")
-    wanted = spark.sparkContext.broadcast(bitmaps.bitmap(texts, "t1", MAP_BITS))
-    found = keyed.withColumn("t1", F.xxhash64("text")).mapInArrow(_sets(wanted), "h1 long, h2 long, key long, n long, tokens binary")
+    # One row of each chosen set is read again: that of its node.
+    texts = sizes.where("n > 0").join(chosen.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi").join(same.select("h1", "h2", "node"), ["h1", "h2"], "left").where("node is null or node = key")
+    wanted = spark.sparkContext.broadcast(bitmaps.bitmap(texts.select(F.xxhash64("t1", "doc_id").alias("row")), "row", MAP_BITS))
+    found = keyed.withColumn("row", F.xxhash64(F.xxhash64("text"), "doc_id")).mapInArrow(_sets(wanted), "h1 long, h2 long, key long, n long, tokens binary")
     # Grouped by the hash that the join is on, so that the sets are dealt once.
     sets = found.groupBy("h1").agg(F.min("key").alias("key"), F.first("tokens").alias("tokens"))
     leads = chosen.groupBy("id").agg(F.collect_list("lead").alias("leads"))

@@ -28,23 +28,85 @@ class Compiled:
     keys: list[str] = field(default_factory=list)
 
 
-_QUOTED = r"""(?:"(?P<{0}d>[^"']+)"|'(?P<{0}s>[^"']+)')"""
+class _Reader:
+    """Reads a predicate text from left to right."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at = text, 0
+
+    def blanks(self) -> int:
+        begin = self.at
+        while self.at < len(self.text) and self.text[self.at].isspace():
+            self.at += 1
+        return self.at - begin
+
+    def name(self) -> str:
+        """Letters, digits, underscores, dots and hyphens; the first is a letter or an underscore."""
+        begin = self.at
+        while self.at < len(self.text) and self.text[self.at].isascii() and (self.text[self.at].isalnum() or self.text[self.at] in "_.-"):
+            self.at += 1
+        found = self.text[begin : self.at]
+        return found if found and (found[0].isalpha() or found[0] == "_") else ""
+
+    def take(self, *marks: str) -> str:
+        """The first of ``marks`` that stands here, which is passed."""
+        for mark in marks:
+            if self.text.startswith(mark, self.at):
+                self.at += len(mark)
+                return mark
+        return ""
+
+    def quoted(self) -> str | None:
+        """A text in quotes without quotes inside, up to the end of the predicate or a closing parenthesis."""
+        quote = self.take('"', "'")
+        end = self.text.find(quote, self.at) if quote else -1
+        inside = self.text[self.at : end] if end > self.at else ""
+        if not inside or "'" in inside or '"' in inside:
+            return None
+        self.at = end + 1
+        return inside
+
+    def done(self) -> bool:
+        return self.at == len(self.text)
 
 
-def _pattern(text: str) -> re.Pattern:
-    return re.compile(text.replace("QUOTED", _QUOTED.format("q")) + r"\Z", re.ASCII)
+@dataclass
+class _Said:
+    """What a predicate says: of which subject, by which operator, with which quoted text or what else."""
+
+    subject: str
+    operator: str
+    want: str | None
+    rest: str
+
+
+def _read(expr: str) -> _Said | None:
+    """``call(file.file, "text")``, ``subject == value`` or ``subject word "text"``; words stand between blanks."""
+    r = _Reader(expr)
+    subject = r.name()
+    if not subject:
+        return None
+    if r.take("("):
+        r.blanks()
+        argument = r.name()
+        r.blanks()
+        comma = r.take(",")
+        r.blanks()
+        want = r.quoted()
+        r.blanks()
+        return _Said(subject, "()", want, "") if argument == "file.file" and comma and want is not None and r.take(")") and r.done() else None
+    gap = r.blanks()
+    operator = r.take("==", "!=")
+    if not operator:
+        operator = r.name() if gap else ""
+        if operator not in ("contains", "startsWith") or not r.blanks():
+            return None
+    r.blanks()
+    rest = r.text[r.at :]
+    want = r.quoted()
+    return _Said(subject, operator, want if r.done() else None, rest) if rest else None
 
 
-#: In the order in which they are tried.
-_FORMS = [
-    ("tagged", _pattern(r"taggedWith\(\s*file\.file\s*,\s*QUOTED\s*\)")),
-    ("links", _pattern(r"linksTo\(\s*file\.file\s*,\s*QUOTED\s*\)")),
-    ("tag", _pattern(r"tag\s*(?P<op>==|!=)\s*QUOTED")),
-    ("path", _pattern(r"(?:file\.)?path\s+(?P<op>startsWith|contains)\s+QUOTED")),
-    ("name", _pattern(r"file\.name\s*(?P<op>==|!=)\s*QUOTED")),
-    ("has", _pattern(r"(?P<key>[A-Za-z_][\w.-]*)\s+contains\s+QUOTED")),
-    ("equal", _pattern(r"(?P<key>[A-Za-z_][\w.-]*)\s*(?P<op>==|!=)\s*(?P<value>.+)")),
-]
 _NONE = object()
 
 
@@ -61,36 +123,42 @@ def compile_predicate(text: str, find: Callable[[str], P.Field | None]) -> Compi
     expr = text.strip()
     if expr in ("", "true", "false"):
         return Compiled(F.lit(expr != "false"))
-    for form, pattern in _FORMS:
-        m = pattern.match(expr)
-        if not m:
-            continue
-        groups = m.groupdict()
-        want = groups.get("qd") or groups.get("qs") or ""
-        negated = groups.get("op") == "!="
-        if form in ("tagged", "tag"):
-            c = F.exists("tags", lambda t: F.lower(F.regexp_replace(t, "^#+", "")) == fold_tag_text(want))
-        elif form == "links":
-            name = fold_text(re.sub(r"(?i)\.md$", "", re.split(r"[#^]", want.strip().rsplit("/", 1)[-1])[0]))
-            c = F.exists("link_names", lambda t: t == name) if name else F.lit(False)
-        elif form == "path":
-            path = F.col("path")
-            c = path.startswith(nfc(want)) if groups["op"] == "startsWith" else path.contains(nfc(want))
-        elif form == "name":
-            c = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.md$", "")) == fold_text(re.sub(r"(?i)\.md$", "", want))
-        else:
-            key = groups["key"]
-            found = find(key)
-            if form == "has":
-                return Compiled(P.strict_contains(found, want) if found else F.lit(False), keys=[key])
-            value = _value(groups["value"].strip())
-            if value is _NONE:
-                return Compiled(F.lit(False), False, [expr], [key])
-            equal = P.strict_equal(found, value) if found else F.lit(False)
-            return Compiled(~equal if negated else equal, keys=[key])
-        c = F.coalesce(c, F.lit(False))
-        return Compiled(~c if negated else c)
-    return Compiled(F.lit(False), False, [expr])
+    said = _read(expr)
+    if said is None:
+        return Compiled(F.lit(False), False, [expr])
+    built_in = _built_in(said)
+    if built_in is not None:
+        c = F.coalesce(built_in, F.lit(False))
+        return Compiled(~c if said.operator == "!=" else c)
+    found = find(said.subject)
+    if said.operator == "contains" and said.want is not None:
+        return Compiled(P.strict_contains(found, said.want) if found else F.lit(False), keys=[said.subject])
+    value = _value(said.rest.strip()) if said.operator in ("==", "!=") else _NONE
+    if value is _NONE:
+        return Compiled(F.lit(False), False, [expr], [said.subject] if said.operator in ("==", "!=") else [])
+    equal = P.strict_equal(found, value) if found else F.lit(False)
+    return Compiled(~equal if said.operator == "!=" else equal, keys=[said.subject])
+
+
+def _built_in(said: _Said) -> Column | None:
+    """The predicates on tags, links, path and name; null if this is none of them."""
+    want = said.want
+    if want is None:
+        return None
+    without_ending = lambda text: re.sub(r"(?i)\.md$", "", text)
+    match said.subject, said.operator:
+        case ("taggedWith", "()") | ("tag", "==" | "!="):
+            return F.exists("tags", lambda t: F.lower(F.regexp_replace(t, "^#+", "")) == fold_tag_text(want))
+        case ("linksTo", "()"):
+            name = fold_text(without_ending(re.split(r"[#^]", want.strip().rsplit("/", 1)[-1])[0]))
+            return F.exists("link_names", lambda t: t == name) if name else F.lit(False)
+        case ("path" | "file.path", "startsWith"):
+            return F.col("path").startswith(nfc(want))
+        case ("path" | "file.path", "contains"):
+            return F.col("path").contains(nfc(want))
+        case ("file.name", "==" | "!="):
+            return F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.md$", "")) == fold_text(without_ending(want))
+    return None
 
 
 def compile_filter(tree: Tree, find: Callable[[str], P.Field | None]) -> Compiled:

@@ -120,30 +120,46 @@ def loose_contains(field: Field, value: Literal) -> Column:
     return F.lit(False)
 
 
-def like_pattern(pattern: str) -> str:
-    """Anchored Java pattern of a ``*`` wildcard with back-slash escapes; neighbouring stars are one."""
+def like_parts(pattern: str) -> list[str]:
+    """The texts between the ``*`` of a pattern, lower-cased; a back-slash makes the next character literal."""
     if len(pattern) > 512:
         raise ValueError("LIKE pattern is longer than 512 characters")
-    out, last = [], ""
-    for m in re.finditer(r"\\(.)|(\*)|(.)", pattern, re.S):
-        part = ".*" if m[2] else re.sub(r"([\\.\[\]{}()*+?^$|#&~-])", r"\\\1", m[1] or m[3])
-        if not (part == ".*" and last == ".*"):
-            out.append(part)
-        last = part
-    return "(?is)^" + "".join(out) + "$"
+    parts, literal = [""], False
+    for k, c in enumerate(pattern):
+        if not literal and c == "\\" and k + 1 < len(pattern):
+            literal = True
+        elif not literal and c == "*":
+            parts.append("")
+        else:
+            parts[-1] += c
+            literal = False
+    return [x.lower() for x in parts]
+
+
+def like_match(text: Column, parts: list[str]) -> Column:
+    """Whole-value match: each part is looked for from the end of the one before on, so a value is read once a part and nothing is tried again."""
+    low = F.lower(text)
+    if len(parts) == 1:
+        return low == parts[0]
+    first, *inner, last = parts
+    inner = [x for x in inner if x]
+    place = F.lit(len(first) + 1)
+    if inner:
+        place = F.aggregate(F.array(*map(F.lit, inner)), place, lambda at, part: F.when((at > 0) & (F.call_function("locate", part, low, at) > 0), F.call_function("locate", part, low, at) + F.length(part)).otherwise(0))
+    return low.startswith(first) & low.endswith(last) & (place > 0) & (place <= F.length(low) - len(last) + 1)
 
 
 def like(field: Field, value: Literal) -> Column:
     """Whole-value match of any string, ignoring case."""
     if not isinstance(value, str):
         return F.lit(False)
-    p = like_pattern(value)
+    p = like_parts(value)
     if field.kind == "string":
-        return _two_valued(field.col.rlike(p))
+        return _two_valued(like_match(field.col, p))
     if field.kind == "strings":
-        return _two_valued(F.exists(field.col, lambda x: x.rlike(p)))
+        return _two_valued(F.exists(field.col, lambda x: like_match(x, p)))
     if field.kind == "json":
-        return _two_valued(F.exists(elements(field), lambda j: (_kind(j) == '"') & _scalar(j).rlike(p)))
+        return _two_valued(F.exists(elements(field), lambda j: (_kind(j) == '"') & like_match(_scalar(j), p)))
     return F.lit(False)
 
 

@@ -1,9 +1,10 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.functions.periodic import format_date, load_config, ordinal, resolve_alias
-from lorekeep.operators.predicates import like_pattern
+from lorekeep.operators.predicates import like_match, like_parts
 from lorekeep.plans import bases, dql
 from lorekeep.sources import markdown as M
 from lorekeep.sources.scans import glob_regex, parse_base
@@ -26,10 +27,13 @@ def test_literals():
     assert values == [True, None, -1.5, "word", "1"]
 
 
-def test_like_pattern_escapes_and_joins_stars():
-    import re
-
-    assert re.match(like_pattern("a**B\\*_%"), "AxxB*_%") and not re.match(like_pattern("a*"), "ba")
+def test_like_matches_whole_values(spark):
+    rows = spark.createDataFrame([("AxxB*_%",), ("ba",), ("a" * 3000 + "b",), ("abcab",), ("ab",), ("",)], "v string")
+    got = lambda p: [r.v[:7] for r in rows.where(like_match(F.col("v"), like_parts(p))).collect()]
+    assert got("a**B\\*_%") == ["AxxB*_%"] and got("a*") == ["AxxB*_%", "aaaaaaa", "abcab", "ab"] and got("*a*a*a*a*a*c") == [] and got("ab*ab") == ["abcab"]
+    assert got("*") == ["AxxB*_%", "ba", "aaaaaaa", "abcab", "ab", ""] and got("") == [""] and got("*c*b") == ["abcab"] and got("a*a*b") == ["aaaaaaa", "abcab"]
+    with pytest.raises(ValueError):
+        like_parts("x" * 513)
 
 
 def test_front_matter_forms():

@@ -66,39 +66,49 @@ def rewritten(raw: str, old: str, new: str) -> str:
     return f"{m[1]}[[{target if had_suffix else re.sub(r'(?i)[.]md$', '', target)}{m[3]}]]"
 
 
+def _spans(content: str) -> list[dict]:
+    """The links of a note outside code, with their places in it."""
+    body = split_front_matter(content)[1]
+    offset = len(content) - len(body)
+    return [{"ord": k, "at": offset + x["start"], "raw": x["raw"], "target": x["target"]} for k, x in enumerate(links(mask_code(body)))]
+
+
 def rename(notes: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-    """Moves a note and rewrites every link that resolves to it; (snapshot, (path, raw, becomes))."""
-    raw_links = "array<struct<ord:int,raw:string,target:string>>"
+    """Moves a note and rewrites every link that resolves to it, where it stands; (snapshot, (path, raw, becomes)).
+
+    A note that is already at the new path is never replaced."""
+    there = {r.path for r in notes.where(F.col("path").isin(old, new)).select("path").distinct().collect()}
+    if old not in there:
+        raise FileNotFoundError(old)
+    if new in there:
+        raise FileExistsError(new)
+    raw_links = "array<struct<ord:int,at:int,raw:string,target:string>>"
 
     def scan(batches):
         for pdf in batches:
-            found = [[{"ord": i, "raw": x["raw"], "target": x["target"]} for i, x in enumerate(links(mask_code(split_front_matter(c or "")[1])))] for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "links": found})
+            yield pd.DataFrame({"path": pdf["path"], "links": [_spans(c or "") for c in pdf["content"]]})
 
-    table = notes.select("path", "content").mapInPandas(scan, f"path string, links {raw_links}").select("path", F.explode("links").alias("l")).select("path", "l.ord", "l.raw", "l.target")
-    hits = resolve(table, notes.withColumn("title", F.col("path"))).where(F.col("resolved") == old).select("path", "raw").distinct()
-    grouped = hits.groupBy("path").agg(F.sort_array(F.collect_list("raw")).alias("raws"))
+    table = notes.select("path", "content").mapInPandas(scan, f"path string, links {raw_links}").select("path", F.explode("links").alias("l")).select("path", "l.ord", "l.at", "l.raw", "l.target")
+    hits = resolve(table, notes.withColumn("title", F.col("path"))).where(F.col("resolved") == old).select("path", "at", "raw")
+    grouped = hits.groupBy("path").agg(F.sort_array(F.collect_list("at")).alias("places"))
 
     def change(batches):
         for pdf in batches:
             out = []
-            for content, raws in zip(pdf["content"], pdf["raws"], strict=True):
-                swap = {r: rewritten(r, old, new) for r in (raws if raws is not None else [])}
-
-                def line_change(line: str, swap=swap) -> tuple[str, int]:
-                    n = 0
-                    for a, b in swap.items():
-                        n += line.count(a)
-                        line = line.replace(a, b)
-                    return line, n
-
-                out.append(_outside_fences(content or "", line_change)[0] if swap else content)
+            for content, places in zip(pdf["content"], pdf["places"], strict=True):
+                wanted = set(places) if places is not None else set()
+                for x in reversed(_spans(content) if wanted else []):
+                    if x["at"] in wanted:
+                        content = content[: x["at"]] + rewritten(x["raw"], old, new) + content[x["at"] + len(x["raw"]) :]
+                out.append(content)
             yield pd.DataFrame({"path": [new if p == old else p for p in pdf["path"]], "content": out})
 
-    others = notes.where(F.col("path") != new).select("path", "content")
-    snapshot = others.join(grouped, "path", "left").mapInPandas(change, "path string, content string")
-    becomes = F.udf(lambda r: rewritten(r, old, new), "string")  # a handful of distinct spellings
-    return snapshot, hits.withColumn("becomes", becomes("raw"))
+    snapshot = notes.select("path", "content").join(grouped, "path", "left").mapInPandas(change, "path string, content string")
+    part = lambda k: F.regexp_extract("raw", r"^(!?)\[\[([^\]#^|]*)([^\]]*)\]\]$", k)
+    target = F.when(part(2).contains("/"), F.lit(new)).otherwise(F.lit(new.rsplit("/", 1)[-1]))
+    shown = F.when(F.lower(F.trim(part(2))).endswith(".md"), target).otherwise(F.regexp_replace(target, r"(?i)[.]md$", ""))
+    becomes = F.concat(part(1), F.lit("[["), shown, part(3), F.lit("]]"))
+    return snapshot, hits.select("path", "raw").distinct().withColumn("becomes", becomes)
 
 
 def archive(notes: DataFrame, path: str, folder: str = "Archive") -> tuple[DataFrame, DataFrame]:

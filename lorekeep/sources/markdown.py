@@ -6,6 +6,7 @@ run once per note at ingest, in Arrow batches, and what they yield is stored as
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import json
 import re
@@ -121,7 +122,8 @@ def mask_code(text: str) -> str:
     while i < len(runs):
         a, b, escaped = runs[i]
         start, size = (a + 1, b - a - 1) if escaped else (a, b - a)
-        closer = next((k for k in by_length.get(size, ()) if k > i), None) if size else None
+        same = by_length.get(size, []) if size else []
+        closer = next(iter(same[bisect.bisect_right(same, i) :][:1]), None)
         if closer is None:
             i += 1
             continue

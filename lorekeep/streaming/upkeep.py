@@ -2,12 +2,17 @@
 
 A micro-batch of change events (path, kind 'add' | 'change' | 'unlink', seq, mtime, content) is coalesced to the
 last event of each path, events older than the stored state are dropped, and the new snapshot is written beside
-the old one; a pointer file names the current snapshot, so a batch that runs again has the same effect.
+the old one under a name of its own; the pointer then names it with the number of the batch.  A batch whose number the
+pointer already has, or has passed, is skipped, and a snapshot that a run left without a pointer is never read, so a
+batch that runs again has the same effect and no snapshot is overwritten while it is read.
 File sources give no deletions: ``deletions`` finds them from an inventory.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +21,21 @@ from ..operators.maintenance import diff, latest_events, newer_only, upsert
 STATE = "path string, mtime timestamp, content string, revision long"
 
 
+def pointer(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    """Number and snapshot of the newest batch; none only if no pointer was ever written, any other failure is raised."""
+    try:
+        row = spark.read.schema("batch long, snapshot string").json(f"{folder}/pointer").agg(F.max("batch"), F.max_by("snapshot", "batch")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if row[0] is None else (row[0], row[1])
+
+
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The snapshot that the newest pointer names; empty at first."""
-    try:
-        row = spark.read.schema("batch long").json(f"{folder}/pointer").agg(F.max("batch")).first()
-    except Exception:  # noqa: BLE001  no pointer yet
-        row = None
-    if row is None or row[0] is None:
-        return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).parquet(f"{folder}/snapshot-{row[0]}")
+    newest = pointer(spark, folder)
+    return spark.read.schema(STATE).parquet(f"{folder}/{newest[1]}") if newest else spark.createDataFrame([], STATE)
 
 
 def apply(state: DataFrame, events: DataFrame) -> DataFrame:
@@ -40,9 +51,12 @@ def batch_writer(folder: str):
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = current(spark, folder)
-        apply(state, batch).write.mode("overwrite").parquet(f"{folder}/snapshot-{number}")
-        spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("append").json(f"{folder}/pointer")
+        newest = pointer(spark, folder)
+        if newest and number <= newest[0]:
+            return
+        name = f"snapshot-{number}-{uuid.uuid4().hex}"
+        apply(current(spark, folder), batch).write.parquet(f"{folder}/{name}")
+        spark.createDataFrame([(number, name)], "batch long, snapshot string").coalesce(1).write.mode("append").json(f"{folder}/pointer")
 
     return write
 

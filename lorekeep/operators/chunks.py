@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import java_quote
+
 
 def chunk(chunks: DataFrame, path: str, index: int) -> DataFrame:
     """Point lookup of one chunk."""
@@ -34,7 +36,7 @@ def embed_text(chunks: DataFrame, context: int = 200, key: str = "path", title:
 
 def marked_snippet(text: Column, words: list[str], tokens: int = 25) -> Column:
     """About ``tokens`` words around the first hit, every hit between « and »."""
-    pattern = "(?iu)(?<![\\p{L}\\p{N}])(" + "|".join(words) + ")(?![\\p{L}\\p{N}])"
+    pattern = "(?iu)(?<![\\p{L}\\p{N}])(" + "|".join(java_quote(w) for w in words) + ")(?![\\p{L}\\p{N}])"
     parts = F.split(F.regexp_replace(text, r"\s+", " "), " ")
     hit = F.array_position(F.transform(parts, lambda p: p.rlike(pattern)), True).cast("int")
     start = F.greatest(F.lit(1), F.least(hit - 5, F.size(parts) - (tokens - 1)))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
+
 
 def graph_edges(links: DataFrame, notes: DataFrame) -> DataFrame:
     """Links as (src, dst): an exact, case-sensitive path first, else the first note of that base name in path order; no self-links (J3)."""
@@ -42,12 +44,16 @@ def modularity(graph: DataFrame, membership: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).agg(F.coalesce(F.sum(F.col("inner") / F.col("m2") - F.pow(F.col("degree") / F.col("m2"), F.lit(2.0))), F.lit(0.0)).alias("modularity"))
 
 
-def communities_exact(graph: DataFrame, passes: int = 50) -> DataFrame:
-    """(node, community) by one level of sequential local moving in path order, in one task."""
+def communities_exact(graph: DataFrame, passes: int = 50, most_edges: int = 5_000_000) -> DataFrame:
+    """(node, community) by one level of sequential local moving in path order, in one task; communities are numbered by their first node.
+
+    The result does not depend on the order of the rows.  A graph of more than ``most_edges`` is refused: ``communities`` takes any size."""
+    if graph.limit(most_edges + 1).count() > most_edges:
+        raise ValueError(f"more than {most_edges} edges: use communities()")
 
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, dict[str, float]] = {}
-        for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True):
+        for s, d, w in sorted(zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True)):
             near.setdefault(s, {})[d] = float(w)
         nodes = sorted(near)
         degree = {n: sum(near[n].values()) for n in nodes}
@@ -73,12 +79,10 @@ def communities_exact(graph: DataFrame, passes: int = 50) -> DataFrame:
                 moved |= best != own
             if not moved:
                 break
-        return pd.DataFrame({"node": nodes, "community": [home[n] for n in nodes]}).astype({"community": "int64"})
+        number: dict[int, int] = {}
+        return pd.DataFrame({"node": nodes, "community": [number.setdefault(home[n], len(number)) for n in nodes]}).astype({"community": "int64"})
 
-    found = graph.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(move, "node string, community long")
-    first = Window.partitionBy("community")
-    ranked = found.withColumn("first", F.min("node").over(first))
-    return ranked.withColumn("community", F.dense_rank().over(Window.orderBy("first")) - 1).select("node", F.col("community").cast("long").alias("community"))
+    return graph.select("src", "dst", "weight").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(move, "node string, community long")
 
 
 def communities(graph: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -86,7 +90,7 @@ def communities(graph: DataFrame, rounds: int | None = None) -> DataFrame:
 
     Without ``rounds`` it goes on until labels stop changing or come back after two rounds, as they do on any graph with equal weights both ways."""
     labels = graph.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    lasting = graph.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    checkpoint_folder(graph.sparkSession)
     past: list[DataFrame] = [labels]
     done = 0
     while rounds is None or done < rounds:
@@ -94,7 +98,7 @@ def communities(graph: DataFrame, rounds: int | None = None) -> DataFrame:
         held = labels.select(F.col("node").alias("src"), "community", F.lit(0.5).alias("w"))
         total = votes.unionByName(held).groupBy("src", "community").agg(F.sum("w").alias("w"))
         labels = total.groupBy(F.col("src").alias("node")).agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community"))
-        labels = labels.checkpoint() if lasting else labels.localCheckpoint()
+        labels = labels.checkpoint()
         if any(not _differ(labels, p) for p in past):
             break
         past = [past[-1], labels]
@@ -111,7 +115,9 @@ def community_table(graph: DataFrame, membership: DataFrame, most: int = 2048) -
     m = membership.select("node", "community")
     inner = graph.join(m.withColumnRenamed("node", "src"), "src").join(m.select(F.col("node").alias("dst"), F.col("community").alias("other")), "dst").where("community = other").groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("inner"))
     rows = m.join(inner, "node", "left").withColumn("inner", F.coalesce("inner", F.lit(0)))
-    return rows.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.slice(F.sort_array(F.collect_list("node")), 1, most).alias("members"), F.min_by("node", F.struct(-F.col("inner"), "node")).alias("representative"))
+    # The first members by a ranked window, which Spark cuts before the shuffle: a community is never collected as a whole.
+    shown = rows.withColumn("n", F.row_number().over(Window.partitionBy("community").orderBy("node"))).where(F.col("n") <= most).groupBy("community").agg(F.sort_array(F.collect_list("node")).alias("members"))
+    return rows.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.struct(-F.col("inner"), "node")).alias("representative")).join(shown, "community").select("community", "size", "members", "representative")
 
 
 def find_path(edges: DataFrame, start: str, goal: str, max_depth: int = 5, alternatives: int = 10) -> tuple[bool, list[list[str]]]:

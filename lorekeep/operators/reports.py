@@ -28,9 +28,11 @@ def tag_counts(tags: DataFrame, min_count: int = 1, limit: int = 200) -> DataFra
 def key_inventory(notes: DataFrame, map_column: str = "frontmatter", min_count: int = 1) -> DataFrame:
     """Front-matter keys: notes, sorted value types, up to three distinct examples of 80 characters."""
     rows = notes.select("path", F.explode(map_column).alias("key", "value")).withColumn("key", F.lower("key"))
-    return rows.groupBy("key").agg(
-        F.count_distinct("path").alias("notes"), F.sort_array(F.collect_set(json_kind(F.col("value")))).alias("types"), F.slice(F.sort_array(F.collect_set(F.substring("value", 1, 80))), 1, 3).alias("examples"),
-    ).where(F.col("notes") >= min_count)
+    counts = rows.groupBy("key").agg(F.count_distinct("path").alias("notes"), F.sort_array(F.collect_set(json_kind(F.col("value")))).alias("types")).where(F.col("notes") >= min_count)
+    # Three examples by a ranked window, which Spark cuts before the shuffle: the values of a key are never collected.
+    texts = rows.select("key", F.substring("value", 1, 80).alias("value")).where("value is not null").distinct()
+    shown = texts.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("value"))).where("n <= 3").groupBy("key").agg(F.sort_array(F.collect_list("value")).alias("examples"))
+    return counts.join(shown, "key", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 
 def collection_stats(notes: DataFrame, now: Column, body: str = "body") -> DataFrame:
@@ -101,8 +103,47 @@ def lint(notes: DataFrame, resolved: DataFrame, now: Column, stub_words: int = 1
 
 def check_pattern(pattern: str) -> str:
     """Refuses patterns whose repetition can nest or overlap without bound."""
-    re.compile(pattern)
-    if re.search(r"\([^()]*[*+][^()]*\)\s*[*+{]", pattern) or re.search(r"\([^()]*\|[^()]*\)\s*[*+]", pattern) or re.search(r"\\[1-9]", pattern):
+    from re import _constants as C
+    from re import _parser
+
+    repeats = (C.MAX_REPEAT, C.MIN_REPEAT)
+
+    def inner(op, arg) -> list:
+        """The sequences inside an item."""
+        if op in (*repeats, C.POSSESSIVE_REPEAT):
+            return [arg[2]]
+        if op == C.SUBPATTERN:
+            return [arg[-1]]
+        if op == C.BRANCH:
+            return list(arg[1])
+        if op in (C.ASSERT, C.ASSERT_NOT):
+            return [arg[1]]
+        return [arg] if op == C.ATOMIC_GROUP else []
+
+    def wide(op, arg) -> bool:
+        return op in repeats and arg[1] == C.MAXREPEAT
+
+    def varies(sequence) -> bool:
+        """Whether one text can be matched in several ways: a repetition of open length, or a choice, at any depth."""
+        return any(op == C.BRANCH or op in repeats and arg[0] != arg[1] or any(map(varies, inner(op, arg))) for op, arg in sequence)
+
+    def look(sequence) -> None:
+        last = None
+        for op, arg in sequence:
+            if op in (C.GROUPREF, C.GROUPREF_EXISTS) or op in repeats and (arg[1] == C.MAXREPEAT or arg[1] > 8) and varies(arg[2]):
+                raise ValueError("pattern may backtrack without bound")
+            if wide(op, arg):
+                now = repr(arg[2])
+                if last is not None and (last == now or "ANY" in last + now):
+                    raise ValueError("pattern may backtrack without bound")
+                last = now
+            elif not (op in repeats and arg[0] == 0):  # what may be empty keeps two repetitions beside each other
+                last = None
+            for part in inner(op, arg):
+                look(part)
+
+    look(_parser.parse(pattern))
+    if re.search(r"\([^()]*\|[^()]*\)\s*[*+{]", pattern):  # the parser makes a class of a choice of single characters, Java's does not
         raise ValueError("pattern may backtrack without bound")
     return pattern
 
@@ -133,10 +174,10 @@ def paper_audit(notes: DataFrame, tag: str = "paper", limit: int = 100) -> DataF
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """One SHA-256 over all rows, whatever their order: hashes of rows are combined by sorting them in buckets first."""
+    """One SHA-256 over all rows, whatever their order: the hashes of rows are added up, in pieces of 48 bits, with their number."""
     own = rows.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
-    buckets = own.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"), F.count(F.lit(1)).alias("buckets")).select("fingerprint")
+    pieces = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(5)]
+    return own.agg(F.sha2(F.concat_ws("-", F.count(F.lit(1)).cast("string"), *pieces), 256).alias("fingerprint"))
 
 
 def audit(declared: DataFrame, indexed: DataFrame) -> DataFrame:

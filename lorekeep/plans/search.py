@@ -163,7 +163,9 @@ def _finish(corpus: Corpus, fused: DataFrame, options: Options, query: str) -> D
 def hybrid_multi(corpus: Corpus, queries: list[str], options: Options | None = None) -> Result:
     """Up to eight queries, fused over their lists; the best score of a note is kept."""
     options = options or Options()
-    asked = list(dict.fromkeys(q for q in map(normalise_query, queries) if q))[:8]
+    asked = list(dict.fromkeys(q for q in map(normalise_query, queries) if q))
+    if len(asked) > 8:
+        raise ValueError(f"{len(asked)} queries: at most eight are fused")
     each = Options(**{**options.__dict__, "limit": min(100, max(3 * options.limit, 30))})
     results = [hybrid(corpus, q, each) for q in asked]
     lists = None

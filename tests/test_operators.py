@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import scalars as X
-from lorekeep.operators import evaluate, fusion, graph, links, maintenance, mutate, reports, retrieval
+from lorekeep.functions import text
+from lorekeep.operators import chunks, evaluate, fusion, graph, links, maintenance, mutate, reports, retrieval
 from lorekeep.operators import predicates as P
 from lorekeep.plans import bases, dql
 from lorekeep.sources import markdown as M
@@ -147,8 +148,13 @@ def test_mutations(spark):
     assert {r.path: r["count"] for r in report.collect()} == {"a/One.md": 2} and "[[Two]] foo" in {r.path: r.content for r in snapshot.collect()}["a/One.md"]
     snapshot, report = mutate.set_front_matter(n, "a/Two.md", {"k": 1, "z": None, "new": [1]})
     assert report.first().changed == ["-z", "+new"]
-    with pytest.raises(FileExistsError):
-        mutate.create(n, "a/One.md", "x")
+    for call, error in ((lambda: mutate.create(n, "a/One.md", "x"), FileExistsError), (lambda: mutate.rename(n, "a/Two.md", "a/One.md"), FileExistsError), (lambda: mutate.rename(n, "a/None.md", "x.md"), FileNotFoundError)):
+        with pytest.raises(error):
+            call()
+    code = spark.createDataFrame([("a.md", "`[[b]]` and [[b]] `x` [[b|c]]"), ("b.md", "")], "path string, content string")
+    snapshot, report = mutate.rename(code, "b.md", "c.md")
+    assert {r.path: r.content for r in snapshot.collect()} == {"a.md": "`[[b]]` and [[c]] `x` [[c|c]]", "c.md": ""}
+    assert {(r.raw, r.becomes) for r in report.collect()} == {("[[b]]", "[[c]]"), ("[[b|c]]", "[[c|c]]")}
     assert mutate.append(n, "a/One.md", "end").where("path = 'a/One.md'").first().content.endswith("foo Foo\n\nend")
 
 
@@ -163,6 +169,14 @@ def test_maintenance_and_streaming(spark, tmp_path):
         upkeep.start(spark.readStream.schema(events.schema).parquet(source), folder, str(tmp_path / "check")).awaitTermination()
     assert [(r.path, r.content, r.revision) for r in upkeep.current(spark, folder).collect()] == [("p", "v3", 1)]
     live = spark.createDataFrame([("n", datetime(2024, 1, 1))], "path string, mtime timestamp")
+    # A batch that runs again changes nothing, and what is broken is not taken for empty.
+    before = upkeep.pointer(spark, folder)
+    upkeep.batch_writer(folder)(events, before[0])
+    assert upkeep.pointer(spark, folder) == before and upkeep.current(spark, folder).count() == 1
+    (tmp_path / "odd" / "pointer").mkdir(parents=True)
+    (tmp_path / "odd" / "pointer" / "x.json").write_text('{"batch": 1, "snapshot": "gone"}')
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        upkeep.current(spark, str(tmp_path / "odd")).count()
     assert {(r.path, r.change) for r in maintenance.diff(live, upkeep.current(spark, folder)).collect()} == {("n", "added"), ("p", "deleted")}
 
 
@@ -234,3 +248,32 @@ def test_communities_until_labels_stand(spark):
             break
         past.append(labels)
     assert len(past) > 3 and {r.node: r.community for r in graph.communities(g, None).collect()} == labels
+
+
+def test_communities_do_not_depend_on_row_order(spark):
+    edges = [(a, b) for g in ("abc", "def", "ghi") for a in g for b in g if a < b] + [("c", "d"), ("f", "g"), ("a", "i"), ("b", "e")]
+    found = set()
+    for parts in (1, 3, 7):
+        g = graph.undirected(spark.createDataFrame(edges, "src string, dst string").repartition(parts, F.rand(parts)))
+        found.add(tuple(sorted((r.node, r.community) for r in graph.communities_exact(g).collect())))
+    assert len(found) == 1 and {c for _, c in next(iter(found))} == {0, 1, 2}
+    with pytest.raises(ValueError):
+        graph.communities_exact(g, most_edges=5)
+
+
+def test_one_tokenizer_for_index_and_query(spark):
+    texts = ["tiễn Άλφα Ñandú", "漢字かな text", "a (b) c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.fts_tokens(F.col("t")).alias("fts"), text.tfidf_tokens(F.col("t")).alias("tfidf"))
+    for t, r in zip(texts, df.collect(), strict=True):
+        assert [w for p in text.fts_query(t) for w in p] == r.fts and text.tfidf_query(t) == r.tfidf
+    assert df.first().fts == ["tien", "αλφα", "nandu"]
+    marked = spark.createDataFrame([("a (b) c",)], "t string").select(chunks.marked_snippet(F.col("t"), ["(", "b"])).first()[0]
+    assert "«b»" in marked or "«(»" in marked
+
+
+def test_patterns_that_may_backtrack_are_refused():
+    for bad in ("((a+))+$", "(a|a)*", "(a*)*", "a*a*b", ".*x?.*", r"(a)\1", "(?:a{1,5}){20}"):
+        with pytest.raises(ValueError):
+            reports.check_pattern(bad)
+    for good in ("a+b*", "(abc)+", "^x{2,3}$", "[a-z]+ [0-9]+"):
+        assert reports.check_pattern(good) == good

@@ -135,8 +135,9 @@ class _Steps:
         self.content = _between(self.hashes[1], self.first, self.last + min_words, (p - self.first) * 4096 + (p - self.last) + 7)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For blocks of rows: keys, text hashes, bytes, row offsets; word hashes, starts, ends and row pointers.  Of a text that the batch has twice only the least key."""
+def _texts(batch: pa.RecordBatch, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of the rows whose bit is in ``keep``: keys, text hashes, bytes, row offsets; word hashes, starts, ends and row pointers.  Of a text that the batch has twice only the least key."""
+    batch = batch.filter(pa.array(bitmaps.among(keep, batch.column("row").to_numpy().view(K.U64))))
     key, t = batch.column("key").to_numpy(), batch.column("t").to_numpy()
     order = np.lexsort((key, t))
     _, first = np.unique(t[order], return_index=True)
@@ -148,21 +149,21 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield key[lo:hi], t[lo:hi], own, ends, *K.words(own, ends)
 
 
-def _grams(min_words: int):
+def _grams(keep, min_words: int):
     """(page, bits) of the first words of the retained suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from bitmaps.paged(minimisers(word, ptr, min_words)[1] for b in batches for *_, word, _, _, ptr in _texts(b))
+        yield from bitmaps.paged(minimisers(word, ptr, min_words)[1] for b in batches for *_, word, _, _, ptr in _texts(b, keep.value))
 
     return run
 
 
-def _classes(wanted, min_words: int):
+def _classes(keep, wanted, min_words: int):
     """(k, content, key, t) of each class of frames of the retained suffixes whose first words may occur elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, t, _, _, word, _, _, ptr in _texts(b):
+            for key, t, _, _, word, _, _, ptr in _texts(b, keep.value):
                 x = _Steps(word, ptr, wanted.value, min_words)
                 if len(x.row):
                     yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(x.content.view(np.int64)), pa.array(key[x.row]), pa.array(t[x.row])], names=["k", "content", "key", "t"])
@@ -173,14 +174,14 @@ def _classes(wanted, min_words: int):
 _MATCHED = "k long, content long, key long, t long, places long, bounds long, single boolean"
 
 
-def _matches(wanted, even, mixed, min_words: int):
+def _matches(keep, wanted, even, mixed, min_words: int):
     """Rows of ``_MATCHED``: classes that are matched as a whole, and the frames of the others; ``places`` packs the first and last frame, ``bounds`` where
     they begin and end (code points)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _MATCHED.split(", ")]
         for b in batches:
-            for key, t, data, off, word, ws, we, ptr in _texts(b):
+            for key, t, data, off, word, ws, we, ptr in _texts(b, keep.value):
                 x = _Steps(word, ptr, wanted.value, min_words)
                 if not len(x.row):
                     continue
@@ -214,22 +215,27 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     survey = stored(sized.mapInArrow(_survey, "doc_id long, h1 long, h2 long, n_chars long, n_words long").where(F.col("n_words") >= min_words), "texts")
     groups = survey.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node < last").select("h1", "h2", "node")
     copies = stored(survey.join(groups, ["h1", "h2"]).select("doc_id", "node", "n_chars", "n_words").distinct(), "copies")
+    # The copies of a text but the first, and texts that are too short, are left out where no other row has their bit.
+    row = F.xxhash64("t", "key").alias("row")
+    others = copies.where("doc_id <> node").select(F.col("doc_id").alias("key")).distinct()
+    first = survey.select(F.col("doc_id").alias("key"), F.col("h1").alias("t")).join(others, "key", "left_anti").select(row)
+    keep = spark.sparkContext.broadcast(bitmaps.bitmap(first, "row"))
     discard(survey)
+    keyed = keyed.select("key", "text", "t", row)
 
     # Two documents with different texts: both vary in a bucket (if no two rows differ in both, all rows agree in one).
     apart = [F.min("key").alias("first_doc"), F.max("key").alias("last_doc"), F.min("t").alias("first_t"), F.max("t").alias("last_t")]
     several = (F.col("first_doc") < F.col("last_doc")) & (F.col("first_t") < F.col("last_t"))
-    wanted = spark.sparkContext.broadcast(bitmaps.twice(keyed.mapInArrow(_grams(min_words), bitmaps.PAGED)))
-    classes = keyed.mapInArrow(_classes(wanted, min_words), "k long, content long, key long, t long")
+    wanted = spark.sparkContext.broadcast(bitmaps.twice(keyed.mapInArrow(_grams(keep, min_words), bitmaps.PAGED)))
+    classes = keyed.mapInArrow(_classes(keep, wanted, min_words), "k long, content long, key long, t long")
     buckets = classes.groupBy("k").agg(*apart, F.min("content").alias("least"), F.max("content").alias("most")).where(several)
     buckets = stored(buckets.select("k", "first_doc", F.when(F.col("least") == F.col("most"), F.col("least")).alias("content")), "buckets")
     even, mixed = [spark.sparkContext.broadcast(bitmaps.bitmap(buckets.where(f"content is {x} null"), "k")) for x in ("not", "")]
-    rows = stored(keyed.mapInArrow(_matches(wanted, even, mixed, min_words), _MATCHED), "matches")
+    rows = stored(keyed.mapInArrow(_matches(keep, wanted, even, mixed, min_words), _MATCHED), "matches")
     whole = rows.where("not single").join(buckets.where("content is not null"), ["k", "content"])
     frames = rows.where("single")
     twice = frames.groupBy("k", "content").agg(*apart).where(several).select("k", "content", "first_doc")
     alone = frames.join(twice, ["k", "content"])
-    others = copies.where("doc_id <> node").select(F.col("doc_id").alias("key")).distinct()
     hits = whole.select("key", "places", "bounds", "first_doc").unionByName(alone.select("key", "places", "bounds", "first_doc")).join(others, "key", "left_anti")
     low = F.lit(0xFFFFFFFF)
     hits = hits.select(F.col("key").alias("doc_id"), "first_doc", F.shiftright("places", 32).alias("word"), F.col("places").bitwiseAND(low).alias("final"), F.shiftright("bounds", 32).alias("begin"), F.col("bounds").bitwiseAND(low).alias("finish"))

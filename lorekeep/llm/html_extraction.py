@@ -7,22 +7,26 @@ ratio of each line is smoothed with a Gaussian over its neighbours; lines whose
 exceeds a threshold (``SPREAD`` standard deviations below the mean of the page, at least ``FLOOR``)
 form clusters of content.  The region is every outermost ``article`` or ``main`` with clustered text, if
 these hold enough of it (``NAMED``); else the nearest section that holds all clusters, the ``h1`` of the page
-and headings beside its content.  All lines of the region are returned but for those inside
-boilerplate elements (navigation, header, footer, aside, form, script, style, and elements whose
-class, id or role names an advert, notice, menu, sidebar, sharing or comment box).
+and headings beside its content.  Inside the region a line stays if it is in a cluster, or if less than ``LINKED`` of it is link
+text (a short line or list of the text); a line of links outside all clusters goes.  Elements only exclude: navigation, header,
+footer, aside, form, script, style, roles of that kind, and elements whose class or id names an advert, notice, menu, sidebar,
+sharing or comment box: ``PARTS`` count as a part of such a name (``side-menu``), ``NAMES`` only as a whole (``side``, not ``side-by-side``).
 
 Character references are decoded, white space inside a line becomes one space, lines are trimmed,
 empty ones dropped, and joined in page order by one newline.
 
+Open elements are counted by tag, so that an end tag that nothing opened costs nothing, however deep the page is.
+
 Defined results: a null or empty html gives an empty text of 0 characters; a null url or page_id is
 passed through; repeated rows give equal results; an empty table gives no rows; pages of any length
-are read whole; columns of other names are ignored.
+are read whole; columns of other names are ignored, and kept columns named ``text`` or ``n_chars`` are replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -46,16 +50,23 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("body html div section article main".split())
 #: Elements that end an open paragraph when they start.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|adsense|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|sidebars|side|aside|widget|widgets|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|pagination|pager|comment|comments|commentlist|disqus|replies|respond|reader-comments|search|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Share of link text from which a line outside all clusters goes.
+LINKED = 0.5
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login "
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars share sharing social pagination pager footer masthead comment comments commentlist disqus replies respond".split()
 )
+NAMES = frozenset("side aside widget widgets header site-header page-header top-header topbar toolbar banner notice notices alert overlay related recommended recommendations search searchform site-search skip skip-link reader-comments".split())
 #: Such names tell of a neighbour, not of the element itself.
 _ABOUT = ("has-", "with-", "no-", "without-")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
+def _dull_name(name: str) -> bool:
+    """Whether a class or id names something beside the text."""
+    return name in NAMES or not name.startswith(_ABOUT) and not PARTS.isdisjoint(re.split(r"[-_]+", name))
+
+
 class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -64,6 +75,7 @@ class _Lines(HTMLParser):
         self.parent = [0]
         self.kind = [""]
         self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, characters in links, element, boilerplate
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
         self.tags = self.linked = 0
 
@@ -97,31 +109,42 @@ class _Lines(HTMLParser):
         if tag == "main":
             dull = False
         if not dull and tag not in INLINE:
-            dull = tag in BOILERPLATE or (tag == "header" and not any(x[0] in PREFERRED for x in self.stack))
+            dull = tag in BOILERPLATE or (tag == "header" and not any(self.open[x] for x in PREFERRED))
             if not dull and attrs and tag not in ("body", "html", "article", "main"):
                 d = dict(attrs)
-                dull = "hidden" in d or (d.get("role") or "").lower() in _ROLES or any(_HINT.search(x) for k in ("class", "id") if d.get(k) for x in d[k].split() if not x.lower().startswith(_ABOUT))
+                dull = "hidden" in d or (d.get("role") or "").lower() in _ROLES or any(map(_dull_name, f"{d.get('class') or ''} {d.get('id') or ''}".lower().split()))
         number = above
         if tag not in INLINE:
             number = len(self.parent)
             self.parent.append(above)
             self.kind.append(tag)
         self.stack.append((tag, number, dull, skipped))
+        self.open[tag] += 1
+
+    def _cut(self, at: int) -> None:
+        """Closes the open elements from this one on."""
+        for x in self.stack[at:]:
+            self.open[x[0]] -= 1
+        del self.stack[at:]
 
     def _close_p(self) -> None:
+        if not self.open["p"]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[i][0]
             if tag == "p":
-                del self.stack[i:]
+                self._cut(i)
                 return
             if tag not in INLINE:
                 return
 
     def _close_same(self, name: str) -> None:
+        if not self.open[name]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[i][0]
             if tag == name:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if tag in ("ul", "ol", "dl", "table", "tbody", "select"):
                 return
@@ -130,9 +153,11 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self.end_line()
         self.tags += 1
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if tag in INLINE and self.stack[i][0] not in INLINE:
                 return
@@ -174,9 +199,10 @@ def extract(html: str | None) -> str:
     mean = sum(ratio) / len(ratio)
     spread = math.sqrt(sum([(r - mean) ** 2 for r in ratio]) / len(ratio))
     threshold = max(FLOOR, mean - SPREAD * spread)
+    clustered = [r >= threshold for r in ratio]
     mass = [0.0] * len(parser.parent)
-    for (text, _, _, number, dull), r in zip(lines, ratio, strict=True):
-        if not dull and r >= threshold:
+    for (text, _, _, number, dull), inside in zip(lines, clustered, strict=True):
+        if not dull and inside:
             mass[number] += len(text)
     if not any(mass):  # no cluster: every line that is not boilerplate votes
         for text, _, _, number, dull in lines:
@@ -195,7 +221,7 @@ def extract(html: str | None) -> str:
     else:
         regions = {_section(parser, mass, {number for _, _, _, number, dull in lines if not dull})}
     known: dict[int, bool] = {}
-    return "\n".join([text for text, _, _, number, dull in lines if not dull and _holds(parser.parent, regions, known, number)])
+    return "\n".join([text for (text, _, linked, number, dull), inside in zip(lines, clustered, strict=True) if not dull and (inside or linked < LINKED * len(text)) and _holds(parser.parent, regions, known, number)])
 
 
 def _section(parser: _Lines, mass: list[float], bright: set[int]) -> int:
@@ -246,7 +272,8 @@ def _holds(parent: list[int], regions: set[int], known: dict[int, bool], k: int)
 
 
 def extract_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``text`` and ``n_chars``."""
+    """The columns ``keep`` with ``text`` and ``n_chars``, which replace columns of the same name."""
+    keep = [c for c in dict.fromkeys(keep) if c not in ("text", "n_chars")]
     schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + ["text string, n_chars long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

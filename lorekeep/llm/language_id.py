@@ -8,7 +8,8 @@ Equal sizes go to the language with more training rows, then to the first by nam
 Training looks only at ``text`` and ``lang``: the rows that may be used are those whose
 ``crc32(doc_id as text) mod 4`` is not 2 and whose lang is not null.  The fit is on a bounded sample:
 ``SAMPLE_ROWS`` rows a language (in each of that many hash buckets of doc_id, the row of smallest
-hash), ``SAMPLE_CHARS`` code points of each, ``DICTIONARY_BYTES`` in all.  The dictionaries travel as
+hash; of a doc_id that has several texts the least), of each ``SAMPLE_CHARS`` code points in ``PIECES`` pieces spread evenly from the
+beginning of the text to its end, ``DICTIONARY_BYTES`` in all.  The dictionaries travel as
 one broadcast, bounded by languages x DICTIONARY_BYTES.  Prediction takes whole texts.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, and for every text if
@@ -30,6 +31,7 @@ from .shared import table
 
 SAMPLE_ROWS = 128
 SAMPLE_CHARS = 1200
+PIECES = 4
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 6
 BLOCK_BYTES = 4096
@@ -54,17 +56,29 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, s
     texts: dict[str, list[tuple[int, str]]] = {lang: [] for lang in counts}
     ids = sorted(set(picked["doc_id"]))
     if ids:
-        for r in docs.select("doc_id", "lang", F.substring("text", 1, chars).alias("text")).where(F.col("doc_id").isin(ids) & F.col("text").isNotNull() & F.col("lang").isNotNull()).collect():
+        size_of_piece, length = chars // PIECES, F.length("text")
+        spread = [F.substring(F.col("text"), (1 + (length - size_of_piece) * k / (PIECES - 1)).cast("int"), F.lit(size_of_piece)) for k in range(PIECES)]
+        pieces = F.when(length <= chars, F.col("text")).otherwise(F.concat_ws("\n", *spread))
+        sampled = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", pieces.alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+        for r in sampled.collect():
             if r.lang in texts:
                 texts[r.lang].append((r.doc_id, r.text))
     out = []
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         share = max(1, size // max(1, len(texts[lang])))
-        parts = [t.lower().encode()[: max(share, 200)] for _, t in sorted(texts[lang])]
+        parts = [_spread(t.lower().encode(), max(share, 200)) for _, t in sorted(texts[lang])]
         out.append((lang, counts[lang], b"\n".join(parts)[:size]))
     return [x for x in out if len(x[2]) >= 8]
 
 
+def _spread(data: bytes, size: int) -> bytes:
+    """At most ``size`` bytes, in pieces from the beginning to the end."""
+    if len(data) <= size:
+        return data
+    piece = size // PIECES
+    return b"".join([data[(len(data) - piece) * k // (PIECES - 1) :][:piece] for k in range(PIECES)])
+
+
 class Identifier:
     def __init__(self, model: list[tuple[str, int, bytes]], level: int = LEVEL) -> None:
         self.coders = []
@@ -94,7 +108,8 @@ class Identifier:
 
 
 def identify(docs: DataFrame, model: list[tuple[str, int, bytes]], keep: list[str], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The columns ``keep`` with lang_pred, score, margin and rejected."""
+    """The columns ``keep`` with lang_pred, score, margin and rejected, which replace columns of the same name."""
+    keep = [c for c in dict.fromkeys(keep) if c not in ("lang_pred", "score", "margin", "rejected")]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string, score double, margin double, rejected boolean"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -7,8 +7,8 @@ document is retained when at least ``min_content_share`` of its words stand in c
 
 The field is trained by maximum likelihood (forward-backward, gradient ascent with momentum) on a
 bounded sample of labelled documents: at most ``MAX_TRAINING_DOCS`` rows of ``labels`` with a
-non-null quality, those of smallest ``xxhash64(doc_id)``, at most ``TRAINING_CHARS`` code points and
-``TRAINING_LINES`` lines of each.  Every other figure is taken from whole texts.
+non-null quality, those of smallest ``xxhash64(doc_id)``, with their whole texts (of a doc_id that has
+several, the least).  Long texts are cut into chains of ``CHAIN`` lines, and every document weighs alike in its class.
 
 Defined results: a null or empty text has no words, all counts are 0 and it is rejected by the base
 rule; a null doc_id is passed through; rows that repeat are judged alike; an empty table gives no
@@ -30,8 +30,7 @@ from . import kernels as K
 from .shared import table
 
 MAX_TRAINING_DOCS = 1000
-TRAINING_CHARS = 20_000
-TRAINING_LINES = 24
+CHAIN = 24
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -141,14 +140,15 @@ class LineField:
 
     def fit(self, features: list[np.ndarray], labels: list[int], steps: int = 120, rate: float = 0.5, ridge: float = 1e-3) -> LineField:
         """Every line of a document bears the document's label; both classes weigh alike."""
-        pairs = [(x[:TRAINING_LINES], y) for x, y in zip(features, labels, strict=True) if len(x)]
-        if len({y for _, y in pairs}) < 2:
+        known = [(x, y) for x, y in zip(features, labels, strict=True) if len(x)]
+        in_class = {k: sum(y == k for _, y in known) for k in (0, 1)}
+        if not all(in_class.values()):
             return self
-        n, length = len(pairs), max(len(x) for x, _ in pairs)
-        x, on, y = np.zeros((length, n, N_FEATURES)), np.zeros((length, n), dtype=bool), np.array([y for _, y in pairs])
-        for i, (f, _) in enumerate(pairs):
+        chains = [(f[at : at + CHAIN], y, 0.5 / in_class[y] / len(f)) for f, y in known for at in range(0, len(f), CHAIN)]
+        n, length = len(chains), max(len(f) for f, _, _ in chains)
+        x, on, y, share = np.zeros((length, n, N_FEATURES)), np.zeros((length, n), dtype=bool), np.array([y for _, y, _ in chains]), np.array([w for _, _, w in chains])
+        for i, (f, _, _) in enumerate(chains):
             x[: len(f), i], on[: len(f), i] = f, True
-        share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) / on.sum(0)
         gold = np.stack([(y == 0), (y == 1)], 1).astype(float)
         speed_e, speed_m = np.zeros_like(self.emit), np.zeros_like(self.move)
         for _ in range(steps):
@@ -201,7 +201,7 @@ class LineField:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> LineField:
     """Fit on the bounded sample described above."""
     sample = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_docs)
-    rows = docs.select("doc_id", F.substring("text", 1, TRAINING_CHARS).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").limit(2 * max_docs).toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).toArrow()
     order = np.lexsort((rows["quality"].to_numpy(zero_copy_only=False), rows["doc_id"].to_numpy(zero_copy_only=False))) if len(rows) else np.zeros(0, int)
     rows = rows.take(pa.array(order))
     features: list[np.ndarray] = []

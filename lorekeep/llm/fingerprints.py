@@ -10,9 +10,9 @@ Written form: base64 of the ascending little-endian 64-bit hashes, so equal text
 fingerprints and the empty text has the empty string.
 
 The query also compares each document with an edited copy and with the next document in ascending
-order of doc_id.  Documents are dealt into ranges of doc_id (boundaries from quantiles, a bounded
-list) and sorted in each; the first document of every range is also sent to the range before, so a
-neighbour never has to be looked up and no task sees more than one range.
+order of doc_id.  Documents are dealt into ranges of doc_id and text hash (boundaries from quantiles, two
+a shuffle partition, one task a range) and sorted in each; the first document of every range is also sent to the
+range before, so a neighbour never has to be looked up and no task sees more than one range.
 
 Defined results: a null text is empty; two empty fingerprints have resemblance 1, an empty and a
 non-empty one 0; a null doc_id comes first; rows that repeat a doc_id follow each other by the hash
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -97,7 +98,8 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K_SMALLEST) -> float:
 
 
 def fingerprint(docs: DataFrame, keep: list[str], k: int = K_SMALLEST) -> DataFrame:
-    """The columns ``keep`` with ``fingerprint`` and ``distinct_shingles``."""
+    """The columns ``keep`` with ``fingerprint`` and ``distinct_shingles``, which replace columns of the same name."""
+    keep = [c for c in dict.fromkeys(keep) if c not in ("fingerprint", "distinct_shingles")]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["fingerprint string, distinct_shingles double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,28 +110,51 @@ def fingerprint(docs: DataFrame, keep: list[str], k: int = K_SMALLEST) -> DataFr
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def _range_of(key: Column, bounds: list[int], first: int = 0) -> Column:
-    """Number of the range that a key falls into, by a balanced tree of comparisons."""
+def _numbers(values: list[int]) -> Column:
+    """A literal array of whole numbers."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _range_of(key: Column, h: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Number of the range that (key, h) falls into: how many bounds are not above it, by bisection."""
     if not bounds:
-        return F.lit(first)
-    m = len(bounds) // 2
-    return F.when(key < F.lit(bounds[m]), _range_of(key, bounds[:m], first)).otherwise(_range_of(key, bounds[m + 1 :], first + m + 1))
+        return F.lit(0)
+    keys, hashes = _numbers([k for k, _ in bounds]), _numbers([x for _, x in bounds])
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = ((s["lo"] + s["hi"]) / 2).cast("int")
+        bound = F.get(keys, at)
+        below = (bound < key) | ((bound == key) & (F.get(hashes, at) <= h))
+        go = s["lo"] < s["hi"]
+        return F.struct(F.when(go & below, at + 1).otherwise(s["lo"]).alias("lo"), F.when(go & ~below, at).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, step)["lo"]
 
 
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows (part, guard, doc_id, text), dealt by part and sorted in it; the row after a part's last is its first ``guard``."""
-    key = F.coalesce(F.col("doc_id"), F.lit(LEAST))
-    keyed = docs.select("doc_id", "text").withColumn("key", key)
+    """Rows (part, guard, doc_id, text), dealt by part and sorted in it; the row after a part's last is its first ``guard``.
+
+    Ranges follow quantiles of doc_id; a doc_id that takes several of them (null, or one that repeats) is cut by the hash of its texts."""
+    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(LEAST)).alias("key"), F.xxhash64("text").alias("h"))
     found = keyed.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    keyed = keyed.withColumn("part", _range_of(F.col("key"), sorted({int(x) for x in found})))
-    firsts = sorted(tuple(r) for r in keyed.groupBy("part").agg(F.min("key")).collect())
+    bounds: list[tuple[int, int]] = []
+    for value, times in sorted(Counter(map(int, found)).items()):
+        bounds += [(value, LEAST + (1 << 64) * k // times) for k in range(times)]
+    keyed = keyed.withColumn("part", _range_of(F.col("key"), F.col("h"), bounds))
+    firsts = sorted((r.part, r.least.key, r.least.h) for r in keyed.groupBy("part").agg(F.min(F.struct("key", "h")).alias("least")).collect())
     if not firsts:
         return keyed.select("part", F.lit(False).alias("guard"), "doc_id", "text")
-    before = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
-    previous = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("key"))
-    places = F.when(F.col("key").isin(list(before)), F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guard")), F.struct(previous.alias("part"), F.lit(True).alias("guard")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guard"))))
-    rows = keyed.withColumn("place", F.explode(places)).select("place.part", "place.guard", "doc_id", "text", "key", F.xxhash64("text").alias("h"))
-    return rows.repartition(len(firsts), "part").sortWithinPartitions("part", "guard", "key", "h").select("part", "guard", "doc_id", "text")
+    # By number of range: its first row, and the range before it that has rows.
+    first, before = {p: (k, h) for p, k, h in firsts}, {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
+    numbers = range(len(bounds) + 1)
+    column = lambda values: F.get(_numbers(values), F.col("part"))
+    opens = (F.col("key") == column([first.get(p, (0, 0))[0] for p in numbers])) & (F.col("h") == column([first.get(p, (0, 0))[1] for p in numbers]))
+    previous = column([before.get(p, 0) for p in numbers]).cast("int")
+    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("guard"))
+    places = F.when(opens, F.array(own, F.struct(previous.alias("part"), F.lit(True).alias("guard")))).otherwise(F.array(own))
+    rows = keyed.withColumn("place", F.explode(places)).select("place.part", "place.guard", "doc_id", "text", "key", "h")
+    return rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "guard", "key", "h").select("part", "guard", "doc_id", "text")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,5 +186,5 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = in_ranges(docs, max(1, min(2048, 2 * partitions(spark))))
+    rows = in_ranges(docs, max(1, 2 * partitions(spark)))
     return rows.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -272,5 +272,7 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their repeated lines; a document that loses all its words goes."""
-    out = dedup(docs).where(~((F.col("n_dropped") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = dedup(packed).where(~((F.col("n_dropped") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
+    own = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*[own.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ unsplit windows run over these tables, whose size does not depend on the number
 the number of sources.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its
-own, last; a null doc_id is hashed as the empty text; rows that repeat a doc_id are served one after
+own, last; a row with a null doc_id has its place by its text; rows that repeat a doc_id are served one after
 the other; a source without words has target 0; an empty table gives no rows; columns of other names
 are ignored.
 """
@@ -60,7 +60,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = M
 
 def mix(docs: DataFrame, size: Column) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, taken): one for each row of ``docs``; taken counts words, repeats included."""
-    own = stored(docs.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h")), "mix-sizes")
+    text = F.col("text") if "text" in docs.columns else F.lit("")
+    own = stored(docs.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), text, F.lit("")).cast("binary")).alias("h")), "mix-sizes")
     goal = targets(own)
     prefix = own.withColumn("part", F.substring("h", 1, PREFIX))
     parts = prefix.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
@@ -93,16 +94,18 @@ def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it; rows that repeat a doc_id are taken alike."""
-    counts = mix(docs, word_count()).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).cast("int").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "mixed_id")
+    """Pipeline stage: every document as often as the mix takes it; rows that repeat a doc_id, or have none and the same text, are taken alike.
+
+    Columns of any other name are kept as they are."""
     columns = docs.columns
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["mixed_id"]))
-    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in columns])
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("doc_id"), "source", "text")
+    counts = mix(named, word_count()).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).cast("int").alias("copies")).where("copies > 0")
+    return named.select("row", "doc_id").join(counts, "doc_id").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def oracle() -> str:
     return f"""
-WITH own AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH own AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS h FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, [{', '.join(f'{w}.0' for w in WEIGHTS)}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}]::DOUBLE AS weight FROM own GROUP BY source),
 levels AS (SELECT *, {MAX_EPOCHS} * source_size::DOUBLE AS top,
   ((sum(source_size) OVER ())::DOUBLE - coalesce(sum({MAX_EPOCHS} * source_size::DOUBLE) OVER w, 0)) / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER w, 0)) AS level

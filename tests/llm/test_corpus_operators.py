@@ -170,14 +170,14 @@ def test_mixing_query(spark):
 def test_mixing_reaches_targets(spark):
     rng = random.Random(1)
     rows = [(i, None if rng.random() < 0.2 else rng.choice("abcdef" if i % 5 else "a"), "w " * rng.randint(0, 40)) for i in range(600)] + [(None, "a", "x"), (3, "a", None), (3, "a", "y z"), (3, "a", "y z")]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", F.lit("clash"))
-    out = source_mixing.mix(df.drop("size"), source_mixing.word_count()).collect()
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.lit("clash") for c in ("size", "h", "target", "taken", "copies")})
+    out = source_mixing.mix(df, source_mixing.word_count()).collect()
     assert len(out) == len(rows)
     for s in {r.source for r in out}:
         own = [r for r in out if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= 80 and all(r.taken <= 3 * r.size for r in own) and own[0].source_size == sum(r.size for r in own)
     assert sum(r.taken for r in out) <= sum(r.size for r in out)
-    assert source_mixing.mix(df.drop("size").limit(0), source_mixing.word_count()).count() == 0
+    assert source_mixing.mix(df.limit(0), source_mixing.word_count()).count() == 0
 
 
 def test_target_cap_is_reshared(spark):
@@ -211,7 +211,13 @@ def test_pipeline_stages(spark):
 def test_pipeline_on_odd_rows(spark):
     import corpus_pipeline
 
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "a b\na b", None, "s", 7), (2, "w " * 50, "en", "s", 100), (2, "w " * 50, "en", "s", 100)], "doc_id long, text string, lang string, source string, n_chars long")
-    for rows in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, rows, SF).count() <= 3 * docs.count()
+    clean = " ".join(f"Word{i} and more." for i in range(30))
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "a b\na b", None, "s", 7), (2, "w " * 50, "en", "s", 100), (3, clean, "en", "s", 1), (None, clean.replace("Word", "Term"), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("kept") for c in ("copies", "n_dropped", "key", "label", "row")})
+    want = {"quality rules": {3, None}, "line dedup": {None, 1, 2, 3}, "n-gram Jaccard join": {None, 1, 2, 3}, "mixing sources to target weights": {1, 2, 3, None}, "BPE encoding and decoding": {None, 1, 2, 3}}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= want[name] and ({3, None} <= {r.doc_id for r in rows} or name == "mixing sources to target weights"), name
+        assert name.startswith("BPE") or out.columns == docs.columns and all(r.copies == r.row == r.n_dropped == "kept" for r in rows), name
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -45,14 +45,35 @@ def search_text(docs: DataFrame, query: str, mode: str = "all", limit: int = 25,
 # ---- TF-IDF ---------------------------------------------------------------------------------------------
 
 
+def term_counts(docs: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
+    """(doc, term, tf)."""
+    return docs.select(F.col(key).alias("doc"), F.explode(tfidf_tokens(F.col(body))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def document_counts(tf: DataFrame, n: int) -> DataFrame:
+    """(term, df, idf) over ``n`` documents."""
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", F.ln(1 + F.lit(float(n)) / (1 + F.col("df"))).alias("idf"))
+
+
+def _raw() -> Column:
+    return (1 + F.ln(F.col("tf").cast("double"))) * F.col("idf")
+
+
+def row_norms(tf: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc, norm) of the weighted rows."""
+    return tf.join(terms.select("term", "idf"), "term").groupBy("doc").agg(F.sqrt(F.sum(_raw() * _raw())).alias("norm"))
+
+
+def unit_weights(tf: DataFrame, terms: DataFrame, norms: DataFrame) -> DataFrame:
+    """(doc, term, tf, weight) with rows of length one."""
+    return tf.join(terms.select("term", "idf"), "term").join(norms, "doc").select("doc", "term", "tf", (_raw() / F.col("norm")).alias("weight"))
+
+
 def tfidf_index(docs: DataFrame, key: str = "path", body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(doc, term, tf, weight) with unit rows, and (term, df, idf)."""
-    tf = docs.select(F.col(key).alias("doc"), F.explode(tfidf_tokens(F.col(body))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.ln(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))
-    raw = tf.join(terms, "term").select("doc", "term", "tf", ((1 + F.ln(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
-    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "doc").select("doc", "term", "tf", (F.col("w") / F.col("norm")).alias("weight")), terms
+    """(doc, term, tf, weight) with unit rows, and (term, df, idf), planned anew for every use; ``index_store`` keeps them."""
+    tf = term_counts(docs, key, body)
+    terms = document_counts(tf, docs.count())
+    return unit_weights(tf, terms, row_norms(tf, terms)), terms
 
 
 def tfidf_search(index: DataFrame, terms: DataFrame, query: str, limit: int = 10, min_score: float = 0.05) -> DataFrame:
@@ -68,7 +89,7 @@ def tfidf_search(index: DataFrame, terms: DataFrame, query: str, limit: int = 10
     return hits.where(F.col("score") >= min_score).withColumn("score", round4(F.col("score"))).orderBy(F.desc("score"), "doc").limit(limit)
 
 
-# ---- BM25 -----------------------------------------------------------------------------------------------
+# ---- BM25 (fixed values: the weights of the columns, K1 and B) -----------------------------------------------------------------------------------------------
 
 WEIGHTS = {"content": 1.0, "title": 10.0, "aliases": 5.0}
 K1, B = 1.2, 0.75
@@ -140,6 +161,14 @@ def vector_batch(vectors: DataFrame, queries: DataFrame, limit: int = 10, min_sc
     """Top-k of each of a set of query vectors (query_id, q), which are broadcast against all rows in blocks of about ``most_queries``.
 
     Each task first keeps its best ``limit`` rows of every query, so what is shuffled does not grow with the rows."""
+    scored = _scored(vectors, queries, min_score, key, vector, most_queries)
+    local = Window.partitionBy("query_id", "slice").orderBy(F.desc("score"), key)
+    few = scored.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("n", F.row_number().over(local)).where(F.col("n") <= limit).drop("n", "slice")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= limit)
+
+
+def _scored(vectors: DataFrame, queries: DataFrame, min_score: float, key: str, vector: str, most_queries: int) -> DataFrame:
+    """(query_id, key, score): all rows against the queries, which are broadcast in blocks of about ``most_queries``."""
     blocks = max(1, -(-queries.count() // most_queries))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     scored = None
@@ -147,9 +176,12 @@ def vector_batch(vectors: DataFrame, queries: DataFrame, limit: int = 10, min_sc
         asked = queries.where(block == number) if blocks > 1 else queries
         part = vectors.crossJoin(F.broadcast(asked)).select("query_id", key, X.dot(F.col(vector), F.col("q")).alias("score")).where(F.col("score") >= min_score)
         scored = part if scored is None else scored.unionByName(part)
-    local = Window.partitionBy("query_id", "slice").orderBy(F.desc("score"), key)
-    few = scored.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("n", F.row_number().over(local)).where(F.col("n") <= limit).drop("n", "slice")
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= limit)
+    return scored
+
+
+def vector_counts(vectors: DataFrame, queries: DataFrame, min_score: float = 0.3, key: str = "id", vector: str = "vector", most_queries: int = 1000) -> DataFrame:
+    """(query_id, near): how many rows score at least ``min_score`` with each query."""
+    return _scored(vectors, queries, min_score, key, vector, most_queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("near"))
 
 
 def lsh_candidates(vectors: DataFrame, bits: int = 12, tables: int = 8, seed: int = 7, vector: str = "vector", dim: int = 64) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import text as T
-from ..operators import chunks, evaluate, fusion, graph, links, maintenance, predicates, reports, retrieval
+from ..operators import chunks, evaluate, fusion, graph, index_store, links, maintenance, predicates, reports, retrieval
 from ..sources import scans
 from . import bases, dql
 
@@ -223,15 +223,23 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), n AS (SELECT
 w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w, idf FROM tf JOIN df USING (term)), norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)"""
 
 
+def _cosine(spark, d):
+    return index_store.shared(spark, "cosine", d, lambda folder: index_store.CosineIndex.save(table(spark, d, "documents"), folder, "doc_id", "text"))
+
+
+def _words(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return index_store.shared(spark, "words", d, lambda folder: index_store.WordIndex.save(docs, folder, ("doc_id",), ("content",)))
+
+
 @query("tfidf_norms", f"WITH {_TF} SELECT doc_id, count(*) AS terms, round(sum((w / norm) * (w / norm)), 6) AS total FROM w JOIN norm USING (doc_id) GROUP BY doc_id")
 def _(spark, d):
-    index, _terms = retrieval.tfidf_index(table(spark, d, "documents"), "doc_id", "text")
-    return index.groupBy(F.col("doc").alias("doc_id")).agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("total"))
+    return _cosine(spark, d).weights().groupBy(F.col("doc").alias("doc_id")).agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("total"))
 
 
 @query("tfidf_query", f"WITH {_TF}, q AS (SELECT term, idf AS qw FROM df WHERE term IN ('thing', 'license', 'onthe', 'public')), qn AS (SELECT sqrt(sum(qw * qw)) AS qn FROM q), s AS (SELECT doc_id, sum((w.w / norm) * (qw / qn)) AS score FROM w JOIN norm USING (doc_id) JOIN q USING (term), qn GROUP BY doc_id), r AS (SELECT doc_id AS doc, floor(score * 10000 + 0.5) / 10000 AS score FROM s WHERE score >= 0.05) SELECT doc, score FROM r ORDER BY score DESC, doc LIMIT 30")
 def _(spark, d):
-    return retrieval.tfidf_search(*retrieval.tfidf_index(table(spark, d, "documents"), "doc_id", "text"), "thing license onthe public", 30).select("doc", "score")
+    return _cosine(spark, d).search("thing license onthe public", 30).select("doc", "score")
 
 
 _FTS = """tk AS (SELECT doc_id, regexp_extract_all(translate(lower(text), '%s', '%s'), '[\\p{L}\\p{N}]+') AS t FROM documents), len AS (SELECT doc_id, len(t) + 1 AS length FROM tk),
@@ -241,18 +249,14 @@ id AS (SELECT *, CASE WHEN ln((N - na + 0.5) / (na + 0.5)) > 0 THEN ln((N - na +
 SELECT doc_id, round(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * length / avg)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * length / avg)), 6) AS score FROM id WHERE a > 0 AND b > 0"""
 
 
-@query("bm25_query", "WITH " + _FTS % (T.MARKED, T.PLAIN))
+@query("bm25_query", "WITH " + _FTS % (T.MARKED + T.MARKS, T.PLAIN))
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    postings, lengths = retrieval.bm25_index(docs, ("doc_id",), ("content",))
-    return retrieval.bm25_search(postings, lengths, "license public", None, ("doc_id",)).select("doc_id", F.round("score", 6).alias("score"))
+    return _words(spark, d).search("license public", None).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("bm25_phrase", "WITH " + _FTS.split("st AS")[0] % (T.MARKED, T.PLAIN) + "x AS (SELECT doc_id, len(regexp_extract_all(' ' || array_to_string(t, '  ') || ' ', ' general  public ')) AS tf FROM tk) SELECT doc_id FROM x WHERE tf > 0")
+@query("bm25_phrase", "WITH " + _FTS.split("st AS")[0] % (T.MARKED + T.MARKS, T.PLAIN) + "x AS (SELECT doc_id, len(regexp_extract_all(' ' || array_to_string(t, '  ') || ' ', ' general  public ')) AS tf FROM tk) SELECT doc_id FROM x WHERE tf > 0")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    postings, lengths = retrieval.bm25_index(docs, ("doc_id",), ("content",))
-    return retrieval.bm25_search(postings, lengths, "general-public", None, ("doc_id",)).select("doc_id")
+    return _words(spark, d).search("general-public", None).select("doc_id")
 
 
 @query("title_ngram_jaccard", "WITH g AS (SELECT p_partkey, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(lower(p_name), i, 3))) AS g FROM part), me AS (SELECT g AS mine FROM g WHERE p_partkey = 1) SELECT p_partkey, round(len(list_intersect(g, mine)) / len(list_distinct(list_concat(g, mine))), 6) AS score FROM g, me WHERE p_partkey <> 1")
@@ -280,19 +284,19 @@ def _(spark, d):
     return retrieval.vector_search(v, q, 10, -1.0, "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("vector_threshold", "SELECT q.vec_id AS query_id, count(*) AS near FROM embeddings q JOIN embeddings v ON q.vec_id < 20 AND list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) >= 0.3 GROUP BY q.vec_id")
+@query("vector_threshold", "SELECT q.vec_id AS query_id, count(*) AS near FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) >= 0.3 GROUP BY q.vec_id")
 def _(spark, d):
     v = table(spark, d, "embeddings")
-    return v.crossJoin(F.broadcast(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))).where(X.dot(F.col("embedding"), F.col("q")) >= 0.3).groupBy("query_id").agg(F.count(F.lit(1)).alias("near"))
+    return retrieval.vector_counts(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 0.3, "vec_id", "embedding")
 
 
 def _batch(spark, d):
     v = table(spark, d, "embeddings")
-    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.vector_batch(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), asked, 10, -1.0)
 
 
-_BATCH = "dots AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20), batch AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dots QUALIFY rank <= 10)"
+_BATCH = "dots AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), batch AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dots QUALIFY rank <= 10)"
 
 
 @query("vector_batch", f"WITH {_BATCH} SELECT query_id, id, rank, round(score, 6) AS score FROM batch")
@@ -313,15 +317,15 @@ def _(spark, d):
 
 # ---- fusion ----------------------------------------------------------------------------------------------
 
-_SIGNALS = f"""{_BATCH}, lab AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.vec_id < 20 AND q.label = v.label),
+_SIGNALS = f"""{_BATCH}, lab AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND q.label = v.label),
 sig AS (SELECT query_id, id, rank, score, 'vector' AS signal FROM batch UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank, 0 - id AS score, 'label' AS signal FROM lab QUALIFY rank <= 50),
 fused AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score, count(*) AS signals FROM sig GROUP BY ALL)"""
 
 
 def _signals(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    asked = v.where("id < 20").select(F.col("id").alias("query_id"), "label")
-    lab = fusion.ranks(v.join(F.broadcast(asked), "label").select("query_id", "id", (-F.col("id")).cast("double").alias("score")), "label").where("rank <= 50")
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label")
+    lab = fusion.ranks(v.join(asked, "label").select("query_id", "id", (-F.col("id")).cast("double").alias("score")), "label").where("rank <= 50")
     return _batch(spark, d).select("query_id", "id", F.lit("vector").alias("signal"), "rank", "score").unionByName(lab.select("query_id", "id", "signal", "rank", "score"))
 
 
@@ -516,14 +520,14 @@ def _(spark, d):
 
 # ---- evaluation ------------------------------------------------------------------------------------------
 
-_EVAL = f"{_BATCH}, qr AS (SELECT q.vec_id AS query_id, v.vec_id AS path FROM embeddings q JOIN embeddings v ON q.vec_id < 20 AND q.label = v.label AND q.vec_id <> v.vec_id AND v.vec_id % 9 = 0), tot AS (SELECT query_id, count(*) AS rel FROM qr GROUP BY 1), hit AS (SELECT b.query_id, sum(1 / log2(rank + 1.0)) AS dcg, count(*) AS found, min(rank) AS best FROM batch b JOIN qr ON b.query_id = qr.query_id AND b.id = qr.path GROUP BY 1), qs AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 4 = 0 THEN NULL ELSE 'c' || vec_id % 3 END AS category FROM embeddings WHERE vec_id < 20), sc AS (SELECT query_id, coalesce(category, 'uncategorized') AS category, coalesce(rel, 0) AS relevant, floor(CASE WHEN coalesce(rel, 0) = 0 THEN 0 ELSE coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least(rel, 10) + 1) t(i)) END * 10000 + 0.5) / 10000 AS ndcg, floor(CASE WHEN coalesce(rel, 0) = 0 THEN 0 ELSE coalesce(found, 0)::DOUBLE / rel END * 10000 + 0.5) / 10000 AS recall, floor(coalesce(1.0::DOUBLE / best, 0) * 10000 + 0.5) / 10000 AS mrr, best IS NOT NULL AS hit, CASE WHEN coalesce(rel, 0) = 0 THEN 'no_labels' WHEN best = 1 THEN 'hit_rank_1' WHEN best IS NOT NULL THEN 'hit_top_k' ELSE 'miss' END AS bucket FROM qs LEFT JOIN tot USING (query_id) LEFT JOIN hit USING (query_id))"
+_EVAL = f"{_BATCH}, qr AS (SELECT q.vec_id AS query_id, v.vec_id AS path FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND q.label = v.label AND q.vec_id <> v.vec_id), tot AS (SELECT query_id, count(*) AS rel FROM qr GROUP BY 1), hit AS (SELECT b.query_id, sum(1 / log2(rank + 1.0)) AS dcg, count(*) AS found, min(rank) AS best FROM batch b JOIN qr ON b.query_id = qr.query_id AND b.id = qr.path GROUP BY 1), qs AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 4 = 0 THEN NULL ELSE 'c' || vec_id % 3 END AS category FROM embeddings WHERE vec_id % 100 = 0), sc AS (SELECT query_id, coalesce(category, 'uncategorized') AS category, coalesce(rel, 0) AS relevant, floor(CASE WHEN coalesce(rel, 0) = 0 THEN 0 ELSE coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least(rel, 10) + 1) t(i)) END * 10000 + 0.5) / 10000 AS ndcg, floor(CASE WHEN coalesce(rel, 0) = 0 THEN 0 ELSE coalesce(found, 0)::DOUBLE / rel END * 10000 + 0.5) / 10000 AS recall, floor(coalesce(1.0::DOUBLE / best, 0) * 10000 + 0.5) / 10000 AS mrr, best IS NOT NULL AS hit, CASE WHEN coalesce(rel, 0) = 0 THEN 'no_labels' WHEN best = 1 THEN 'hit_rank_1' WHEN best IS NOT NULL THEN 'hit_top_k' ELSE 'miss' END AS bucket FROM qs LEFT JOIN tot USING (query_id) LEFT JOIN hit USING (query_id))"
 
 
 def _scores(spark, d):
     v = table(spark, d, "embeddings")
     run = _batch(spark, d).select("query_id", F.col("id").alias("path"), "rank")
-    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
-    qrels = v.join(F.broadcast(asked), F.col("label") == F.col("l")).where("vec_id <> query_id and vec_id % 9 = 0").select("query_id", F.col("vec_id").alias("path"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
+    qrels = v.join(asked, F.col("label") == F.col("l")).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("path"))
     cats = asked.select("query_id", F.when(F.col("query_id") % 4 != 0, F.concat(F.lit("c"), F.col("query_id") % 3)).alias("category"))
     return evaluate.per_query(run, qrels, cats)
 

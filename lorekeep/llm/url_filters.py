@@ -2,13 +2,14 @@
 
 A rule fits its host and all subdomains if the path starts with the rule's; the longest rule (host and
 path together) wins.  Other URLs get the verdict of the regression: the sum of the weights of the
-hashed character n-grams of host and path, ``block`` above zero.  Everything a row goes through is
-built from SQL functions; there is no Python on the executors.
-
-The regression is trained on ``LABELLED``, a small table of URLs, by batch gradient ascent in plain
-Python (a fixed number of steps over a fixed number of rows, no data from the cluster).  Weights are
-rounded to integers, so sums are exact and do not depend on their order; they reach the plan as one
-literal of ``BUCKETS`` numbers.  The hash of an n-gram is polynomial in its code points, so that SQL
+hashed character n-grams of host and path, divided by the root of their number, ``block`` above a
+threshold.  Everything a row goes through is built from SQL functions; there is no Python on the executors.
+
+The regression is trained on ``LABELLED``, a small table of URLs, by batch gradient ascent on the driver
+(a fixed number of steps over a fixed number of rows, no data from the cluster).  The threshold is trained too: in ``FOLDS``
+folds each URL is scored by a regression that has not seen it, and the threshold is the lowest one that blocks
+none of the allowed URLs by these scores.  Weights are rounded to integers, so sums are exact and do not depend on their order;
+they reach the plan as one literal of ``BUCKETS`` numbers.  The hash of an n-gram is polynomial in its code points, so that SQL
 engines agree on it.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and the verdict
@@ -21,6 +22,7 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ SCALE = 1_000_000
 STEPS = 300
 RATE = 0.5
 RIDGE = 1e-3
+FOLDS = 5
 #: Rules of the contract: (host, path, verdict).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: The small labelled table: host and path, 1 for block.
@@ -59,22 +62,34 @@ def grams(text: str) -> list[int]:
     return out
 
 
+def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept by batch gradient ascent."""
+    w, bias = np.zeros(x.shape[1]), 0.0
+    for _ in range(STEPS):
+        miss = (y - 1.0 / (1.0 + np.exp(-np.clip(x @ w + bias, -50.0, 50.0)))) / len(y)
+        w, bias = w + RATE * 20 * (miss @ x - RIDGE * w), bias + RATE * float(miss.sum())
+    return w, bias
+
+
 @functools.cache
 def weights() -> tuple[int, ...]:
-    """The trained weights times SCALE, the intercept last."""
-    rows = [(grams(_framed(u)), y) for u, y in LABELLED]
-    w, bias = [0.0] * BUCKETS, 0.0
-    for _ in range(STEPS):
-        step, shift = [-RIDGE * x for x in w], 0.0
-        for g, y in rows:
-            z = bias + sum([w[k] for k in g]) / math.sqrt(len(g))
-            miss = (y - 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, z))))) / len(rows)
-            shift += miss
-            for k in g:
-                step[k] += miss / math.sqrt(len(g))
-        w, bias = [x + RATE * 20 * s for x, s in zip(w, step, strict=True)], bias + RATE * shift
-    # With no training word in sight a URL is allowed: the intercept leans that way by a margin.
-    return (*[round(x * SCALE) for x in w], round((bias - 1.0) * SCALE))
+    """The trained weights times SCALE; last the score that a URL must exceed to be blocked, less the intercept, times SCALE."""
+    y = np.array([label for _, label in LABELLED], dtype=float)
+    x = np.zeros((len(LABELLED), BUCKETS))
+    for row, (url, _) in enumerate(LABELLED):
+        own = grams(_framed(url))
+        np.add.at(x[row], own, 1 / math.sqrt(len(own)))
+    fold = np.arange(len(y)) % FOLDS
+    unseen = np.zeros(len(y))
+    for k in range(FOLDS):
+        w, bias = _fit(x[fold != k], y[fold != k])
+        unseen[fold == k] = x[fold == k] @ w + bias
+    # Halfway from the highest score of an allowed URL to the next one above it.
+    most = unseen[y == 0].max()
+    above = unseen[unseen > most]
+    bar = (most + above.min()) / 2 if len(above) else most
+    w, bias = _fit(x, y)
+    return (*[round(v * SCALE) for v in w.tolist()], round((float(bar) - bias) * SCALE))
 
 
 def _framed(host_path: str) -> str:
@@ -113,7 +128,7 @@ def _grams_expr(text: str, n: int) -> str:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the regression's integer score."""
     host, path = host_path(F.col("url"))
-    *w, bias = weights()
+    *w, bar = weights()
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     framed = parts.withColumn("framed", F.when((F.col("host") == "") & (F.col("path") == ""), F.lit("")).otherwise(F.concat(F.lit("^"), "host", "path")))
     literal = ",".join(map(str, w))
@@ -123,9 +138,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     n_grams = " + ".join(f"greatest(length(framed) - {n - 1}, 0)" for n in GRAMS)
     scored = framed.withColumn("w", F.split(F.lit(literal), ",").cast("array<bigint>")).withColumn("points", F.expr(total)).withColumn("n_grams", F.expr(n_grams))
     name, verdict = matched(F.col("host"), F.col("path"), rules)
-    # points / sqrt(n) + bias > 0, without a root: points > 0 and points^2 > bias^2 * n (the intercept is not positive)
-    blocked = (F.col("points") > 0) & (F.col("points").cast("decimal(38,0)") * F.col("points") > F.lit(bias * bias).cast("decimal(20,0)") * F.col("n_grams"))
-    assert bias <= 0
+    # points / sqrt(n) > bar, without a root: the squares tell, with the sign of either side.
+    square, limit = F.col("points").cast("decimal(38,0)") * F.col("points"), F.lit(bar * bar).cast("decimal(20,0)") * F.col("n_grams")
+    blocked = ((F.col("points") > 0) & (square > limit)) if bar >= 0 else ((F.col("points") > 0) | (square < limit))
     return scored.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(blocked, "block").otherwise("allow")).alias("verdict"), "points")
 
 
@@ -134,7 +149,8 @@ def op9_url_filters(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    *w, bias = weights()
+    *w, bar = weights()
+    blocked = f"points > 0 AND points::HUGEINT * points::HUGEINT > {bar * bar}::HUGEINT * n_grams" if bar >= 0 else f"points > 0 OR points::HUGEINT * points::HUGEINT < {bar * bar}::HUGEINT * n_grams"
 
     def points(n: int) -> str:
         h = str(n)
@@ -153,5 +169,5 @@ parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHI
 framed AS (SELECT *, CASE WHEN host = '' AND path = '' THEN '' ELSE '^' || host || path END AS framed FROM parts),
 scored AS (SELECT *, {' + '.join(points(n) for n in GRAMS)} AS points, {n_grams} AS n_grams FROM framed, (SELECT [{', '.join(map(str, w))}]::BIGINT[] AS w))
 SELECT page_id, host, path, {name} AS rule,
-  coalesce({verdict}, CASE WHEN points > 0 AND points::HUGEINT * points::HUGEINT > {bias * bias}::HUGEINT * n_grams THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce({verdict}, CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict
 FROM scored"""

@@ -263,6 +263,17 @@ def test_url_query(spark):
     assert_same(url_filters.op9_url_filters(spark, SF), url_filters.oracle(), SF)
 
 
+def test_url_verdicts_on_urls_it_has_not_seen(spark):
+    block = ["best-casino.example.de/slots/play", "porn-videos.example.de/xxx/hot", "adult-cams.example.fr/live/girls", "buy-viagra.example.es/cheap/pills", "poker-jackpot.example.de/win/bonus", "crack-keygen.example.fr/torrent/serial"]
+    allow = ["garden.example.de/roses/care", "museum.example.fr/visite/horaires", "news.example.de/politik/wahl", "bridge.example.es/guia/viaje", "school.example.fr/cours/histoire", "therha.example.com/fr/825", "www.osterly.example.net/article/17", "park.example.org/trees"]
+    df = spark.createDataFrame([(i, f"https://{u}") for i, u in enumerate(block + allow)], "page_id int, url string").withColumns({c: F.lit("x") for c in ("host", "points", "w", "framed")})
+    got = [r.verdict for r in url_filters.judge(df).orderBy("page_id").collect()]
+    right = sum(v == ("block" if i < len(block) else "allow") for i, v in enumerate(got))
+    assert right >= len(got) - 2, got
+    again = url_filters.judge(df.unionAll(df)).groupBy("page_id").agg(F.count_distinct("verdict").alias("n"))
+    assert again.where("n <> 1").count() == 0 and url_filters.judge(df.limit(0)).count() == 0
+
+
 def test_url_rules_and_grams(spark):
     urls = ["http://free-casino.example.xyz/play/poker", None, "nothing", "HTTPS://WWW.Example.COM/en/7x?a#b", "://", "a://b://c/en/", "http://x.net/de/9", "http://example.net/de/8", "http://com/en/1", "http://telecom/en/", "http://gardens.example.xyz/rose/care"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")

@@ -54,7 +54,7 @@ def paged(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, bits): a bitmap of the places that occur twice or more; all rows of a page are in one partition."""
+    """(page, bits): a bitmap of the places that occur twice or more; all rows of a page are in one partition, as counts of fixed size."""
     seen: dict[int, np.ndarray] = {}
     for b in batches:
         for page, bits in zip(b.column("page").to_pylist(), b.column("bits").to_pylist(), strict=True):

@@ -11,7 +11,8 @@ one node from the start: the smallest doc_id that has them.
   *reach*: the largest partner whose overlap the tokens from that position on can still give.  At the first
   common token of a link, each size is within the reach of the other entry.  Each list has the smallest size and
   the largest reach in it, and entries that fit neither are passed over; so are whole blocks of a long family, by
-  the same bounds.  Tokens that only one set has never enter the index.
+  the same bounds.  Tokens that only one set has, or only sets whose sizes cannot fit, are told by a bitmap
+  and do not enter the index.
 * Families.  The entries of a list stand under one leader, the set of least hash, so that lists with the same leader become one family.  Two sets that share a token share a family; a pair is looked at in
   the least family that both are in, and nowhere else.
 * Answer-level skipping.  In a family the answers of one reference set (its overlap with each member) are computed
@@ -48,10 +49,12 @@ from pyspark.sql import functions as F
 from . import bitmaps
 from . import kernels as K
 from .components import components
-from .shared import by_groups, discard, stored, table
+from .shared import by_groups, discard, partitions, stored, table
 
 SHINGLE = 5
 PERCENT = 75
+#: Logarithm of the width of a size class; sets that link differ by less.
+WIDE = np.log(3.2)
 #: Tokens that a task counts at a time, how often one must occur there to be reported, and in all to be frequent.
 COUNTED, REPORTED, FREQUENT = 4_000_000, 2, 8
 #: The bitmaps of frequent tokens, of copies and of wanted texts have 2^MAP_BITS bits.
@@ -145,38 +148,75 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, repeated: np.ndarray, percen
     return rows.where("not again").unionByName(rows.where("again").dropDuplicates(["h1", "h2"])).drop("again")
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from bitmaps.paged(b.column("tokens").flatten().to_numpy(zero_copy_only=False).view(K.U64) for b in batches)
+def _classes(n: np.ndarray) -> np.ndarray:
+    """Size class of sets; it never falls as sizes grow."""
+    return (np.log(np.maximum(n, 1)) / WIDE).astype(np.int64)
 
 
-def entries(rows: DataFrame, again: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(token, id, at): the index; id is the set's first hash, ``at`` packs its size and its reach."""
-    shared = rows.sparkSession.sparkContext.broadcast(again)
+class _Entries:
+    """The entries of a batch of prefixes: tokens, rows, reach, and up to two cells of the map of lists, by token and size class.
 
+    Of two sets that may link, the larger one marks the class of the smaller one too, so at each common token of their prefixes
+    they share a cell."""
+
+    def __init__(self, b: pa.RecordBatch, percent: int) -> None:
+        lists = b.column("tokens")
+        self.token = lists.flatten().to_numpy(zero_copy_only=False).view(K.U64)
+        off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        length = np.diff(off)
+        self.row = np.repeat(np.arange(len(b)), length)
+        at = np.arange(len(self.token)) - np.repeat(off[:-1], length)
+        sizes = b.column("n").to_numpy()
+        self.n = sizes[self.row]
+        # The last entries of a prefix reach smaller sets only; a reach below zero reaches none.
+        self.reach = np.maximum((self.n - at) * (100 + percent) // percent - self.n, 0)
+        own, low = _classes(sizes), _classes(-(-percent * sizes // 100))
+        self.cell = self._cell(own[self.row])
+        self.two = (low < own)[self.row]
+        self.lower = self._cell(low[self.row[self.two]], self.token[self.two])
+
+    def _cell(self, size_class: np.ndarray, token: np.ndarray | None = None) -> np.ndarray:
+        return K.mix64((self.token if token is None else token) ^ (size_class.astype(K.U64) * K.U64(0x9E3779B97F4A7C15)))
+
+
+def _marks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (_Entries(b, percent) for b in batches)
+        yield from bitmaps.paged(np.concatenate([x.cell, x.lower]) for x in found)
+
+    return run
+
+
+def entries(rows: DataFrame, lists: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(token, id, at, often): the index; id is the set's first hash, ``at`` packs its size and its reach, ``often`` tells tokens of possibly long lists."""
+    shared = rows.sparkSession.sparkContext.broadcast((lists, often))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, frequent = shared.value
         for b in batches:
-            lists = b.column("tokens")
-            tokens, off = lists.flatten().to_numpy(zero_copy_only=False).view(K.U64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            length = np.diff(off)
-            row = np.repeat(np.arange(len(b)), length)
-            at = np.arange(len(tokens)) - np.repeat(off[:-1], length)
-            keep = bitmaps.among(shared.value, tokens)
-            tokens, row, at = tokens[keep], row[keep], at[keep]
-            n = b.column("n").to_numpy()[row]
-            # The last entries of a prefix reach smaller sets only; a reach below zero reaches none.
-            reach = np.maximum((n - at) * (100 + percent) // percent - n, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(b.column("h1").to_numpy()[row]), pa.array((n << 32) | reach)], names=["token", "id", "at"])
+            x = _Entries(b, percent)
+            keep = bitmaps.among(held, x.cell)
+            keep[x.two] |= bitmaps.among(held, x.lower)
+            token, row = x.token[keep], x.row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(b.column("h1").to_numpy()[row]), pa.array((x.n[keep] << 32) | x.reach[keep]), pa.array(bitmaps.among(frequent, token))], names=["token", "id", "at", "often"])
 
-    return rows.select("h1", "n", "tokens").mapInArrow(run, "token long, id long, at long")
+    return rows.select("h1", "n", "tokens").mapInArrow(run, "token long, id long, at long, often boolean")
 
 
 def families(index: DataFrame) -> DataFrame:
-    """(lead, id, n, t, reach) of each set in each of its families; reach is the largest of its entries there, t the number of all its entries in lists of several sets."""
+    """(lead, id, n, t, reach) of each set in each of its families; reach is the largest of its entries there, t the number of all its entries in lists of several sets.
+
+    The lists of rare tokens are dealt once and looked at where they lie; those of frequent ones are summed up before the shuffle and joined, which Spark can split."""
     n, reach = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    lists = index.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.min("at").alias("low"), F.max(reach).alias("most")).where("lead < last")
-    met = index.join(lists.select("token", "lead", F.shiftright("low", 32).alias("least"), "most"), "token")
+
+    def met(own: DataFrame) -> DataFrame:
+        lists = own.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.min("at").alias("low"), F.max(reach).alias("most")).where("lead < last")
+        return own.join(lists.select("token", "lead", F.shiftright("low", 32).alias("least"), "most"), "token")
+
+    rare = met(index.where("not often").select("token", "id", "at").repartition(partitions(index.sparkSession), "token"))
+    every = rare.unionByName(met(index.where("often").select("token", "id", "at")))
     fits = F.when((reach >= F.col("least")) & (n <= F.col("most")), reach)
-    under = met.groupBy("lead", "id").agg(F.max(n).alias("n"), F.count(F.lit(1)).alias("c"), F.max(fits).alias("reach"))
+    under = every.groupBy("lead", "id").agg(F.max(n).alias("n"), F.count(F.lit(1)).alias("c"), F.max(fits).alias("reach"))
     return under.withColumn("t", F.sum("c").over(Window.partitionBy("id"))).where("reach is not null").select("lead", "id", "n", "t", "reach")
 
 
@@ -414,8 +454,9 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, meta_block
     same = stored(named.groupBy("h1", "h2").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("w")).where("w > 1"), "same")
 
     often = survey.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    rows = stored(prefixes(keyed, bitmaps.bitmap(often, "token", MAP_BITS), bitmaps.bitmap(same, "h1", MAP_BITS), percent), "prefixes")
-    index = entries(rows, bitmaps.twice(rows.select("tokens").mapInArrow(_pages, bitmaps.PAGED)), percent)
+    frequent = bitmaps.bitmap(often, "token", MAP_BITS)
+    rows = stored(prefixes(keyed, frequent, bitmaps.bitmap(same, "h1", MAP_BITS), percent), "prefixes")
+    index = entries(rows, bitmaps.twice(rows.select("n", "tokens").mapInArrow(_marks(percent), bitmaps.PAGED)), frequent, percent)
     under = stored(families(index), "families")
     discard(rows)
     # Sizes and reach first: only members with a possible partner go on.

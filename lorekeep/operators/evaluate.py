@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reports import fingerprint
+
 
 def round4(x: Column) -> Column:
     return F.floor(x * 1e4 + 0.5) / 1e4
@@ -48,8 +50,20 @@ def buckets(scores: DataFrame) -> DataFrame:
     return scores.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def compare(before: DataFrame, after: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Differences of two one-row summaries, meaningful from ``tolerance`` on; another number of queries is an error."""
+def cohort(qrels: DataFrame, queries: DataFrame) -> DataFrame:
+    """One fingerprint of the queries and their relevant paths, whatever the order of the rows."""
+    rows = queries.select(F.col("query_id").cast("string").alias("q")).join(qrels.select(F.col("query_id").cast("string").alias("q"), F.col("path").cast("string").alias("p")).distinct(), "q", "left")
+    return fingerprint(rows, "q", "p")
+
+
+def compare(before: DataFrame, after: DataFrame, tolerance: float = 0.01, k: tuple[int, int] | None = None, cohorts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Differences of two one-row summaries, meaningful from ``tolerance`` on.
+
+    Refused if the two have another k, another cohort (``cohort`` of either) or another number of queries."""
+    if k and k[0] != k[1]:
+        raise ValueError(f"the two results are cut at different ranks: {k[0]} and {k[1]}")
+    if cohorts and cohorts[0].first() != cohorts[1].first():
+        raise ValueError("the two results belong to different cohorts")
     a, b = before.alias("a"), after.alias("b")
     same = F.when(F.col("a.queries") != F.col("b.queries"), F.raise_error(F.lit("the two results cover different queries"))).otherwise(F.lit(True))
     both = a.crossJoin(b).where(F.coalesce(same.cast("boolean"), F.lit(True)))

@@ -40,7 +40,9 @@ def _outside_fences(content: str, change) -> tuple[str, int]:
 
 
 def replace(notes: DataFrame, search: str, new: str, case_sensitive: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Literal replacement outside fenced code; (snapshot, (path, count))."""
+    """Literal replacement outside fenced code; (snapshot, (path, count)).
+
+    A text without any fence mark is changed by Spark's own ``replace`` where case counts; only the others go through Python."""
     if not search:
         raise ValueError("nothing to search for")
     pattern = re.compile(re.escape(search), 0 if case_sensitive else re.IGNORECASE)
@@ -51,9 +53,14 @@ def replace(notes: DataFrame, search: str, new: str, case_sensitive: bool = True
             yield pd.DataFrame({"path": pdf["path"], "content": [g[0] for g in got], "count": [g[1] for g in got]})
 
     hit = F.col("content").contains(search) if case_sensitive else F.lower("content").contains(search.lower())
-    changed = notes.where(hit).select("path", "content").mapInPandas(run, "path string, content string, count long")
+    plain = ~F.col("content").contains("```") & ~F.col("content").contains("~~~") if case_sensitive else F.lit(False)
+    found = notes.where(hit).select("path", "content")
+    changed = found.where(~plain).mapInPandas(run, "path string, content string, count long")
+    without = F.length("content") - F.length(F.replace("content", F.lit(search), F.lit("")))
+    swapped = found.where(plain).select("path", F.replace("content", F.lit(search), F.lit(new)).alias("content"), (without / len(search)).cast("long").alias("count"))
+    every = swapped.unionByName(changed)
     rest = notes.where(~F.coalesce(hit, F.lit(False))).select("path", "content")
-    return rest.unionByName(changed.drop("count")), changed.where("count > 0").select("path", "count")
+    return rest.unionByName(every.drop("count")), every.where("count > 0").select("path", "count")
 
 
 def rewritten(raw: str, old: str, new: str) -> str:

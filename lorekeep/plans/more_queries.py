@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import graph, links, maintenance, reports
+from ..operators import graph, links, maintenance, reports, retrieval
 from . import search
 from .registry import _EVAL, _FTS, _PAGE, _TF, NOTES, T, _cosine, _now, _page_links, _page_notes, _resolved, _scores, _words, notes, query, table
 
@@ -37,6 +37,15 @@ def _(spark, d):
     return found.hits.select("id", F.round("score", 8).alias("score"), F.col("signals").cast("long").alias("signals"))
 
 
+@query("vector_cells")
+def _(spark, d):
+    """Approximate search with every vector whose id is divisible by 100 against all rows; a test measures its recall against the exact search."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    centres = retrieval.fit_cells(v)
+    return retrieval.cell_search(retrieval.cell_index(v, centres), asked, centres).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 # ---- links and graph -------------------------------------------------------------------------------------
 
 _SIMILAR = """me AS (SELECT min(path) AS p FROM pn), tg AS (SELECT path, name, CASE WHEN length(name) < 3 THEN [name] ELSE list_distinct(list_transform(range(1, length(name) - 1), lambda i: substr(name, i, 3))) END AS g, [substr(name, 1, 1)] AS t FROM pn),

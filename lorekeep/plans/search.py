@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periodic import resolve_alias
-from ..functions.scalars import age_days, normalise_query
+from ..functions.scalars import age_days, normalise_query, snippet
 from ..operators import fusion, links, retrieval
 from ..operators.predicates import Literal, hybrid_filter
 from ..sources.scans import in_folder
@@ -108,6 +108,9 @@ def _signals(corpus: Corpus, query: str, options: Options, floor: float) -> tupl
     def words() -> DataFrame:
         own = corpus.tfidf.join(scope.withColumnRenamed("path", "doc"), "doc", "left_semi")
         found = retrieval.tfidf_search(own, corpus.terms, query, fan, floor)
+        if options.granularity == "block" and corpus.chunks is not None:  # a note's score belongs to each of its blocks
+            blocks = corpus.chunks.select(F.col("path").alias("doc"), "chunk_index")
+            return found.join(blocks, "doc").select(F.concat("doc", F.lit("#"), F.col("chunk_index").cast("string")).alias("id"), "score")
         return found.select((F.concat("doc", F.lit("#0")) if options.granularity == "block" else F.col("doc")).alias("id"), "score")
 
     def near() -> DataFrame:
@@ -146,7 +149,10 @@ def _finish(corpus: Corpus, fused: DataFrame, options: Options, query: str) -> D
     if options.graph_boost and corpus.edges is not None and options.granularity == "note":
         over = fusion.in_degree_tie_break(over.drop("pos"), corpus.edges)
     if options.scorer is not None:
-        passages = over.select("query_id", "id").join(corpus.notes.select(F.col("path").alias("id"), F.substring("body", 1, 600).alias("passage")), "id", "left").withColumn("query_text", F.lit(query))
+        # What the scorer reads is the text around the first word of the query that the note has, its beginning if it has none.
+        places = [F.nullif(F.locate(w, F.lower("body")), F.lit(0)) for w in dict.fromkeys(query.lower().split())]
+        at = F.coalesce(F.least(*places) if len(places) > 1 else places[0], F.lit(1)) if places else F.lit(1)
+        passages = over.select("query_id", "id").join(corpus.notes.select(F.col("path").alias("id"), snippet(F.col("body"), at, F.lit(1), 300).alias("passage")), "id", "left").withColumn("query_text", F.lit(query))
         over = fusion.rerank(over, options.scorer, passages)
     ages = corpus.notes.select(F.col("path").alias("id"), age_days(F.col("mtime"), now).alias("age_days"))
     if options.recency_weight > 0:

@@ -66,6 +66,14 @@ def deletions(live: DataFrame, state: DataFrame) -> DataFrame:
     return diff(live, state).where("change = 'deleted'").select("path")
 
 
+def file_events(spark: SparkSession, folder: str, max_files: int = 1000, pattern: str = "*.md") -> DataFrame:
+    """A stream of added and changed files, at most ``max_files`` a micro-batch, read whole; ``seq`` is the time of the change.
+
+    What is waiting beyond that stays in the source until the next batch, so a burst never grows a batch."""
+    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    return files.select("path", F.lit("change").alias("kind"), F.unix_micros("modificationTime").alias("seq"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
+
+
 def start(events: DataFrame, folder: str, checkpoint: str, available_now: bool = True):
     writer = events.writeStream.foreachBatch(batch_writer(folder)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -137,6 +137,11 @@ def test_metrics(spark):
     assert [got[q].bucket for q in "1234"] == ["hit_top_k", "hit_rank_1", "miss", "no_labels"]
     total = evaluate.summary(evaluate.per_query(run, qrels, asked))
     assert evaluate.compare(total, total).first().ndcg_delta == 0.0
+    one, other = evaluate.cohort(qrels, asked), evaluate.cohort(qrels.limit(1), asked)
+    assert evaluate.compare(total, total, k=(10, 10), cohorts=(one, one)).count() == 1
+    for wrong in ({"k": (10, 5)}, {"cohorts": (one, other)}):
+        with pytest.raises(ValueError):
+            evaluate.compare(total, total, **wrong)
 
 
 def test_mutations(spark):
@@ -277,3 +282,31 @@ def test_patterns_that_may_backtrack_are_refused():
             reports.check_pattern(bad)
     for good in ("a+b*", "(abc)+", "^x{2,3}$", "[a-z]+ [0-9]+"):
         assert reports.check_pattern(good) == good
+
+
+def test_replacement_leaves_fences_alone(spark):
+    n = spark.createDataFrame([("a", "x y x"), ("b", "x\n```\nx\n```\nx"), ("c", "none"), ("d", None)], "path string, content string")
+    snapshot, report = mutate.replace(n, "x", "zz")
+    assert {r.path: r.content for r in snapshot.collect()} == {"a": "zz y zz", "b": "zz\n```\nx\n```\nzz", "c": "none", "d": None}
+    assert {(r.path, r["count"]) for r in report.collect()} == {("a", 2), ("b", 2)}
+
+
+def test_files_are_streamed_in_bounded_batches(spark, tmp_path):
+    from lorekeep.streaming import upkeep
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for k, name in enumerate(("a.md", "sub/b.md", "c.txt", "d.md")):
+        (tmp_path / "in" / name).write_text(f"text é {k}", encoding="utf-8")
+    seen = []
+    query = upkeep.file_events(spark, str(tmp_path / "in"), max_files=2).writeStream.foreachBatch(lambda batch, _: seen.append(sorted(r.content for r in batch.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(len, seen)) == [1, 2] and sorted(sum(seen, [])) == ["text é 0", "text é 1", "text é 3"]
+
+
+def test_recall_of_cells(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    centres = retrieval.fit_cells(v)
+    index, exact = retrieval.cell_index(v, centres), retrieval.vector_batch(v, asked, 10, -1.0)
+    assert index.where("cell is null").count() == 0 and retrieval.recall(retrieval.cell_search(index, asked, centres), exact).first()[0] >= 0.9
+    assert retrieval.recall(retrieval.cell_search(index, asked, centres, probes=len(centres)), exact).first()[0] == 1.0

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with set-relation skipping.
 
 A document's set holds its distinct five-word shingles; two documents link when
-``100 * |A & B| >= 75 * |A | B|``.  The join is exact (up to collisions of 64-bit hashes).  Equal sets are
+``100 * |A & B| >= 75 * |A | B|``.  The join is exact (up to collisions of 64-bit hashes, and of their first 56 bits inside a family).  Equal sets are
 one node from the start: the smallest doc_id that has them.
 
 * Tokens have one global order: those that occur in many documents come last, the rest by hash.  Two
@@ -302,12 +302,23 @@ def _sets(wanted):
                     h = set_hashes(s)
                     key = _key(doc_id, h[0])
                     if h not in rows or key < rows[h][2]:
-                        rows[h] = (*h, key, len(s), s.tobytes())
+                        rows[h] = (*h, key, len(s), _packed(s))
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows.values(), strict=True), kinds, strict=True)], names=["h1", "h2", "key", "n", "tokens"])
 
     return run
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """The first 56 bits of each token, seven bytes each: what sets are shipped as."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 7, 8), dtype=np.uint8)
+    out[:, 1:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 7)
+    return out.reshape(-1).view("<u8").astype(K.U64, copy=False)
+
+
 def _gram(rows: np.ndarray, cols: np.ndarray, n_rows: int, cut: int) -> np.ndarray:
     """How many columns each of the first ``cut`` rows shares with each of the others (of all, if cut is n_rows): a sum of matrix products over strips of columns."""
     out = np.zeros((cut, n_rows - cut if cut < n_rows else n_rows), dtype=np.float64)
@@ -372,7 +383,7 @@ def _links(percent: int, tile: int = TILE):
         found: list[tuple[np.ndarray, np.ndarray]] = []
         if m > 1:
             data = group.column("tokens").take(pa.array(order)).combine_chunks()
-            tokens = np.frombuffer(b"".join([x.as_buffer() for x in data]), dtype=K.U64)
+            tokens = _unpacked(b"".join([x.as_buffer() for x in data]))
             # Pairs that are both in a family before this one are looked at there.
             leads = [np.array(x, dtype=np.int64) for x in group.column("leads").take(pa.array(order)).to_pylist()]
             earlier = [x[x < lead] for x in leads]

@@ -87,6 +87,8 @@ def test_near_duplicate_stage_without_ids(spark):
 def test_jaccard_prefix_bounds():
     import numpy as np
 
+    tokens = np.array([0, 255, 256, 2**40 + 7, 2**64 - 1], dtype=np.uint64)
+    assert shingle_join._unpacked(shingle_join._packed(tokens)).tolist() == [t >> 8 << 8 for t in tokens.tolist()]
     for n in range(1, 60):
         assert len(shingle_join.prefix(np.arange(n, dtype=np.uint64), np.zeros(0, np.uint8))) == n - -(-75 * n // 100) + 1
 

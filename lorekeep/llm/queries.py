@@ -19,10 +19,11 @@ _OPERATORS = {
     "op8_bpe_codec": "bpe_codec",
     "op9_url_filters": "url_filters",
     "op10_ngram_jaccard_join": "shingle_join",
+    "op12_filter_audit": "filter_audit",
 }
 
 #: Those whose module has ``oracle()``.
-_WITH_SQL = ("op5_source_mixing", "op9_url_filters",)
+_WITH_SQL = ("op5_source_mixing", "op9_url_filters", "op12_filter_audit")
 
 
 def _lazy(module: str, name: str) -> Callable[[SparkSession, str], DataFrame]:

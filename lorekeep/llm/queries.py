@@ -19,6 +19,7 @@ _OPERATORS = {
     "op8_bpe_codec": "bpe_codec",
     "op9_url_filters": "url_filters",
     "op10_ngram_jaccard_join": "shingle_join",
+    "op11_embedding_whitening": "embedding_whitening",
     "op12_filter_audit": "filter_audit",
 }
 

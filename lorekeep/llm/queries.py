@@ -21,6 +21,7 @@ _OPERATORS = {
     "op10_ngram_jaccard_join": "shingle_join",
     "op11_embedding_whitening": "embedding_whitening",
     "op12_filter_audit": "filter_audit",
+    "op13_toxicity": "toxicity",
 }
 
 #: Those whose module has ``oracle()``.

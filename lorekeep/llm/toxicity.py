@@ -2,7 +2,7 @@
 
 Text is folded to a stream of codes: letters by lower case, everything between two letters one gap code.
 A stretch is ``WIDTH`` codes in a row, over the borders of words, so that an insult may be spelled out
-(``i d i o t``), cut (``id-iot``) or have characters put in (``idxiot``).  The kernel of two
+(``i d i o t``; letters that stand alone fold to a word), cut (``id-iot``) or have characters put in (``idxiot``).  The kernel of two
 stretches counts the subsequences of four codes that they share, each weighed ``DECAY`` to the power of the
 codes it spans, up to ``MAX_SPAN`` (longer ones weigh next to nothing).  A sentence, and a text, is as
 toxic as its strongest stretch.
@@ -17,8 +17,8 @@ Training looks at labelled sentences only: stretches are mined from the document
 smallest hash that are labelled and whose ``crc32(doc_id as text) mod 5`` is not 0) on the executors.  In each of ``ROUNDS`` rounds a toxic
 document gives its strongest stretch and those of its ``HARDEST`` strongest that
 are stronger than nearly all clean documents (which of its sentences are toxic is latent), and a clean one its ``HARDEST`` strongest, so the driver sees
-``ROUNDS`` * ``HARDEST`` * (``TOXIC_DOCS`` + ``CLEAN_DOCS``) stretches of ``WIDTH`` bytes at most and twice as many virtual examples: the same stretches with gaps or a
-character put in.  The scale of the score comes from documents scored by machines that were trained without them.
+``ROUNDS`` * ``HARDEST`` * (``TOXIC_DOCS`` + ``CLEAN_DOCS``) stretches of ``WIDTH`` bytes at most (and makes virtual examples of them: their longest words with a gap or a
+character put in).  The scale of the score comes from documents scored by machines that were trained without them.
 
 Defined results: null and empty texts are scored as one long gap; a null doc_id is never held out and never trains; null labels and those of
 doc_ids with both labels train nothing; repeated rows are scored alike; without a toxic and a clean training document every score is the
@@ -51,7 +51,9 @@ SURE = 0.99
 FOLDS = 4
 PENALTY = 100.0
 #: What a virtual example weighs.
-VIRTUAL = 0.05
+VIRTUAL = 0.2
+#: Places at which a toxic stretch is cut for them.
+CUTS = 3
 RIDGE = 0.1
 SLICE = 1 << 20
 BITS = 5
@@ -76,13 +78,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def folded(text: str | None) -> np.ndarray:
-    """Codes of a text; gaps of any length are one code, and none stands at either end."""
+    """Codes of a text; gaps of any length are one code, and letters that stand alone one after the other are one word."""
     parts = [np.zeros(0, np.uint8)]
     for i in range(0, len(text or ""), SLICE):
         points = np.frombuffer(text[i : i + SLICE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         parts.append(CODES[np.minimum(points, 0x10000)])
     codes = np.concatenate(parts)
-    return codes[(codes != 0) | np.concatenate([[False], codes[:-1] != 0])[: len(codes)]]
+    codes = codes[(codes != 0) | np.concatenate([[False], codes[:-1] != 0])[: len(codes)]]
+    gap = np.concatenate([[True, True], codes == 0, [True, True]])
+    alone = gap[1:-3] & ~gap[2:-2] & gap[3:-1]
+    return codes[~(gap[2:-2] & np.concatenate([[False], alone[:-1]])[: len(codes)] & np.concatenate([alone[1:], [False]])[: len(codes)])]
 
 
 def stretch_scores(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -212,15 +217,18 @@ def separate(points: np.ndarray, toxic: np.ndarray, share: np.ndarray) -> np.nda
     return w
 
 
-def disguised(stretches: np.ndarray) -> np.ndarray:
-    """Virtual examples: the longest word of each stretch spelled with gaps, and with a character put in its middle."""
-    out = np.zeros((2 * len(stretches), WIDTH), np.uint8)
-    for i, row in enumerate(stretches.tolist()):
+def disguised(stretches: np.ndarray, places: int) -> np.ndarray:
+    """Virtual examples: the longest word of each stretch with a gap, and with a character, at ``places`` places inside it."""
+    out = np.zeros((2 * places * len(stretches), WIDTH), np.uint8)
+    at = 0
+    for row in stretches.tolist():
         word = max(bytes(row).split(b"\0"), key=len)
-        spelled = [0, *(c for letter in word for c in (letter, 0))][:WIDTH]
-        half = len(word) // 2
-        filled = [0, *word[:half], 1 + sum(row) % 26, *word[half:], 0][:WIDTH] if word else []
-        out[2 * i, : len(spelled)], out[2 * i + 1, : len(filled)] = spelled, filled
+        for place in range(places):
+            cut = 1 + (len(word) - 1) * (place + 1) // (places + 1) if places > 1 else (1 + sum(row) % max(1, len(word) - 1))
+            for inside in (0, 1 + (sum(row) + place) % 26):
+                codes = [0, *word[:cut], inside, *word[cut:], 0][:WIDTH]
+                out[at, : len(codes)] = codes
+                at += 1
     return out
 
 
@@ -348,9 +356,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         fresh = np.concatenate([found["codes"].astype(np.int64), found["toxic"][:, None], found["fold"][:, None]], axis=1)[believed(found)]
         rows = np.unique(np.concatenate([rows[rows[:, WIDTH] == 0], fresh]), axis=0)
         codes = rows[:, :WIDTH].astype(np.uint8)
-        points = kernel.map(np.concatenate([codes, disguised(codes)]))
-        y, fold = (np.concatenate([c, np.repeat(c, 2)]) for c in (rows[:, WIDTH] == 1, rows[:, WIDTH + 1]))
-        share = np.where(np.arange(len(y)) < len(rows), 1.0, VIRTUAL)
+        y, fold = rows[:, WIDTH] == 1, rows[:, WIDTH + 1]
+        points = kernel.map(np.concatenate([codes, disguised(codes[y], CUTS), disguised(codes[~y], 1)]))
+        share = np.where(np.arange(len(points)) < len(rows), 1.0, VIRTUAL)
+        y, fold = (np.concatenate([c, np.repeat(c[y], 2 * CUTS), np.repeat(c[~y], 2)]) for c in (y, fold))
         direction = separate(points, y, share)
         weights = kernel.weights(direction[:-1])
     apart = [separate(points[fold != f], y[fold != f], share[fold != f]) for f in range(FOLDS)]

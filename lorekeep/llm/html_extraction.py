@@ -5,12 +5,14 @@ The standard library's streaming HTML parser turns a page into lines: a line is
 in it, the share of it that is link text, and the chain of elements it stands in.  The text-to-tag
 ratio of each line is smoothed with a Gaussian over its neighbours; lines whose smoothed ratio
 exceeds a threshold (``SPREAD`` standard deviations below the mean of the page, at least ``FLOOR``)
-form clusters of content.  The region is every outermost ``article`` or ``main`` with clustered text, if
+form clusters of content.  The region is every outermost ``article`` or ``main`` that has clustered text or much of the page's, if
 these hold enough of it (``NAMED``); else the nearest section that holds all clusters, the ``h1`` of the page
-and headings beside its content.  Inside the region a line stays if it is in a cluster, or if less than ``LINKED`` of it is link
-text (a short line or list of the text); a line of links outside all clusters goes.  Elements only exclude: navigation, header,
+and headings beside its content.  Inside the region a line stays if it is in a cluster, if less than ``LINKED`` of it is link
+text (a short line or list of the text), or if it is an item of an article's list or table (its sources); any other line of links outside all clusters goes.  Elements only exclude: navigation, header,
 footer, aside, form, script, style, roles of that kind, and elements whose class or id names an advert, notice, menu, sidebar,
 sharing or comment box: ``PARTS`` count as a part of such a name (``side-menu``), ``NAMES`` only as a whole (``side``, not ``side-by-side``).
+Text overrules such a name: an element with most of the page's text outside links (``MOST``) that holds the only article, main element or first
+``h1``, or with nearly all of it (``NEARLY_ALL``), is not beside the text, whatever it is called (a form around the page, a menu that was never closed).
 
 Character references are decoded, white space inside a line becomes one space, lines are trimmed,
 empty ones dropped, and joined in page order by one newline.
@@ -40,8 +42,12 @@ SPREAD = 0.5
 FLOOR = 5.0
 #: Share of the clustered text that articles must hold together to be the region; teasers beside other content hold less.
 NAMED = 0.3
+MOST = 0.5
+NEARLY_ALL = 0.95
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: What may stand in a head; any other element ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas select textarea button".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu".split())
 PREFERRED = frozenset("article main".split())
@@ -50,11 +56,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("body html div section article main".split())
 #: Elements that end an open paragraph when they start.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+ITEMS = frozenset("li dt dd td th h1 h2 h3 h4 h5 h6 figcaption caption".split())
 #: Share of link text from which a line outside all clusters goes.
 LINKED = 0.5
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars share sharing social pagination pager footer masthead comment comments commentlist disqus replies respond".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars share sharing social pagination pager footer masthead comment comments commentlist discussion disqus replies respond".split()
 )
 NAMES = frozenset("side aside widget widgets header site-header page-header top-header topbar toolbar banner notice notices alert overlay related recommended recommendations search searchform site-search skip skip-link reader-comments".split())
 #: Such names tell of a neighbour, not of the element itself.
@@ -70,11 +77,12 @@ def _dull_name(name: str) -> bool:
 class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        #: Open elements: (tag, number, boilerplate above or here, skipped).
-        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        #: Open elements: (tag, number, skipped).
+        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
         self.parent = [0]
         self.kind = [""]
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, characters in links, element, boilerplate
+        self.marked = [False]  # by its tag, role or name beside the text
+        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, characters in links, element
         self.open: Counter[str] = Counter()
         self.text: list[str] = []
         self.tags = self.linked = 0
@@ -83,12 +91,19 @@ class _Lines(HTMLParser):
         if self.text:
             joined = " ".join("".join(self.text).split())
             if joined:
-                _, number, dull, _ = self.stack[-1]
-                self.lines.append((joined, self.tags, self.linked, number, dull))
+                self.lines.append((joined, self.tags, self.linked, self.stack[-1][1]))
             self.text.clear()
             self.tags = self.linked = 0
 
+    def _close_head(self) -> None:
+        for i, x in enumerate(self.stack):
+            if x[0] == "head":
+                self._cut(i)
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.open["head"] and tag not in IN_HEAD and not any(x[0] in SKIPPED and x[0] != "head" for x in self.stack):
+            self._close_head()
         if tag in INLINE:
             self.tags += 1
             if tag not in VOID:
@@ -104,21 +119,17 @@ class _Lines(HTMLParser):
             self._push(tag, attrs)
 
     def _push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        _, above, dull, skipped = self.stack[-1]
-        skipped = skipped or tag in SKIPPED
-        if tag == "main":
-            dull = False
-        if not dull and tag not in INLINE:
-            dull = tag in BOILERPLATE or (tag == "header" and not any(self.open[x] for x in PREFERRED))
-            if not dull and attrs and tag not in ("body", "html", "article", "main"):
-                d = dict(attrs)
-                dull = "hidden" in d or (d.get("role") or "").lower() in _ROLES or any(map(_dull_name, f"{d.get('class') or ''} {d.get('id') or ''}".lower().split()))
-        number = above
+        _, number, skipped = self.stack[-1]
         if tag not in INLINE:
-            number = len(self.parent)
-            self.parent.append(above)
+            marked = tag in BOILERPLATE or (tag == "header" and not any(self.open[x] for x in PREFERRED))
+            if not marked and attrs and tag not in ("body", "html", "article", "main"):
+                d = dict(attrs)
+                marked = "hidden" in d or (d.get("role") or "").lower() in _ROLES or any(map(_dull_name, f"{d.get('class') or ''} {d.get('id') or ''}".lower().split()))
+            self.parent.append(number)
             self.kind.append(tag)
-        self.stack.append((tag, number, dull, skipped))
+            self.marked.append(marked)
+            number = len(self.kind) - 1
+        self.stack.append((tag, number, skipped or tag in SKIPPED))
         self.open[tag] += 1
 
     def _cut(self, at: int) -> None:
@@ -166,7 +177,9 @@ class _Lines(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
-        if self.stack[-1][3]:
+        if self.stack[-1][0] == "head" and data.strip():
+            self._close_head()
+        if self.stack[-1][2]:
             return
         self.text.append(data)
         if self.stack[-1][0] == "a" or any(x[0] == "a" for x in self.stack[-4:]):
@@ -195,33 +208,58 @@ def extract(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smooth([0.0 if dull else (len(text) - min(linked, len(text))) / max(1, tags) for text, tags, linked, _, dull in lines])
+    dull_at = _dull(parser)
+    bright = [not dull_at[number] for *_, number in lines]
+    ratio = smooth([(len(text) - min(linked, len(text))) / max(1, tags) if kept else 0.0 for (text, tags, linked, _), kept in zip(lines, bright, strict=True)])
     mean = sum(ratio) / len(ratio)
     spread = math.sqrt(sum([(r - mean) ** 2 for r in ratio]) / len(ratio))
     threshold = max(FLOOR, mean - SPREAD * spread)
     clustered = [r >= threshold for r in ratio]
-    mass = [0.0] * len(parser.parent)
-    for (text, _, _, number, dull), inside in zip(lines, clustered, strict=True):
-        if not dull and inside:
-            mass[number] += len(text)
+    there, mass = [0.0] * len(parser.parent), [0.0] * len(parser.parent)  # text of each element, and what of it is in clusters
+    for (text, _, _, number), kept, inside in zip(lines, bright, clustered, strict=True):
+        if kept:
+            there[number] += len(text)
+            mass[number] += len(text) if inside else 0
     if not any(mass):  # no cluster: every line that is not boilerplate votes
-        for text, _, _, number, dull in lines:
-            if not dull:
-                mass[number] += len(text)
+        mass = there.copy()
     for k in range(len(mass) - 1, 0, -1):  # children come after their parents
         mass[parser.parent[k]] += mass[k]
-    outer, held = [], [False] * len(mass)  # articles with clustered text may stand side by side; of one inside another the outer one
+        there[parser.parent[k]] += there[k]
+    outer, held = [], [False] * len(mass)  # such articles may stand side by side; of one inside another the outer one
     for k in range(1, len(mass)):
         held[k] = held[parser.parent[k]]
-        if not held[k] and parser.kind[k] in PREFERRED and mass[k] > 0:
+        if not held[k] and parser.kind[k] in PREFERRED and (mass[k] > 0 or there[k] >= NAMED * there[0] > 0):
             outer.append(k)
             held[k] = True
-    if sum([mass[k] for k in outer]) >= NAMED * mass[0] > 0:
-        regions = set(outer)
-    else:
-        regions = {_section(parser, mass, {number for _, _, _, number, dull in lines if not dull})}
+    named = sum([there[k] for k in outer]) >= NAMED * there[0] > 0
+    regions = set(outer) if named else {_section(parser, mass, {number for (*_, number), kept in zip(lines, bright, strict=True) if kept})}
     known: dict[int, bool] = {}
-    return "\n".join([text for (text, _, linked, number, dull), inside in zip(lines, clustered, strict=True) if not dull and (inside or linked < LINKED * len(text)) and _holds(parser.parent, regions, known, number)])
+    return "\n".join([text for (text, _, linked, number), kept, inside in zip(lines, bright, clustered, strict=True) if kept and (inside or linked < LINKED * len(text) or named and parser.kind[number] in ITEMS) and _holds(parser.parent, regions, known, number)])
+
+
+def _dull(parser: _Lines) -> list[bool]:
+    """Whether each element is, or stands in, something beside the text."""
+    parent, kind, n = parser.parent, parser.kind, len(parser.parent)
+    own = [0] * n  # text outside links
+    for text, _, linked, number in parser.lines:
+        own[number] += len(text) - min(linked, len(text))
+    for k in range(n - 1, 0, -1):
+        own[parent[k]] += own[k]
+    head = next((k for k in range(n) if kind[k] == "h1"), 0)
+    core = {k for k in range(1, n) if own[k] and (kind[k] in PREFERRED or k == head)}
+    outside = [False] * n  # under a marked element
+    for k in range(1, n):
+        outside[k] = parser.marked[k] or outside[parent[k]]
+    hold = [0] * n  # of the core
+    for k in range(n - 1, 0, -1):
+        hold[k] += k in core
+        hold[parent[k]] += hold[k]
+    bare = not any(not outside[k] for k in core)  # nothing of it would be left
+    out = [False] * n
+    for k in range(1, n):
+        beside = parser.marked[k] and not (own[k] >= NEARLY_ALL * own[0] > 0 or own[k] >= MOST * own[0] > 0 and hold[k] and bare)
+        out[k] = beside or (out[parent[k]] and kind[k] != "main")
+    return out
 
 
 def _section(parser: _Lines, mass: list[float], bright: set[int]) -> int:

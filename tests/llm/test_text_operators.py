@@ -240,6 +240,30 @@ def test_html_odd_rows(spark):
     assert html_extraction.extract_pages(df.limit(0), ["page_id"]).count() == 0
 
 
+LONG = "This is a long sentence of the article that goes on, with words enough for a paragraph of its own. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><body><article><p>{L}</p></article></body></html>", "{L}"),
+        ("<html><head><title>t</title><p>{L}</p><p>Short.</p>", "{L}\nShort."),
+        ("<head><script>if (a<b) {{ x('<p>no</p>') }}</script><title>t</title></head><p>{L}</p>", "{L}"),
+        ("<body><form id=aspnet action=/x><nav><a href=/>Home</a> <a href=/b>B</a></nav><article><h1>T</h1><p>{L}</p></article><footer>Imprint</footer></form>", "T\n{L}"),
+        ("<div class='content layout-sidebar-right'><h1>T</h1><p>{L}</p><p>{L}</p></div><div class=sidebar>Other things</div>", "T\n{L}\n{L}"),
+        ("<div class='post-with-comments'><p>{L}</p><p>{L}</p></div>", "{L}\n{L}"),
+        ("<body><nav><ul><li><a href=/>Home</a><li><a href=/about>About us</a></ul><article><h1>T</h1><p>{L}</p></article>", "T\n{L}"),
+        ("<article><p>{L}</p></article><section id=discussion><h2>Comments</h2><p>Reader one says {L}</p></section>", "{L}"),
+        ("<article><p>{L}</p></article><section><h2>Comments</h2><p>Reader one says {L}</p></section>", "{L}"),
+        ("<article><p>{L}</p><ul><li><a href=/1>First source cited</a></li><li><a href=/2>Second source cited</a></li></ul></article>", "{L}\nFirst source cited\nSecond source cited"),
+        ("<article><h1>T</h1><p>{L}</p></article><div id=comments><p>{L}</p><p>{L}</p><p>{L}</p><p>{L}</p></div>", "T\n{L}"),
+        ("<div><h1>T</h1><p>{L}</p></div><div id=comments><article><p>{L}</p></article><article><p>{L}</p></article></div>", "T\n{L}"),
+    ],
+)
+def test_pages_whose_names_or_markup_mislead(page, text):
+    assert html_extraction.extract(page.format(L=LONG)) == text.format(L=LONG.strip())
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     got = language_id.op6_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()

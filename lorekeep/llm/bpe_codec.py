@@ -23,21 +23,25 @@ empty table gives no rows; columns of other names are kept, and columns named ``
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
 
-#: Words kept between blocks in each Python worker.
+#: Words kept between blocks in each Python worker, and their bytes.
 CACHE = 500_000
+CACHE_BYTES = 64 << 20
 END = "</w>"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _WHITE_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -53,10 +57,53 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+@dataclass
+class Characters:
+    """Where the tokenizers library and Python know different versions of Unicode, the library's is taken."""
+
+    #: A letter, digit or sign that both see alike stands for each character: its place in ``STAND_INS``.
+    kinds: bytes
+    #: Lower case of characters that Python leaves as they are.
+    lower: dict[int, str]
+    #: A class of all characters that are not alike.
+    odd: str
+
+
+STAND_INS = "\u00b6\u00e9\u00b2"
+
+
+@functools.cache
+def library_characters() -> Characters:
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+    kinds = bytearray(0x110000)
+    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+")):
+        for piece, _ in tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            for c in piece:
+                kinds[ord(c)] = kind
+    small = tokenizers.normalizers.Lowercase()
+    lower = {c: x for c in points if not (c < 128 or unicodedata.category(chr(c)) in ("Lo", "Mn")) and (x := small.normalize_str(chr(c))) != chr(c).lower()}
+    here = bytearray(0x110000)
+    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            for c in m[0]:
+                here[ord(c)] = kind
+    odd = sorted({c for c in points if here[c] != kinds[c] or chr(c).isalpha() != (kinds[c] == 1)} | set(lower))
+    runs: list[list[int]] = []
+    for c in odd:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return Characters(bytes(kinds), lower, "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+
+
 class TrieCodec:
     """Encoder and decoder for one tokenizer file, given as its text."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, characters: Characters | None = None) -> None:
+        self.characters = characters or library_characters()
+        self.odd = re.compile(self.characters.odd if len(self.characters.odd) > 2 else r"(?!)")
         d = json.loads(spec)
         model = d["model"]
         assert model["type"] == "BPE" and model["end_of_word_suffix"] == END and d.get("decoder") is None, "unsupported tokenizer file"
@@ -80,6 +127,7 @@ class TrieCodec:
         #: Two generations of known words: ids and decoded text.
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
+        self.held = 0
 
     def _automaton(self) -> None:
         """Suffix automaton of the vocabulary: ``ends[s]`` has the tokens that are suffixes of what led to s, longest first."""
@@ -194,6 +242,11 @@ class TrieCodec:
         return [x for x in _WHITE_SPACE.split(text) if x] if _ODD_SPACE.search(text) else text.split()
 
     def split(self, piece: str) -> list[str]:
+        if not piece.isascii() and self.odd.search(piece):
+            piece = piece.translate(self.characters.lower)
+            kinds = self.characters.kinds
+            alike = "".join([c if c < "\x80" else STAND_INS[kinds[ord(c)]] for c in piece])
+            return [piece[m.start() : m.end()] for m in self.pattern.finditer(alike)]
         if piece.isalpha():
             return [piece]
         if piece[-1] in ".,!?;:" and piece[:-1].isalpha():
@@ -205,9 +258,10 @@ class TrieCodec:
         fresh = [p for p in pieces if p not in ids]
         if not fresh:
             return
-        if len(ids) + len(fresh) > CACHE:  # keep what this block needs
+        if len(ids) + len(fresh) > CACHE or self.held > CACHE_BYTES:  # keep what this block needs
             self.ids, self.text = {p: ids[p] for p in pieces if p in ids}, {p: text[p] for p in pieces if p in text}
             ids, text = self.ids, self.text
+            self.held = sum([len(p) + len(ids[p]) + len(text[p]) for p in ids])
         symbols = self.symbols
         parts = {p: [w if w.isascii() and w.isprintable() else "".join([symbols[b] for b in w.encode()]) for w in self.split(p)] for p in fresh}
         got = self.encode_words({w for ws in parts.values() for w in ws})
@@ -216,6 +270,7 @@ class TrieCodec:
             found = got[ws[0]] if len(ws) == 1 else [i for w in ws for i in got[w]]
             ids[p] = struct.pack(f"<{len(found)}I", *found)
             text[p] = " ".join([names[i] for i in found])
+            self.held += len(p) + len(ids[p]) + len(text[p])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text, block by block."""
@@ -255,14 +310,14 @@ def encode(docs: DataFrame, tokenizer_path: str, column: str = "text") -> DataFr
     own = [c for c in docs.columns if c not in ("token_ids", "decoded", "n_tokens")]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own] + ["token_ids binary, decoded string, n_tokens long"])
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = docs.sparkSession.sparkContext.broadcast((f.read(), library_characters()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = spec.value
+        text, characters = spec.value
         key = hash(text)
         if key not in _codecs:
             _codecs.clear()
-            _codecs[key] = TrieCodec(text)
+            _codecs[key] = TrieCodec(text, characters)
         codec = _codecs[key]
         for whole in batches:
             for at in range(0, len(whole), 512):

@@ -111,6 +111,22 @@ def test_bpe_is_that_of_the_library(codec, texts):
         assert np.frombuffer(ids, "<u4").tolist() == want and decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_is_that_of_the_library_for_every_character(codec, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe_codec.default_tokenizer())
+    library.no_truncation()
+    library.no_padding()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b{c} x{c}'s " for c in points[i : i + 4096]) for i in range(0, len(points), 4096)]
+    monkeypatch.setattr(bpe_codec, "CACHE_BYTES", 1 << 20)
+    for i in range(0, len(texts), 16):
+        want = library.encode_batch(texts[i : i + 16], add_special_tokens=False)
+        for (ids, decoded), w in zip(codec.encode(texts[i : i + 16]), want, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == w.ids
+            assert decoded == library.decode(w.ids, skip_special_tokens=False)
+
+
 def test_bpe_query(spark):
     from tokenizers import Tokenizer
 

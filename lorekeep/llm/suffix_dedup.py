@@ -29,7 +29,7 @@ and is null in all other rows, as a later copy is a repeat as a whole.
 
 Defined results: null, empty and shorter texts have no spans; rows with a null doc_id are documents by their text, come
 after all others (doc_ids from 2^62 on are reserved for this) and show null for their doc_id;
-rows that share a doc_id are one document (its own repeats do not count); an empty table gives no rows;
+rows that share a doc_id are one document (its own repeats do not count), whose texts have spans of their own (``text_hash``, a 64-bit hash, tells which); an empty table gives no rows;
 texts of any length are taken whole; columns of other names are ignored.
 """
 
@@ -214,11 +214,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     sized = keyed.withColumns({"h2": F.xxhash64("text", F.lit(7)), "n_chars": F.length("text").cast("long")}).withColumnsRenamed({"key": "doc_id", "t": "h1"})
     survey = stored(sized.mapInArrow(_survey, "doc_id long, h1 long, h2 long, n_chars long, n_words long").where(F.col("n_words") >= min_words), "texts")
     groups = survey.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node < last").select("h1", "h2", "node")
-    copies = stored(survey.join(groups, ["h1", "h2"]).select("doc_id", "node", "n_chars", "n_words").distinct(), "copies")
+    copies = stored(survey.join(groups, ["h1", "h2"]).select("doc_id", F.col("h1").alias("t"), "node", "n_chars", "n_words").distinct(), "copies")
     # The copies of a text but the first, and texts that are too short, are left out where no other row has their bit.
     row = F.xxhash64("t", "key").alias("row")
-    others = copies.where("doc_id <> node").select(F.col("doc_id").alias("key")).distinct()
-    first = survey.select(F.col("doc_id").alias("key"), F.col("h1").alias("t")).join(others, "key", "left_anti").select(row)
+    others = copies.where("doc_id <> node").select(F.col("doc_id").alias("key"), "t").distinct()
+    first = survey.select(F.col("doc_id").alias("key"), F.col("h1").alias("t")).join(others, ["key", "t"], "left_anti").select(row)
     keep = spark.sparkContext.broadcast(bitmaps.bitmap(first, "row"))
     discard(survey)
     keyed = keyed.select("key", "text", "t", row)
@@ -236,22 +236,25 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     frames = rows.where("single")
     twice = frames.groupBy("k", "content").agg(*apart).where(several).select("k", "content", "first_doc")
     alone = frames.join(twice, ["k", "content"])
-    hits = whole.select("key", "places", "bounds", "first_doc").unionByName(alone.select("key", "places", "bounds", "first_doc")).join(others, "key", "left_anti")
+    hits = whole.select("key", "t", "places", "bounds", "first_doc").unionByName(alone.select("key", "t", "places", "bounds", "first_doc")).join(others, ["key", "t"], "left_anti")
     low = F.lit(0xFFFFFFFF)
-    hits = hits.select(F.col("key").alias("doc_id"), "first_doc", F.shiftright("places", 32).alias("word"), F.col("places").bitwiseAND(low).alias("final"), F.shiftright("bounds", 32).alias("begin"), F.col("bounds").bitwiseAND(low).alias("finish"))
-    # Frames of a document in the order of their places; a frame that begins behind all before it opens a new span.
-    order = Window.partitionBy("doc_id").orderBy("word", "final", "finish")
+    hits = hits.select(F.col("key").alias("doc_id"), "t", "first_doc", F.shiftright("places", 32).alias("word"), F.col("places").bitwiseAND(low).alias("final"), F.shiftright("bounds", 32).alias("begin"), F.col("bounds").bitwiseAND(low).alias("finish"))
+    # Frames of a text in the order of their places; a frame that begins behind all before it opens a new span.
+    order = Window.partitionBy("doc_id", "t").orderBy("word", "final", "finish")
     opened = hits.withColumn("reach", F.max("final").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     opened = opened.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("word") > F.col("reach") + min_words), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = stored(opened.groupBy("doc_id", "island").agg(
+    spans = stored(opened.groupBy("doc_id", "t", "island").agg(
         F.min("begin").alias("start"), F.max("finish").alias("end"), (F.max("final") - F.min("word") + min_words).cast("long").alias("n_words"), F.min("first_doc").alias("first_doc_id"),
         F.min(F.col("first_doc") == F.col("doc_id")).alias("is_first"),
     ), "spans")
     discard(rows, buckets)
     inside = F.sort_array(F.collect_list(F.struct("start", "end", "n_words", "first_doc_id", "is_first")))
-    own = spans.join(copies.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(inside.alias("own"))
-    partial = spans.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "start", "end", "n_words", "first_doc_id", "is_first", F.lit(None).cast(own.schema["own"].dataType).alias("inside"))
-    entire = copies.join(own, "doc_id", "left").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), "n_words", F.col("node").alias("first_doc_id"), (F.col("doc_id") == F.col("node")).alias("is_first"), F.when(F.col("doc_id") == F.col("node"), F.coalesce("own", F.array())).alias("inside"))
+    own = spans.join(copies.where("doc_id = node").select("doc_id", "t").distinct(), ["doc_id", "t"], "left_semi").groupBy("doc_id", "t").agg(inside.alias("own"))
+    partial = spans.join(copies.select("doc_id", "t").distinct(), ["doc_id", "t"], "left_anti").select("doc_id", "start", "end", "n_words", "first_doc_id", "is_first", F.lit(None).cast(own.schema["own"].dataType).alias("inside"), F.col("t").alias("text_hash"))
+    first_of = F.col("doc_id") == F.col("node")
+    entire = copies.join(own, ["doc_id", "t"], "left").select(
+        "doc_id", F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), "n_words", F.col("node").alias("first_doc_id"), first_of.alias("is_first"), F.when(first_of, F.coalesce("own", F.array())).alias("inside"), F.col("t").alias("text_hash"),
+    )
     return partial.unionByName(entire).withColumns({c: F.when(F.col(c) < NAMELESS, F.col(c)) for c in ("doc_id", "first_doc_id")})
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,16 +27,22 @@ def shared_folder(spark: SparkSession) -> str:
         if context._jsc.sc().getCheckpointDir().isEmpty():
             if not context.master.split("[")[0] == "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeep-"))
+            folder = tempfile.mkdtemp(prefix="lorekeep-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            context.setCheckpointDir(folder)
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
+    """Write a table to the shared folder and read it back: lineage is cut and a lost executor loses nothing.
+
+    What ``discard`` does not delete before goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out

@@ -11,11 +11,12 @@ by weight; a target stops at ``MAX_EPOCHS`` times its source's words and the exc
 weight until none is above.
 
 Both running sums are split so that no source and no stretch of time lands in one task: a source's
-order is dealt by the first ``PREFIX`` digits of the hash, the finish times by equal slots of virtual
+order is dealt by ranges of the hash, the finish times by equal slots of virtual
 time (each slot takes about the same number of words from every source, whatever their sizes); sums
-of the slots before come from small tables of one row per source and prefix, or per slot.  The only
-unsplit windows run over these tables, whose size does not depend on the number of documents but on
-the number of sources.
+of the slots before come from small tables of one row per source and range, or per slot.  Ranges and slots grow with
+the number of documents (one for each ``PER_PART``, at least ``PARTS``).  Rows that have the same place (no doc_id and equal texts, or a
+doc_id and size twice) are one row with a count until they have been placed.  The only
+unsplit windows run over the small tables.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its
 own, last; a row with a null doc_id has its place by its text; rows that repeat a doc_id are served one after
@@ -31,9 +32,8 @@ from pyspark.sql import functions as F
 from .shared import stored, table
 
 MAX_EPOCHS = 3
-PREFIX = 3
-SLOTS = 4096
-MAX_SLOT = 64 * SLOTS
+PARTS = 4096
+PER_PART = 1 << 16
 WEIGHTS = (1, 2, 3)
 
 
@@ -63,25 +63,27 @@ def mix(docs: DataFrame, size: Column) -> DataFrame:
     text = F.col("text") if "text" in docs.columns else F.lit("")
     own = stored(docs.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), text, F.lit("")).cast("binary")).alias("h")), "mix-sizes")
     goal = targets(own)
-    prefix = own.withColumn("part", F.substring("h", 1, PREFIX))
-    parts = prefix.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    ways = max(PARTS, -(-own.count() // PER_PART))
+    counted = own.groupBy("source", "h", "doc_id", "size").agg(F.count("*").alias("n"))
+    prefix = counted.withColumn("part", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * ways / 2**32))
+    parts = prefix.groupBy("source", "part").agg(F.sum(F.col("size") * F.col("n")).alias("part_size"))
     offsets = parts.select("source", "part", (F.sum("part_size").over(Window.partitionBy("source").orderBy("part")) - F.col("part_size")).alias("offset"))
     known = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(offsets["source"].alias("s"), F.col("part").alias("p"), "offset", "source_size", "target")
     inside = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = prefix.withColumn("inside", F.sum("size").over(inside))
-    queue = placed.join(known, placed["part"].eqNullSafe(known["p"]) & placed["source"].eqNullSafe(known["s"])).select("doc_id", "source", "size", "h", "source_size", "target", (F.col("offset") + F.col("inside")).alias("served"))
-    queue = stored(queue, "mix-queue")
+    placed = prefix.withColumn("inside", F.sum(F.col("size") * F.col("n")).over(inside))
+    queue = placed.join(known, placed["part"].eqNullSafe(known["p"]) & placed["source"].eqNullSafe(known["s"])).withColumn("later", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    queue = stored(queue.select("doc_id", "source", "size", "h", "source_size", "target", (F.col("offset") + F.col("inside") - F.col("later") * F.col("size")).alias("served")), "mix-queue")
     served = queue.where("size > 0 and target > 0")
     # One row: the budget, and a time by which it is surely spent (no queue lags its share by more than its largest document).
     budget, late = served.agg(F.sum("size"), 1 + F.max(F.col("size") / F.col("target"))).first()
     copies = served.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(MAX_EPOCHS)])))
     copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("served")) / F.col("target")).where(F.col("finish") <= F.lit((late or 0.0) + 1e-6))
-    copies = copies.withColumn("slot", F.least(F.lit(MAX_SLOT), F.floor(F.col("finish") * SLOTS)).cast("int"))
+    copies = copies.withColumn("slot", F.floor(F.col("finish") * ways))
     slots = copies.groupBy("slot").agg(F.sum("size").alias("slot_size"))
-    # At most MAX_SLOT + 1 rows, whatever the input.
+    # A row a slot; all queues are near their targets at time 1, so there are some ``ways`` of them, not one a document.
     reached = slots.select("slot", (F.sum("slot_size").over(Window.orderBy("slot")) - F.col("slot_size")).alias("before")).where(F.col("before") < F.lit(budget or 0))
     ordered = Window.partitionBy("slot").orderBy("finish", F.col("source").asc_nulls_last(), "epoch", "h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    taken = copies.join(F.broadcast(reached), "slot").withColumn("total", F.col("before") + F.sum("size").over(ordered)).where(F.col("total") <= F.lit(budget or 0))
+    taken = copies.join(reached, "slot").withColumn("total", F.col("before") + F.sum("size").over(ordered)).where(F.col("total") <= F.lit(budget or 0))
     rows = taken.select("doc_id", "source", "size", "source_size", "target", "served", F.col("size").alias("took")).unionByName(queue.select("doc_id", "source", "size", "source_size", "target", "served", F.lit(0).cast("long").alias("took")))
     # A place in a queue belongs to one document with words, and to any number without.
     with_words = rows.where("size > 0").groupBy("source", "served", "doc_id", "size", "source_size", "target").agg(F.sum("took").alias("taken"))
@@ -94,13 +96,19 @@ def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it; rows that repeat a doc_id, or have none and the same text, are taken alike.
+    """Pipeline stage: every document as often as the mix takes it.
 
-    Columns of any other name are kept as they are."""
+    Columns of any other name are kept as they are.  Null texts and texts without words take no words, so they go; rows that share a doc_id are
+    documents of their own; rows that are equal in all columns are taken as often as all of them together; an empty table gives no rows."""
     columns = docs.columns
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("doc_id"), "source", "text")
-    counts = mix(named, word_count()).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).cast("int").alias("copies")).where("copies > 0")
-    return named.select("row", "doc_id").join(counts, "doc_id").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    others = [F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text") and not docs.schema[c].dataType.simpleString().startswith("map")]
+    key = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.hex(F.xxhash64(F.lit(1), *others)))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), key.alias("doc_id"), "source", "text")
+    counts = stored(mix(named, word_count()).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.max("size")).cast("int").alias("copies"), F.count("*").alias("n")).where("copies > 0"), "mix-copies")
+    again = lambda rows: rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    single = named.select("row", "doc_id").join(counts.where("n = 1"), "doc_id")
+    equal = named.select("row", "doc_id").join(counts.where("n > 1"), "doc_id").groupBy("doc_id").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    return again(single).unionByName(again(equal))
 
 
 def oracle() -> str:

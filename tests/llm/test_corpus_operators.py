@@ -188,6 +188,34 @@ def test_target_cap_is_reshared(spark):
     assert got == {"a": 3.0, "b": pytest.approx(198 * 2 / 5), "c": pytest.approx(198 * 3 / 5)}
 
 
+def test_mixing_stage_loses_no_row_that_the_mix_took(spark):
+    words = lambda n: " ".join(f"w{i}" for i in range(n))
+    # source a: one doc_id with two texts; b: nameless equal rows that make up much of the table; c: rows equal in all columns
+    rows = [(1, words(100), "en", "a", 9), (1, "x", "en", "a", 1)] + [(None, words(7), "en", "b", 7)] * 60 + [(3, words(11), "de", "c", 11)] * 2 + [(4, None, "en", "c", 0), (5, words(12), "en", "c", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("copies", F.lit("own"))
+    taken = source_mixing.mix(docs, source_mixing.word_count()).groupBy("source").agg(F.sum("taken").alias("taken"), F.min("target").alias("target")).collect()
+    out = source_mixing.stage_mix(spark, docs, "").collect()
+    assert out[0].copies == "own" and set(docs.columns) == set(out[0].asDict())
+    for r in taken:
+        mine = [x for x in out if x.source == r.source]
+        # the order of a source's queue differs from the query's, as its rows are told apart by more; the amounts stay near
+        assert abs(sum(len(x.text.split()) for x in mine) - r.target) <= 101 and mine
+        assert r.taken > 0
+    size = len([x for x in out if x.source == "b"])
+    assert size <= 180
+    assert source_mixing.stage_mix(spark, docs.limit(0), "").collect() == []
+
+
+def test_passages_of_a_document_with_several_texts(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    a, passage = words("a", 70), words("p", 60)
+    rows = [(1, a), (5, a), (5, f"{words('b', 8)} {passage}"), (9, f"z {passage}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.n_words, r.first_doc_id, r.is_first) for r in suffix_dedup.repeated_spans(docs).collect())
+    assert got == [(1, 0, 70, 1, True), (5, 0, 70, 1, False), (5, len(words("b", 8)) + 1, 60, 5, True), (9, 2, 60, 5, False)]
+    assert suffix_dedup.repeated_spans(docs.limit(0)).collect() == []
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -104,12 +104,17 @@ def bm25_index(chunks: DataFrame, key: tuple[str, ...] = ("path", "chunk_index")
     return postings, lengths
 
 
-def bm25_search(postings: DataFrame, lengths: DataFrame, query: str, limit: int | None = 25, key: tuple[str, ...] = ("path", "chunk_index"), scope: DataFrame | None = None) -> DataFrame:
+def length_totals(lengths: DataFrame) -> DataFrame:
+    """One row (n_rows, avg)."""
+    return lengths.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("length").alias("avg"))
+
+
+def bm25_search(postings: DataFrame, lengths: DataFrame, query: str, limit: int | None = 25, key: tuple[str, ...] = ("path", "chunk_index"), scope: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
     """All words and phrases must match; without ``limit`` every match is given, in no order; statistics are those of the whole index, ``scope`` only restricts rows."""
     phrases = fts_query(query)
     if not phrases:
         return lengths.limit(0).select(*key, F.lit(0.0).alias("score"))
-    stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("length").alias("avg"))
+    stats = length_totals(lengths) if totals is None else totals
     needed = sorted({t for p in phrases for t in p})
     found = postings.where(F.col("term").isin(needed))
     parts = None

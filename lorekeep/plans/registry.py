@@ -224,12 +224,12 @@ w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w, idf FROM tf JOIN df USING (t
 
 
 def _cosine(spark, d):
-    return index_store.shared(spark, "cosine", d, lambda folder: index_store.CosineIndex.save(table(spark, d, "documents"), folder, "doc_id", "text"))
+    return index_store.shared(spark, "cosine", f"{d}/documents.parquet", lambda folder: index_store.CosineIndex.save(table(spark, d, "documents"), folder, "doc_id", "text"))
 
 
 def _words(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    return index_store.shared(spark, "words", d, lambda folder: index_store.WordIndex.save(docs, folder, ("doc_id",), ("content",)))
+    return index_store.shared(spark, "words", f"{d}/documents.parquet", lambda folder: index_store.WordIndex.save(docs, folder, ("doc_id",), ("content",)))
 
 
 @query("tfidf_norms", f"WITH {_TF} SELECT doc_id, count(*) AS terms, round(sum((w / norm) * (w / norm)), 6) AS total FROM w JOIN norm USING (doc_id) GROUP BY doc_id")
@@ -610,4 +610,4 @@ def _(spark, d):
     return reports.audit(declared, indexed)
 
 
-from . import more_queries  # noqa: E402, F401  it registers further queries
+from . import index_queries, more_queries  # noqa: E402, F401  they register further queries

@@ -238,8 +238,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     alone = frames.join(twice, ["k", "content"])
     hits = whole.select("key", "t", "places", "bounds", "first_doc").unionByName(alone.select("key", "t", "places", "bounds", "first_doc")).join(others, ["key", "t"], "left_anti")
     low = F.lit(0xFFFFFFFF)
-    hits = hits.select(F.col("key").alias("doc_id"), "t", "first_doc", F.shiftright("places", 32).alias("word"), F.col("places").bitwiseAND(low).alias("final"), F.shiftright("bounds", 32).alias("begin"), F.col("bounds").bitwiseAND(low).alias("finish"))
-    # Frames of a text in the order of their places; a frame that begins behind all before it opens a new span.
+    # Shipped packed; frames of a text in the order of their places; a frame that begins behind all before it opens a new span.
+    hits = hits.select(F.col("key").alias("doc_id"), "t", "first_doc", "places", "bounds").repartition("doc_id", "t")
+    hits = hits.withColumns({"word": F.shiftright("places", 32), "final": F.col("places").bitwiseAND(low), "begin": F.shiftright("bounds", 32), "finish": F.col("bounds").bitwiseAND(low)})
     order = Window.partitionBy("doc_id", "t").orderBy("word", "final", "finish")
     opened = hits.withColumn("reach", F.max("final").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     opened = opened.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("word") > F.col("reach") + min_words), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -42,15 +42,20 @@ def resolve(links: DataFrame, notes: DataFrame) -> DataFrame:
     want = numbered.select("path", "ord", "target", _folder(F.col("path")).alias("own_folder"), _key(F.col("target")).alias("want"))
     relative = want.where(F.col("target").startswith("./") | F.col("target").startswith("../") | F.col("target").contains("/../"))
     relative = relative.select("path", "ord", _key(normal_path(F.concat_ws("/", "own_folder", "target"))).alias("want"))
-    by_relative = relative.join(keys, relative["want"] == keys["full"]).select("path", "ord", "note", "scan_ord", F.lit(1).alias("stage"))
-    by_name = want.join(keys, want["want"] == keys["name"]).select("path", "ord", "note", "scan_ord", F.when(keys["folder"] == want["own_folder"], 2).otherwise(3).alias("stage"))
+    # A key that many notes have is one row before any join: the first of them in scan order.
+    first = lambda by, rows=keys: rows.groupBy(*by).agg(F.min_by("note", "scan_ord").alias("note"))
+    found = lambda rows, stage: rows.select("path", "ord", "note", F.lit(stage).alias("stage"))
+    by_full = first(["full"]).withColumnRenamed("full", "want")
+    by_relative = found(relative.join(by_full, "want"), 1)
+    near = first(["name", "folder"]).select(F.col("name").alias("want"), F.col("folder").alias("own_folder"), "note")
+    by_name = found(want.join(near, ["want", "own_folder"]), 2).unionByName(found(want.join(first(["name"]).withColumnRenamed("name", "want"), "want"), 3))
     slashed = want.where(F.col("target").contains("/"))
-    by_path = slashed.join(keys, slashed["want"] == keys["full"]).select("path", "ord", "note", "scan_ord", F.lit(4).alias("stage"))
+    by_path = found(slashed.join(by_full, "want"), 4)
     parts = F.split("full", "/")
     suffixes = keys.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))).where("suffix <> ''")
-    by_suffix = slashed.join(suffixes, slashed["want"] == suffixes["suffix"]).select("path", "ord", "note", "scan_ord", F.lit(5).alias("stage"))
+    by_suffix = found(slashed.join(first(["suffix"], suffixes).withColumnRenamed("suffix", "want"), "want"), 5)
     every = by_relative.unionByName(by_name).unionByName(by_path).unionByName(by_suffix)
-    best = every.groupBy("path", "ord").agg(F.min_by("note", F.struct("stage", "scan_ord")).alias("resolved"))
+    best = every.groupBy("path", "ord").agg(F.min_by("note", "stage").alias("resolved"))
     return links.join(best, ["path", "ord"], "left")
 
 
@@ -101,14 +106,22 @@ def neighbours(path: str, resolved: DataFrame, tags: DataFrame, most: int = 20)
 def similar(path: str, notes: DataFrame, resolved: DataFrame, limit: int = 10, min_score: float = 0.05) -> DataFrame:
     """3 x tag overlap + 1.5 x title 3-gram overlap + 2 x shared outbound share + 2 x common backlinks overlap."""
     link = edges(resolved).distinct()
-    outs = link.groupBy(F.col("src").alias("path")).agg(F.collect_set("dst").alias("outs"))
-    ins = link.groupBy(F.col("dst").alias("path")).agg(F.collect_set("src").alias("ins"))
-    empty = F.array().cast("array<string>")
-    full = notes.select("path", "title", F.array_distinct(F.transform("tags", F.lower)).alias("t"), ngrams(F.lower("title"), 3).alias("g")).join(outs, "path", "left").join(ins, "path", "left").withColumn("outs", F.coalesce("outs", empty)).withColumn("ins", F.coalesce("ins", empty))
-    me = full.where(F.col("path") == path).limit(1).select(F.col("t").alias("mt"), F.col("g").alias("mg"), F.col("outs").alias("mo"), F.col("ins").alias("mi"))
+    mine, theirs = link.where(F.col("src") == path).select("dst"), link.where(F.col("dst") == path).select("src")
+    # Common elements are counted by equi-joins; the links of a note are never gathered in a row.
+    count = F.count(F.lit(1))
+    common_out = link.join(mine, "dst").groupBy(F.col("src").alias("path")).agg(count.alias("common_out"))
+    common_in = link.join(theirs, "src").groupBy(F.col("dst").alias("path")).agg(count.alias("common_in"))
+    n_in = link.groupBy(F.col("dst").alias("path")).agg(count.alias("n_in"))
+    sizes = mine.agg(count.alias("my_out")).crossJoin(theirs.agg(count.alias("my_in")))  # one row
+    full = notes.select("path", "title", F.array_distinct(F.transform("tags", F.lower)).alias("t"), ngrams(F.lower("title"), 3).alias("g"))
+    me = full.where(F.col("path") == path).limit(1).select(F.col("t").alias("mt"), F.col("g").alias("mg")).crossJoin(sizes)
     both = full.where(F.col("path") != path).crossJoin(F.broadcast(me))
-    share = F.when(F.size("mo") == 0, 0.0).otherwise(F.size(F.array_intersect("mo", "outs")) / F.size("mo"))
-    score = 3 * jaccard(F.col("mt"), F.col("t")) + 1.5 * jaccard(F.col("mg"), F.col("g")) + 2 * share + 2 * jaccard(F.col("mi"), F.col("ins"))
+    for part in (common_out, common_in, n_in):
+        both = both.join(part, "path", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    share = F.coalesce(F.try_divide(zero("common_out"), F.col("my_out")), F.lit(0.0))
+    overlap = F.coalesce(F.try_divide(zero("common_in"), F.col("my_in") + zero("n_in") - zero("common_in")), F.lit(0.0))
+    score = 3 * jaccard(F.col("mt"), F.col("t")) + 1.5 * jaccard(F.col("mg"), F.col("g")) + 2 * share + 2 * overlap
     return both.withColumn("score", F.floor(score * 1e4 + 0.5) / 1e4).where(F.col("score") >= min_score).orderBy(F.desc("score"), "path").limit(limit).select("path", "title", "score")
 
 

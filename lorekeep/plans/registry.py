@@ -416,10 +416,12 @@ def _(spark, d):
     return links.unresolved(_resolved(spark, d)).select("path", "ord", "target")
 
 
-@query("orphans", f"WITH {_PAGE}, own_links AS (SELECT * FROM res WHERE path >= '00000100') SELECT path FROM pn WHERE path NOT IN (SELECT resolved FROM own_links WHERE resolved IS NOT NULL AND resolved <> path) AND path NOT IN (SELECT path FROM own_links)")
+@query("orphans", f"WITH {_PAGE}, items AS (SELECT 'benchmark/' || item_id || '.md' AS path FROM benchmark), every AS (SELECT path FROM pn UNION ALL SELECT path FROM items) SELECT path FROM every WHERE path NOT IN (SELECT resolved FROM res WHERE resolved IS NOT NULL AND resolved <> path) AND path NOT IN (SELECT path FROM res)")
 def _(spark, d):
-    """The first hundred pages without their own links, which leaves some of them alone."""
-    return links.orphans(_page_notes(spark, d), _resolved(spark, d).where("path >= '00000100'"))
+    """Pages and benchmark items as notes of one collection: the items have no links."""
+    items = table(spark, d, "benchmark").select(F.concat(F.lit("benchmark/"), "item_id", F.lit(".md")).alias("path"), F.concat(F.lit("item "), "item_id").alias("title"))
+    every = _page_notes(spark, d).select("path", "title").unionByName(items)
+    return links.orphans(every, links.resolve(_page_links(spark, d), every))
 
 
 _GRAPH = f"{_PAGE}, ed AS (SELECT path AS src, resolved AS dst FROM res WHERE resolved IS NOT NULL AND resolved <> path), und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS weight FROM ed GROUP BY ALL), g AS (SELECT a AS src, b AS dst, weight FROM und UNION ALL SELECT b, a, weight FROM und)"
@@ -450,6 +452,11 @@ def _(spark, d):
     return graph.communities_exact(g)
 
 
+@query("communities_by_moves")
+def _(spark, d):
+    return graph.communities_by_moves(graph.undirected(links.edges(_resolved(spark, d))))
+
+
 @query("label_communities")
 def _(spark, d):
     g = graph.undirected(links.edges(_resolved(spark, d)))

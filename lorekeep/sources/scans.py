@@ -38,13 +38,18 @@ def in_folder(path: Column, folder: str | None) -> Column:
     return path.startswith(folder + "/") if folder else F.lit(True)
 
 
+def below(root: str, path: Column) -> Column:
+    """The path of a file relative to the folder that was read, decoded."""
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:").lstrip("/")
+    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "^.*?" + re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", base) + "/", "")
+
+
 def files(spark: SparkSession, root: str, extension: str = "md", folder: str | None = None, allow: tuple[str, ...] = (), deny: tuple[str, ...] = ()) -> DataFrame:
     """(path, mtime, size, content) of the files below root with an extension; content is binary and is read only where selected."""
     base = root.rstrip("/")
     where = f"{base}/{folder.strip('/')}" if folder else base
     raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", "true").load(where)
-    tail = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("path"), r"\+", "%2B")), "^.*?" + re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", base.split("://")[-1].lstrip("/").removeprefix("file:")) + "/", "")
-    rows = raw.select(tail.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+    rows = raw.select(below(base, F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
     return rows.where(visible(F.col("path"), allow, deny))
 
 

@@ -1,5 +1,6 @@
 """Operators on small notes written by hand."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -266,6 +267,28 @@ def test_communities_do_not_depend_on_row_order(spark):
         graph.communities_exact(g, most_edges=5)
 
 
+def test_moves_on_tables_come_near_the_sequential_pass(spark):
+    rng = random.Random(3)
+    cliques = [(f"n{c:02}{a}", f"n{c:02}{b}") for c in range(6) for a in range(5) for b in range(a)] + [(f"n{c:02}0", f"n{(c + 1) % 6:02}1") for c in range(6)]
+    planted = [(f"v{i:03}", f"v{j:03}") for i in range(120) for j in range(i) if rng.random() < (0.4 if i % 6 == j % 6 else 0.01)]
+    for edges in (cliques, planted):
+        g = graph.undirected(spark.createDataFrame(edges, "src string, dst string")).cache()
+        members = graph.communities_by_moves(g)
+        assert graph.modularity(g, members).first()[0] >= graph.modularity(g, graph.communities_exact(g)).first()[0] - 0.02
+        rows = members.collect()
+        assert len(rows) == len({n for e in edges for n in e}) and all(r.community <= r.node for r in rows)
+    assert {r.community for r in graph.communities_by_moves(graph.undirected(spark.createDataFrame(cliques, "src string, dst string"))).collect()} == {f"n{c:02}0" for c in range(6)}
+    assert graph.communities_by_moves(g.limit(0)).collect() == []
+
+
+def test_many_notes_of_one_name_are_resolved_without_their_product(spark):
+    n = 3000
+    notes = spark.range(n).select(F.format_string("d%04d/index.md", "id").alias("path"), F.col("id").alias("scan_ord"))
+    found = links.resolve(notes.select("path", F.lit(0).alias("ord"), F.lit("index").alias("target")).unionByName(spark.createDataFrame([("x/a.md", 0, "index"), ("d0001/b.md", 0, "d0007/index"), ("q/b.md", 0, "./../d0002/index")], "path string, ord int, target string")), notes).collect()
+    assert len(found) == n + 3 and {r.path: r.resolved for r in found if not r.path.endswith("index.md")} == {"x/a.md": "d0000/index.md", "d0001/b.md": "d0007/index.md", "q/b.md": "d0002/index.md"}
+    assert all(r.resolved == r.path for r in found if r.path.endswith("index.md"))
+
+
 def test_one_tokenizer_for_index_and_query(spark):
     texts = ["tiễn Άλφα Ñandú", "漢字かな text", "a (b) c"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.fts_tokens(F.col("t")).alias("fts"), text.tfidf_tokens(F.col("t")).alias("tfidf"))

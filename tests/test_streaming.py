@@ -1,10 +1,12 @@
 """Upkeep of state and indexes from streams."""
 
 import datetime as dt
+import os
 
 import pytest
 
-from lorekeep.streaming import watch
+from lorekeep.operators import segments
+from lorekeep.streaming import upkeep, watch
 
 START = dt.datetime(2024, 1, 1)
 
@@ -55,3 +57,50 @@ def test_the_provider_is_asked_for(spark, tmp_path):
     stream = spark.readStream.schema(watch.CHANGES).parquet(str(tmp_path))
     with pytest.raises(ValueError, match="providerClass"):
         watch.settled(stream)
+
+
+def test_a_late_event_does_not_bring_a_deleted_note_back(spark, tmp_path):
+    columns = "path string, kind string, seq long, mtime timestamp, content string"
+    events = lambda *rows: spark.createDataFrame([(p, k, s, at(s * 1000), c) for p, k, s, c in rows], columns)
+    write, folder = upkeep.batch_writer(str(tmp_path), keep="1 hour"), str(tmp_path)
+    write(events(("a", "add", 1, "v1"), ("b", "add", 1, "b1")), 0)
+    write(events(("a", "unlink", 5, None)), 1)
+    write(events(("a", "add", 4, "old text"), ("b", "change", 6, "b2")), 2)
+    assert [(r.path, r.content, r.revision) for r in upkeep.current(spark, folder).collect()] == [("b", "b2", 2)]
+    write(events(("a", "add", 7, "again")), 3)
+    assert {(r.path, r.content) for r in upkeep.current(spark, folder).collect()} == {("a", "again"), ("b", "b2")}
+    write(events(("a", "unlink", 8, None)), 4)
+    write(events(("c", "add", 9_000, "much later")), 5)
+    assert {r.path for r in upkeep.snapshot(spark, folder).collect()} == {"b", "c"}  # the tombstone has gone
+
+
+def test_files_that_are_no_text_are_quarantined_and_notes_are_indexed(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "sub dir").mkdir(parents=True)
+    (root / "a.md").write_text("# One\n\nalpha beta\n\n# Two\n\ngamma", encoding="utf-8")
+    (root / "bad.md").write_bytes(b"alpha \xff\xfe")
+    (root / "sub dir" / "b.md").write_text("alpha alone", encoding="utf-8")
+    index = segments.SegmentedIndex(spark, str(tmp_path / "index"))
+    folder = str(tmp_path / "state")
+
+    def run():
+        upkeep.start(upkeep.file_events(spark, str(root), max_files=10), folder, str(tmp_path / "check"), index=index).awaitTermination()
+
+    run()
+    assert {r.path for r in upkeep.current(spark, folder).collect()} == {"a.md", "sub dir/b.md"}
+    assert [r.path for r in upkeep.quarantined(spark, folder).collect()] == ["bad.md"]
+    assert {(r.path, r.chunk_index) for r in index.words().search("alpha").collect()} == {("a.md", 1), ("sub dir/b.md", 0)}
+    (root / "bad.md").write_text("alpha healed gamma", encoding="utf-8")
+    (root / "a.md").write_text("nothing left", encoding="utf-8")
+    (root / "c.md").write_text("gamma", encoding="utf-8")
+    (root / "sub dir" / "b.md").unlink()
+    os.utime(root / "a.md", (2e9, 2e9))
+    os.utime(root / "bad.md", (2e9, 2e9))
+    assert upkeep.sync(spark, str(root), folder, index) == {"updated": 2, "added": 1, "deleted": 1, "unreadable": 0}
+    assert {r.path for r in index.words().search("alpha").collect()} == {"bad.md"} and upkeep.quarantined(spark, folder).count() == 0
+    assert {r.path for r in index.words().search("gamma").collect()} == {"bad.md", "c.md"} and len(index.newest().segments) == 2
+    assert upkeep.sync(spark, str(root), folder, index) == {}
+    (root / "worse.md").write_bytes(b"\xff")
+    with pytest.raises(ValueError, match="worse"):
+        upkeep.sync(spark, str(root), folder, index, strict=True)
+    assert {r.path for r in upkeep.current(spark, folder).collect()} == {"a.md", "bad.md", "c.md"}

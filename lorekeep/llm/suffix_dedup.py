@@ -236,7 +236,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     frames = rows.where("single")
     twice = frames.groupBy("k", "content").agg(*apart).where(several).select("k", "content", "first_doc")
     alone = frames.join(twice, ["k", "content"])
-    hits = whole.select("key", "t", "places", "bounds", "first_doc").unionByName(alone.select("key", "t", "places", "bounds", "first_doc")).join(others, ["key", "t"], "left_anti")
+    hits = whole.select("key", "t", "places", "bounds", "first_doc").unionByName(alone.select("key", "t", "places", "bounds", "first_doc"))
     low = F.lit(0xFFFFFFFF)
     # Shipped packed; frames of a text in the order of their places; a frame that begins behind all before it opens a new span.
     hits = hits.select(F.col("key").alias("doc_id"), "t", "first_doc", "places", "bounds").repartition("doc_id", "t")
@@ -250,6 +250,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ), "spans")
     discard(rows, buckets)
     inside = F.sort_array(F.collect_list(F.struct("start", "end", "n_words", "first_doc_id", "is_first")))
+    # Later copies that the bitmap let through have spans of no use: only those of the first copy and of texts without copies are taken.
     own = spans.join(copies.where("doc_id = node").select("doc_id", "t").distinct(), ["doc_id", "t"], "left_semi").groupBy("doc_id", "t").agg(inside.alias("own"))
     partial = spans.join(copies.select("doc_id", "t").distinct(), ["doc_id", "t"], "left_anti").select("doc_id", "start", "end", "n_words", "first_doc_id", "is_first", F.lit(None).cast(own.schema["own"].dataType).alias("inside"), F.col("t").alias("text_hash"))
     first_of = F.col("doc_id") == F.col("node")

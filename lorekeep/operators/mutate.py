@@ -26,7 +26,7 @@ def create(notes: DataFrame, path: str, body: str, front_matter: dict | None = N
 
 def append(notes: DataFrame, path: str, text: str, separator: str = "\n\n") -> DataFrame:
     joined = F.concat(F.regexp_replace("content", r"\n+$", ""), F.lit(separator), F.lit(text))
-    return notes.withColumn("content", F.when(F.col("path") == path, F.when(F.col("content") == "", F.lit(text)).otherwise(joined)).otherwise(F.col("content")))
+    return notes.withColumn("content", F.when(F.col("path") == path, F.when(F.coalesce("content", F.lit("")) == "", F.lit(text)).otherwise(joined)).otherwise(F.col("content")))
 
 
 def _outside_fences(content: str, change) -> tuple[str, int]:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,18 +151,40 @@ def check_pattern(pattern: str) -> str:
     return pattern
 
 
+def linear_pattern(pattern: str) -> str:
+    """The pattern, if it has a linear-time automaton: no references to groups, no looking around, no huge counted repetition."""
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"not a pattern for linear-time matching: {e}") from None
+    return pattern
+
+
+def matching(rows: DataFrame, column: str, pattern: str) -> DataFrame:
+    """The rows whose ``column`` holds the pattern, by RE2 automata: time is linear in the text whatever the pattern, which users may choose freely.
+
+    A null text holds nothing; ``\\w`` and the like are ASCII, as in Java."""
+    linear_pattern(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pc.fill_null(pc.match_substring_regex(b.column(column), pattern), False))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def open_questions(lines: DataFrame, notes: DataFrame, now: Column, pattern: str | None = None, limit: int = 100) -> DataFrame:
-    """Lines that pose a question, under their current heading, oldest notes first."""
-    p = check_pattern(pattern) if pattern else QUESTION
+    """Lines that pose a question, under their current heading, oldest notes first; a pattern of the caller's own is matched in linear time."""
     order = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lines.withColumn("heading", F.last("heading_text", ignorenulls=True).over(order)).where(~F.col("in_fence") & F.col("text").rlike(p))
-    question = F.trim(F.regexp_extract("text", p, 1)) if pattern is None else F.trim("text")
+    carried = lines.withColumn("heading", F.last("heading_text", ignorenulls=True).over(order)).where(~F.col("in_fence"))
+    carried = carried.where(F.col("text").rlike(QUESTION)) if pattern is None else matching(carried, "text", pattern)
+    question = F.trim(F.regexp_extract("text", QUESTION, 1)) if pattern is None else F.trim("text")
     dated = carried.select("path", "line", "heading", question.alias("question")).join(notes.select("path", "mtime"), "path")
     return dated.withColumn("age_days", age_days(F.col("mtime"), now)).orderBy("mtime", "path", "line").limit(limit).select("path", "line", "heading", "question", "age_days")
 
 
 def identifiers(body: Column) -> Column:
-    """struct(arxiv, doi, url): distinct identifiers, at most three addresses."""
+    """struct(arxiv, doi, url): distinct identifiers, at most three addresses.  The patterns are fixed values."""
     text = lambda p: F.array_distinct(F.regexp_extract_all(body, F.lit(p), F.lit(1)))
     return F.struct(
         text(r"(?i)\barxiv[:\s]*([0-9]{4}\.[0-9]{4,5}(?:v\d+)?)\b").alias("arxiv"), text(r"(?i)\bdoi[:\s]*(10\.\d{4,9}/[\w\-._;()/:]+)").alias("doi"), F.slice(text(r"\b(https?://[^\s<>\")\]]+)"), 1, 3).alias("url"),

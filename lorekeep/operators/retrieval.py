@@ -138,6 +138,20 @@ def bm25_search(postings: DataFrame, lengths: DataFrame, query: str, limit: int
     return every if limit is None else every.orderBy(F.desc("score"), *key).limit(limit)
 
 
+def scope(notes: DataFrame, folder: str | None = None, tag: str | None = None, since=None, key: tuple[str, ...] = ("path",)) -> DataFrame:
+    """The keys of notes (path, tags, mtime, ...) below a folder, with exactly that tag, and changed at ``since`` or later; what is None is not asked.
+
+    For ``bm25_search``: statistics stay those of the whole index.  Characters of a folder or tag mean only themselves; a note without a time is never recent."""
+    kept = notes
+    if folder and folder.rstrip("/"):
+        kept = kept.where(F.col("path").startswith(folder.rstrip("/") + "/"))
+    if tag:
+        kept = kept.where(F.array_contains("tags", tag))
+    if since is not None:
+        kept = kept.where(F.col("mtime") >= F.lit(since))
+    return kept.select(*key)
+
+
 def _back(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
 

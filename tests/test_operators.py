@@ -307,6 +307,29 @@ def test_patterns_that_may_backtrack_are_refused():
         assert reports.check_pattern(good) == good
 
 
+def test_patterns_are_matched_in_linear_time(spark):
+    import time
+
+    rows = [("a", "word " * 20_000), ("b", "x" * 100_000 + "y"), ("c", None), ("d", "Ab x")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    reports.matching(df, "text", "warm").count()
+    began = time.perf_counter()
+    assert [r.path for r in reports.matching(df, "text", r"\w+\s*\w+z").collect()] == []
+    assert {r.path for r in reports.matching(df, "text", r"(x+x+)+y").collect()} == {"b"} and time.perf_counter() - began < 30
+    assert {r.path for r in reports.matching(df, "text", r"^\p{Lu}\p{Ll} x$").collect()} == {"d"}
+    for bad in (r"(a)\1", "(?=a)b", "(", "a{1,100000}"):
+        with pytest.raises(ValueError):
+            reports.linear_pattern(bad)
+
+
+def test_scope_and_append(spark):
+    n = spark.createDataFrame([("a/x.md", ["t_1"], datetime(2024, 1, 2)), ("ab/y.md", ["tx1"], datetime(2024, 1, 1)), ("a/z.md", None, None)], "path string, tags array<string>, mtime timestamp")
+    names = lambda **k: {r.path for r in retrieval.scope(n, **k).collect()}
+    assert names(folder="a/") == {"a/x.md", "a/z.md"} and names(tag="t_1") == {"a/x.md"} and names(since=datetime(2024, 1, 2)) == {"a/x.md"} and len(names()) == 3
+    content = spark.createDataFrame([("a", None), ("b", "x")], "path string, content string")
+    assert mutate.append(content, "a", "new").where("path = 'a'").first().content == "new"
+
+
 def test_replacement_leaves_fences_alone(spark):
     n = spark.createDataFrame([("a", "x y x"), ("b", "x\n```\nx\n```\nx"), ("c", "none"), ("d", None)], "path string, content string")
     snapshot, report = mutate.replace(n, "x", "zz")

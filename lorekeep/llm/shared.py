@@ -70,16 +70,17 @@ def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Tabl
         for b in batches:
             rows = pa.Table.from_batches([b])
             if held is not None:
-                rows = pa.concat_tables([held, rows]).combine_chunks()
+                rows = pa.concat_tables([held, rows])  # only a group at a time is copied, not the batch
             if not len(rows):
                 continue
             columns = [rows.column(k).to_numpy() for k in keys]
             ends = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()
-            done = [work(rows.slice(a, z - a)) for a, z in zip([0, *ends], ends, strict=False)]
+            done = [work(rows.slice(a, z - a).combine_chunks()) for a, z in zip([0, *ends], ends, strict=False)]
+            held = rows.slice(ends[-1] if ends else 0).combine_chunks()
             if done:
                 yield from pa.concat_tables(done).combine_chunks().to_batches()
-            held = rows.slice(ends[-1] if ends else 0)
         if held is not None and len(held):
             yield from work(held).to_batches()
+        pa.default_memory_pool().release_unused()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

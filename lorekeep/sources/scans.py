@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import links
+
 try:
     import yaml
 except ImportError:
@@ -48,7 +51,7 @@ def files(spark: SparkSession, root: str, extension: str = "md", folder: str | N
     """(path, mtime, size, content) of the files below root with an extension; content is binary and is read only where selected."""
     base = root.rstrip("/")
     where = f"{base}/{folder.strip('/')}" if folder else base
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", "true").load(where)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*" if extension == "*" else f"*.{extension}").option("recursiveFileLookup", "true").load(where)
     rows = raw.select(below(base, F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
     return rows.where(visible(F.col("path"), allow, deny))
 
@@ -65,6 +68,23 @@ def bounded(rows: DataFrame, most: int = MAX_FILES) -> DataFrame:
     return rows
 
 
+def listing(spark: SparkSession, root: str, extensions: tuple[str, ...], max_files: int = MAX_FILES, max_visited: int = 10 * MAX_FILES, folder: str | None = None, allow: tuple[str, ...] = (), deny: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
+    """(path, mtime, size) of the first ``max_files`` files with one of the extensions, in path order, and a receipt: how many entries were visited, at most
+    ``max_visited`` being counted, and whether the listing is complete.  Names only are read, no contents; a folder that is not there is empty and complete."""
+    if max_files < 1 or max_visited < 1 or not extensions or not all(re.fullmatch(r"\.?[A-Za-z0-9]+", e) for e in extensions):
+        raise ValueError("bounds must be positive, extensions letters and digits")
+    try:
+        every = files(spark, root, "*", folder, allow, deny).select("path", "mtime", "size")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, mtime timestamp, size long"), {"visited": 0, "complete": True}
+    wanted = every.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions]))
+    visited = every.limit(max_visited + 1).count()
+    many = wanted.limit(max_files + 1).count()
+    return wanted.orderBy("path").limit(max_files), {"visited": min(visited, max_visited), "complete": visited <= max_visited and many <= max_files}
+
+
 def page(rows: DataFrame, limit: int, after: str | None = None) -> DataFrame:
     """Keyset page in order of path, with ``has_more`` on each row."""
     later = rows.where(F.col("path") > after) if after is not None else rows
@@ -100,9 +120,20 @@ def canvas_summary(rows: DataFrame) -> DataFrame:
     return canvas_nodes(rows).groupBy("path").pivot("kind", ["text", "file", "link", "group", "unknown"]).count().na.fill(0)
 
 
+def file_nodes(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """(path, id, file, file_resolved): the note that each file node names, by its exact path, else as a link would find it."""
+    nodes = canvas_nodes(rows).where("kind = 'file'").select("path", "id", "file", F.regexp_replace(F.coalesce("file", F.lit("")), "^/+", "").alias("target"))
+    exact = notes.select(F.col("path").alias("target"), F.col("path").alias("direct"))
+    # A reference is relative to the collection, not to its canvas: it is resolved as a link of a note at the root.
+    wanted = nodes.where("target <> ''").select("target").distinct()
+    asked = wanted.select(F.lit("").alias("path"), F.col("target").alias("ord"), "target")
+    found = links.resolve(asked, notes).select("target", "resolved")
+    return nodes.join(exact, "target", "left").join(found, "target", "left").select("path", "id", "file", F.coalesce("direct", "resolved").alias("file_resolved"))
+
+
 def broken_file_nodes(rows: DataFrame, notes: DataFrame) -> DataFrame:
-    """File nodes that name no note."""
-    return canvas_nodes(rows).where("kind = 'file'").join(notes.select(F.col("path").alias("file")), "file", "left_anti").select("path", "id", "file")
+    """File nodes that name something, but no note."""
+    return file_nodes(rows, notes).where("file_resolved is null and regexp_replace(coalesce(file, ''), '^/+', '') <> ''").select("path", "id", "file")
 
 
 def newest(rows: DataFrame, limit: int = 100) -> DataFrame:

@@ -322,6 +322,29 @@ def test_patterns_are_matched_in_linear_time(spark):
             reports.linear_pattern(bad)
 
 
+def test_bounded_listing_and_canvas_references(spark, tmp_path):
+    from lorekeep.sources import scans
+
+    (tmp_path / "sub").mkdir()
+    for name in ("a.md", "b.MD", "sub/c.md", "d.txt", ".hidden.md", "plain"):
+        (tmp_path / name).write_text("x")
+    root = str(tmp_path)
+    rows, receipt = scans.listing(spark, root, (".md",))
+    assert [r.path for r in rows.collect()] == ["a.md", "b.MD", "sub/c.md"] and receipt == {"visited": 5, "complete": True}
+    rows, receipt = scans.listing(spark, root, ("md", "txt"), max_files=2)
+    assert [r.path for r in rows.collect()] == ["a.md", "b.MD"] and not receipt["complete"]
+    assert scans.listing(spark, root, ("md",), max_visited=3)[1] == {"visited": 3, "complete": False}
+    rows, receipt = scans.listing(spark, root, ("md",), folder="nowhere")
+    assert rows.count() == 0 and receipt["complete"]
+    with pytest.raises(ValueError):
+        scans.listing(spark, root, ("m/d",))
+    canvas = '{"nodes": [{"id": "1", "type": "file", "file": "/x/One.md"}, {"id": "2", "type": "file", "file": "one"}, {"id": "3", "type": "file", "file": "gone.md"}, {"id": "4", "type": "file"}, {"id": "5", "type": "text", "text": "t"}]}'
+    boards = spark.createDataFrame([("b.canvas", canvas), ("bad.canvas", "{")], "path string, content string")
+    notes = spark.createDataFrame([("x/One.md", 1), ("y/two.md", 2)], "path string, scan_ord int")
+    assert {r.id: r.file_resolved for r in scans.file_nodes(boards, notes).collect()} == {"1": "x/One.md", "2": "x/One.md", "3": None, "4": None}
+    assert [(r.id, r.file) for r in scans.broken_file_nodes(boards, notes).collect()] == [("3", "gone.md")]
+
+
 def test_scope_and_append(spark):
     n = spark.createDataFrame([("a/x.md", ["t_1"], datetime(2024, 1, 2)), ("ab/y.md", ["tx1"], datetime(2024, 1, 1)), ("a/z.md", None, None)], "path string, tags array<string>, mtime timestamp")
     names = lambda **k: {r.path for r in retrieval.scope(n, **k).collect()}

@@ -341,5 +341,7 @@ def op8_bpe_codec(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: every document with its token ids."""
+    """Pipeline stage, the last: every document with its token ids, decoded text and number of tokens, which replace columns of these names.
+
+    A null or empty text has no tokens; rows that repeat and null doc_ids are passed through; an empty table stays empty."""
     return encode(docs, default_tokenizer())

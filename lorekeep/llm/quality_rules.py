@@ -247,7 +247,11 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
+    """Pipeline stage: documents that the rules reject go; all others stay as they are, with all their columns.
+
+    A null or empty text has no words, so it goes; rows that repeat are judged alike; a null doc_id changes nothing; an empty table stays empty.  The field is trained on
+    the whole ``documents`` table, not on what the stage is given."""
     field = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    return judge(docs, field).where("kept").select(*columns)
+    aside = {c: f"own {c}" for c in docs.columns if c in COLUMNS}
+    kept = judge(docs.withColumnsRenamed(aside), field).where("kept")
+    return kept.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])

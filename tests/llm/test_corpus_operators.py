@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,34 @@ def test_pipeline_on_odd_rows(spark):
         assert {r.doc_id for r in rows} <= want[name] and ({3, None} <= {r.doc_id for r in rows} or name == "mixing sources to target weights"), name
         assert name.startswith("BPE") or out.columns == docs.columns and all(r.copies == r.row == r.n_dropped == "kept" for r in rows), name
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_quality_stage_keeps_what_the_verdict_keeps(spark):
+    from lorekeep.llm import quality_rules
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, "en", "s", 0), (None, "", "en", "s", 0), (1, "x " * 10, None, None, None)], docs.schema)
+    mine = docs.unionByName(odd).withColumn("kept", F.lit("own"))
+    kept = quality_rules.stage_quality(spark, mine, SF).collect()
+    field = quality_rules.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    want = []
+    for r in mine.collect():
+        n, _, _, _, repeats = brute.base_counts(r.text)
+        if n < 20 or 100 * repeats > 30 * n:
+            continue
+        for _, features, words, ptr in quality_rules.analyse(pa.array([r.text], pa.large_string())):
+            states = best_states(field, features)
+            if sum(w for w, s in zip(words, states, strict=True) if s) / n >= quality_rules.MIN_CONTENT_SHARE:
+                want.append(r)
+    key = lambda r: (r.doc_id or 0, r.text)
+    assert sorted(kept, key=key) == sorted(want, key=key) and 0 < len(want) < mine.count()
+    assert quality_rules.stage_quality(spark, mine.limit(0), SF).collect() == []
+
+
+def best_states(field, features):
+    """The best path of a chain by plain dynamic programming over all states, kept as whole paths."""
+    emit, move = (features @ field.emit).tolist(), field.move.tolist()
+    paths = [(emit[0][0], [0]), (emit[0][1], [1])] if emit else []
+    for g in emit[1:]:
+        paths = [max(((w + move[p[-1]][s] + g[s], [*p, s]) for w, p in paths), key=lambda x: x[0]) for s in (0, 1)]
+    return max(paths, key=lambda x: x[0])[1] if paths else []

@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the shared
 folder and read again as the next one's docs.  All but the last return the columns of ``documents``.
+
+Nulls in any column, empty and very long texts, repeated rows, further columns and empty tables pass through every stage; what each
+makes of them is stated at the stage.  A document without words goes in the first stage.
 """
 
 from __future__ import annotations

@@ -104,6 +104,8 @@ class TrieCodec:
     def __init__(self, spec: str, characters: Characters | None = None) -> None:
         self.characters = characters or library_characters()
         self.odd = re.compile(self.characters.odd if len(self.characters.odd) > 2 else r"(?!)")
+        #: Whether any text so far had such a character: until then no piece is searched for one.
+        self.some_odd = False
         d = json.loads(spec)
         model = d["model"]
         assert model["type"] == "BPE" and model["end_of_word_suffix"] == END and d.get("decoder") is None, "unsupported tokenizer file"
@@ -239,10 +241,11 @@ class TrieCodec:
             if "Σ" in text:  # lower case letter by letter, whatever stands around it
                 text = text.replace("Σ", "σ")
         text = text.lower()
+        self.some_odd = self.some_odd or not text.isascii() and self.odd.search(text) is not None
         return [x for x in _WHITE_SPACE.split(text) if x] if _ODD_SPACE.search(text) else text.split()
 
     def split(self, piece: str) -> list[str]:
-        if not piece.isascii() and self.odd.search(piece):
+        if self.some_odd and not piece.isascii() and self.odd.search(piece):
             piece = piece.translate(self.characters.lower)
             kinds = self.characters.kinds
             alike = "".join([c if c < "\x80" else STAND_INS[kinds[ord(c)]] for c in piece])

@@ -26,7 +26,7 @@ except ImportError:  # notes then have no front matter
 
 _EOL = re.compile("\r\n|[\n\r  ]")
 _OPEN = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$", re.S)
-_LINK = re.compile(r"(!?)\[\[([^\]\n\r  ]+)\]\]")
+_LINK_STOP = re.compile(r"\]|\r\n|[\r\n\u2028\u2029]")
 _TAG = regex.compile(r"(?<![^\s(\[{>])#(\p{L}[\p{L}\p{N}\p{M}_/-]*)")
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*$")
 MAX_CHUNK = 4096
@@ -123,10 +123,11 @@ def mask_code(text: str) -> str:
         a, b, escaped = runs[i]
         start, size = (a + 1, b - a - 1) if escaped else (a, b - a)
         same = by_length.get(size, []) if size else []
-        closer = next(iter(same[bisect.bisect_right(same, i) :][:1]), None)
-        if closer is None:
+        after = bisect.bisect_right(same, i)
+        if after == len(same):
             i += 1
             continue
+        closer = same[after]
         for p in range(start, runs[closer][1]):
             if out[p] not in "\r\n  ":
                 out[p] = " "
@@ -143,8 +144,37 @@ def split_link(inner: str) -> dict[str, str | None]:
     return {"target": nfc(target.strip()), "section": clean(mark, section), "block": clean(caret, block), "alias": clean(bar, alias)}
 
 
+def link_places(text: str) -> Iterator[tuple[int, int]]:
+    """(begin of the opening brackets, end of the inner text) of each link, in one pass (P3).
+
+    The first line end or closing bracket after an opener settles it: two brackets close a link and one does not; the search goes on behind what was found,
+    and behind the first opening bracket of an empty link.  So every character is looked at twice at most, whatever is left open."""
+    at = text.find("[[")
+    while at >= 0:
+        stop = _LINK_STOP.search(text, at + 2)
+        if not stop:
+            return
+        end = stop.start()
+        if stop[0] != "]":
+            further = stop.end()
+        elif end == at + 2:
+            further = at + 1
+        elif text.startswith("]]", end):
+            yield at, end
+            further = end + 2
+        else:
+            further = end + 1
+        at = text.find("[[", further)
+
+
 def links(masked: str) -> list[dict]:
-    return [{"kind": "embed" if m[1] else "wikilink", "raw": m[0], "start": m.start(), **split_link(m[2])} for m in _LINK.finditer(masked) if m[2].strip()]
+    out = []
+    for at, end in link_places(masked):
+        embed, inner = masked[at - 1 : at] == "!", masked[at + 2 : end]
+        start = at - embed
+        if inner.strip():
+            out.append({"kind": "embed" if embed else "wikilink", "raw": masked[start : end + 2], "start": start, **split_link(inner)})
+    return out
 
 
 def inline_tags(masked: str) -> list[str]:

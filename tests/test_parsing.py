@@ -1,6 +1,8 @@
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorekeep.functions.periodic import format_date, load_config, ordinal, resolve_alias
@@ -95,3 +97,39 @@ def test_base_files_and_literals():
     with pytest.raises(ValueError):
         parse_base("- a")
     assert bases._value("'q'") == "q" and bases._value("word") is bases._NONE
+
+
+@given(st.text(st.sampled_from("[]!a#^| \n\r\u2028"), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_links_are_found_as_a_plain_machine_finds_them(text):
+    want, i = [], 0
+    while i + 1 < len(text):
+        if text[i : i + 2] != "[[":
+            i += 1
+            continue
+        j = i + 2
+        while j < len(text) and text[j] not in "]\n\r\u2028\u2029":
+            j += 1
+        if j == len(text):
+            break
+        if text[j] != "]":
+            i = j + 1
+        elif j == i + 2:
+            i += 1
+        elif text[j + 1 : j + 2] == "]":
+            want.append((i, j))
+            i = j + 2
+        else:
+            i = j + 1
+    assert list(M.link_places(text)) == want
+    assert [x["raw"].strip("!") for x in M.links(text)] == [text[a : b + 2] for a, b in want if text[a + 2 : b].strip()]
+
+
+def test_open_links_and_back_ticks_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert M.links("[[" * 200_000) == [] and M.links("[[a]" * 100_000) == []
+    assert len(M.links("[[a#b^c|d]] ![[e]]\n[[open\n[[]] [[x]]")) == 3
+    assert M.mask_code("`a` ``b`` " * 20_000).strip() == ""
+    assert time.perf_counter() - began < 10

@@ -74,27 +74,25 @@ STAND_INS = "\u00b6\u00e9\u00b2"
 
 @functools.cache
 def library_characters() -> Characters:
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    kinds = bytearray(0x110000)
-    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+")):
-        for piece, _ in tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
-            for c in piece:
-                kinds[ord(c)] = kind
+    kinds, lower, runs = bytearray(0x110000), {}, []
     small = tokenizers.normalizers.Lowercase()
-    lower = {c: x for c in points if not (c < 128 or unicodedata.category(chr(c)) in ("Lo", "Mn")) and (x := small.normalize_str(chr(c))) != chr(c).lower()}
-    here = bytearray(0x110000)
-    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+")):
-        for m in regex.finditer(pattern, every):
-            for c in m[0]:
-                here[ord(c)] = kind
-    odd = sorted({c for c in points if here[c] != kinds[c] or chr(c).isalpha() != (kinds[c] == 1)} | set(lower))
-    runs: list[list[int]] = []
-    for c in odd:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
+    patterns = [(kind, tokenizers.pre_tokenizers.Split(tokenizers.Regex(p), "removed", invert=True), regex.compile(p)) for kind, p in ((1, r"\p{L}+"), (2, r"\p{N}+"))]
+    for start in range(0, 0x110000, 0x1000):  # a block at a time, as the driver has little memory to spare
+        points = [c for c in range(start, start + 0x1000) if not 0xD800 <= c < 0xE000]
+        every, here = "".join(map(chr, points)), {}
+        for kind, split, pattern in patterns:
+            for piece, _ in split.pre_tokenize_str(every):
+                for c in piece:
+                    kinds[ord(c)] = kind
+            for m in pattern.finditer(every):
+                here |= dict.fromkeys(map(ord, m[0]), kind)
+        lower |= {c: x for c in points if not (c < 128 or unicodedata.category(chr(c)) in ("Lo", "Mn")) and (x := small.normalize_str(chr(c))) != chr(c).lower()}
+        for c in points:
+            if here.get(c, 0) != kinds[c] or chr(c).isalpha() != (kinds[c] == 1) or c in lower:
+                if runs and runs[-1][1] == c - 1:
+                    runs[-1][1] = c
+                else:
+                    runs.append([c, c])
     return Characters(bytes(kinds), lower, "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
 
 

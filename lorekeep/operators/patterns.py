@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import retrieval
+
 
 class AhoCorasick:
     def __init__(self, words: list[str]) -> None:
@@ -98,13 +100,17 @@ def search_words(docs: DataFrame, queries: DataFrame, mode: str = "all", limit:
 
 
 def trigram_index(docs: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
-    """(gram, key, places): places in code points, from 0; to be stored by range of (gram, key)."""
+    """(gram, key, places): places in code points, from 0; to be stored sorted by (gram, key)."""
     letters = F.regexp_extract_all(F.lower(body), F.lit("(?s)."), F.lit(0))  # a substring by place would be looked for from the beginning each time
     held = docs.select(key, letters.alias("letters")).where(F.size("letters") >= 3)
-    at = F.sequence(F.lit(0), F.size("letters") - 3)
-    grams = F.transform(at, lambda i: F.struct(i.alias("place"), F.concat(F.get("letters", i), F.get("letters", i + 1), F.get("letters", i + 2)).alias("gram")))
-    rows = held.select(key, F.explode(grams).alias("x")).select(key, "x.place", "x.gram")
-    return rows.groupBy("gram", key).agg(F.sort_array(F.collect_list("place")).alias("places"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("letters") - 3), lambda i: F.concat(F.get("letters", i), F.get("letters", i + 1), F.get("letters", i + 2)))
+    single, shared = retrieval.split_repeated(held, (key,))
+    # Each row's places are gathered in the row; only rows that share a key are grouped.
+    rows = retrieval.places(single, grams).select("x.term", key, "x.positions").toDF("gram", key, "places")
+    if shared is None:
+        return rows
+    again = shared.select(key, F.posexplode(grams).alias("place", "gram"))
+    return rows.unionByName(again.groupBy("gram", key).agg(F.sort_array(F.collect_list("place")).alias("places")))
 
 
 def _less(offset: int):

@@ -72,11 +72,11 @@ class SegmentedIndex:
         return self._publish(Version(now.number + 1, batch, [*now.segments, name]))
 
     def _write(self, name: str, tf: DataFrame, docs: DataFrame, dead: DataFrame, postings: DataFrame, lengths: DataFrame) -> None:
-        self._store(name, "tf", tf.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"))
+        self._store(name, "tf", tf.sortWithinPartitions("term", "doc"))
         self._store(name, "terms", self._of(name, "tf").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
         self._store(name, "docs", docs)
         self._store(name, "dead", dead)
-        self._store(name, "postings", postings.repartitionByRange("term", "path", "chunk_index").sortWithinPartitions("term", "path", "chunk_index"))
+        self._store(name, "postings", postings.sortWithinPartitions("term", "path", "chunk_index"))
         self._store(name, "lengths", lengths)
 
     def _store(self, segment: str, table: str, df: DataFrame) -> None:

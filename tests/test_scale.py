@@ -60,3 +60,17 @@ def test_relevant_by_group_as_by_pairs(spark):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.drop("missed").collect()), key=str)
         missed = sorted((r.query_id, int(p)) for r in want.collect() for p in r.missed)
         assert sorted(map(tuple, evaluate.missed_by_group(run, members, queries, k).collect())) == missed
+
+
+def test_terms_are_counted_and_placed_in_the_row(spark):
+    rows = [(1, "beta alpha beta"), (2, ""), (3, None), (4, "alpha"), (4, "alpha gamma alpha"), (None, "beta beta"), (5, "Öl öl-ol")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = retrieval.term_counts(docs, "doc_id", "text")
+    assert sorted(map(tuple, counted.collect()), key=str) == sorted([(1, "beta", 2), (1, "alpha", 1), (4, "alpha", 3), (4, "gamma", 1), (None, "beta", 2), (5, "öl", 1), (5, "öl-ol", 1)], key=str)
+    postings, lengths = retrieval.bm25_index(docs.withColumnRenamed("text", "content"), ("doc_id",), ("content",))
+    got = sorted(((r.doc_id, r.term, list(r.positions)) for r in postings.collect()), key=str)
+    assert got == sorted([(1, "alpha", [1]), (1, "beta", [0, 2]), (4, "alpha", [0, 0, 2]), (4, "gamma", [1]), (None, "beta", [0, 1]), (5, "ol", [0, 1, 2])], key=str)
+    assert sorted(map(tuple, lengths.collect()), key=str) == sorted([(1, 4), (2, 1), (3, 1), (4, 5), (None, 3), (5, 4)], key=str)
+    # Without repeated keys nothing is shuffled.
+    single = docs.where("doc_id <> 4")
+    assert "Exchange" not in plan(retrieval.term_counts(single, "doc_id", "text")) and "Exchange" not in plan(retrieval.bm25_index(single.withColumnRenamed("text", "content"), ("doc_id",), ("content",))[0])

@@ -322,9 +322,11 @@ def _unpacked(data: bytes) -> np.ndarray:
 def _gram(rows: np.ndarray, cols: np.ndarray, n_rows: int, cut: int) -> np.ndarray:
     """How many columns each of the first ``cut`` rows shares with each of the others (of all, if cut is n_rows): a sum of matrix products over strips of columns."""
     out = np.zeros((cut, n_rows - cut if cut < n_rows else n_rows), dtype=np.float64)
+    if not len(cols):  # members that have nothing besides the reference
+        return out
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
-    first = np.flatnonzero(np.concatenate([[True], cols[1:] != cols[:-1]])) if len(cols) else cols
+    first = np.flatnonzero(np.concatenate([[True], cols[1:] != cols[:-1]]))
     length = np.diff(np.append(first, len(cols)))
     several = np.repeat(length > 1, length)  # a column of one row is shared by none
     rows, cols = rows[several], cols[several]

@@ -53,6 +53,18 @@ def test_jaccard_join(spark, seed, blocks):
     assert got == {i: (*x, links[i]) for i, x in brute.jaccard_components(rows).items()} and max(links.values()) > 2
 
 
+def test_jaccard_of_texts_that_one_text_holds(spark):
+    """Members of a family that have no shingle besides the reference's, and are too far from it for its answers to settle them."""
+    rows = []
+    for g in range(12):
+        words = [f"w{g}x{i}" for i in range(44)]
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((words, words[:34], words[4:38]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in shingle_join.join(df)[0].collect()}
+    links = link_numbers(rows)
+    assert got == {i: (*x, links[i]) for i, x in brute.jaccard_components(rows).items()} and set(links.values()) == {2}
+
+
 def link_numbers(rows):
     sets = {i: brute.shingle_set(t) for i, t in rows}
     linked = lambda a, b: a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])

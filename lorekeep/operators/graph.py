@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_folder, stored
+from ..session import stored
 
 
 def graph_edges(links: DataFrame, notes: DataFrame) -> DataFrame:
@@ -96,9 +96,11 @@ def communities_by_moves(graph: DataFrame, most_rounds: int = 20, patience: int
     weight a loop), until a level does not raise modularity.  Moves that are made at the same time see the totals of before, which costs some of the gain;
     the further levels make up for it.
 
-    A round is a few equi-joins and grouped sums that combine before the shuffle; a hub is one row for each community around it."""
-    home = stored(degrees(graph).select("node", F.col("node").alias("community")), "moves-home")
-    reached, level = -1.0, graph.select("src", "dst", "weight")
+    A round is a few equi-joins and grouped sums that combine before the shuffle; a hub is one row for each community around it.
+    What ``graph`` is made of is read once: all rounds start from the stored edges."""
+    level = stored(graph.select("src", "dst", "weight"), "moves-graph")
+    home = stored(degrees(level).select("node", F.col("node").alias("community")), "moves-home")
+    reached = -1.0
     for _ in range(most_levels):
         labels, value = _moves(level, most_rounds, patience)
         if value <= reached + 1e-9:
@@ -114,32 +116,37 @@ def communities_by_moves(graph: DataFrame, most_rounds: int = 20, patience: int
 
 
 def _moves(graph: DataFrame, most_rounds: int, patience: int) -> tuple[DataFrame, float]:
-    """The labels of the best round, and their modularity."""
+    """The labels of the best round, and their modularity, which is summed up from what each round looks at anyway."""
     labels = stored(degrees(graph).select("node", F.col("node").alias("community"), "degree"), "moves-labels")
     m2 = float(labels.agg(F.sum("degree")).first()[0] or 1)
-    best, best_value, still = labels, modularity(graph, labels).first()[0], 0
+    loops = graph.where("src = dst").agg(F.sum("weight")).first()[0] or 0
+    best, best_value, still = labels, 0.0, 0
     apart = graph.where("src <> dst")
-    for number in range(most_rounds):
+    for number in range(most_rounds + 1):
         total = labels.groupBy("community").agg(F.sum("degree").alias("total"))
         around = apart.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
         own = labels.select("node", "community", F.lit(0).cast("long").alias("w"))
         options = around.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).join(total, "community").join(labels.withColumnRenamed("community", "home"), "node")
         stays = F.col("community") == F.col("home")
         gain = F.col("w") - (F.col("total") - F.when(stays, F.col("degree")).otherwise(0)) * F.col("degree") / m2
-        judged = options.withColumn("gain", gain).groupBy("node").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", stays, F.col("community"))).alias("to"), F.max(F.when(stays, F.col("gain"))).alias("now"))
-        wish = stored(judged.where(F.col("to.gain") > F.col("now") + 1e-12).select("node", F.col("to.community").alias("target")), "moves-wishes")
-        if not wish.limit(1).count():
-            break
-        place = lambda c: F.struct(F.xxhash64(c, F.lit(number)), c)  # noqa: E731, B023
-        ahead = apart.join(wish.select(F.col("node").alias("src")), "src").join(wish.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.max(place(F.col("dst"))).alias("rival"))
-        moves = wish.join(ahead, "node", "left").where(F.col("rival").isNull() | (place(F.col("node")) > F.col("rival"))).select("node", "target")
-        labels = stored(labels.join(moves, "node", "left").select("node", F.coalesce("target", "community").alias("community"), "degree"), "moves-labels")
-        value = modularity(graph, labels).first()[0]
-        still = 0 if value > best_value + 1e-9 else still + 1
+        judged = options.withColumn("gain", gain).groupBy("node").agg(
+            F.max_by(F.struct("community", "gain"), F.struct("gain", stays, F.col("community"))).alias("to"), F.max(F.when(stays, F.col("gain"))).alias("now"),
+            F.max("home").alias("home"), F.max("degree").alias("degree"), F.max(F.when(stays, F.col("w"))).alias("inner"),
+        )
+        judged = stored(judged.select("node", "home", "degree", "inner", F.when(F.col("to.gain") > F.col("now") + 1e-12, F.col("to.community")).alias("target")), "moves-judged")
+        per = judged.groupBy("home").agg(F.sum("inner").alias("inner"), F.pow(F.sum("degree") / m2, F.lit(2.0)).alias("square"), F.count("target").alias("wishes"))
+        inner, squares, wishes = per.agg(F.sum("inner"), F.sum("square"), F.sum("wishes")).first()
+        value = ((inner or 0) + loops) / m2 - (squares or 0.0)
+        still = 0 if not number or value > best_value + 1e-9 else still + 1
         if not still:
             best, best_value = labels, value
-        elif still >= patience:
+        if still >= max(1, patience) or not wishes or number == most_rounds:
             break
+        wish = judged.where("target is not null").select("node", "target")
+        place = lambda c: F.struct(F.xxhash64(c, F.lit(number)), c)  # noqa: E731, B023
+        ahead = apart.join(wish.select(F.col("node").alias("src")), "src").join(wish.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.max(place(F.col("dst"))).alias("rival"))
+        moves = wish.join(ahead, "node", "left").where(F.col("rival").isNull() | (place(F.col("node")) > F.col("rival"))).select("node", F.col("target").alias("moved"))
+        labels = stored(judged.join(moves, "node", "left").select("node", F.coalesce("moved", "home").alias("community"), "degree"), "moves-labels")
     return best, best_value
 
 
@@ -147,8 +154,8 @@ def communities(graph: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, community): each node takes the label with most weight around it, smallest on ties; label names are node names.
 
     Without ``rounds`` it goes on until labels stop changing or come back after two rounds, as they do on any graph with equal weights both ways."""
+    graph = stored(graph.select("src", "dst", "weight"), "graph")  # made once, not in each round
     labels = graph.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    checkpoint_folder(graph.sparkSession)
     past: list[DataFrame] = [labels]
     done = 0
     while rounds is None or done < rounds:

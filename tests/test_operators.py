@@ -281,6 +281,20 @@ def test_moves_on_tables_come_near_the_sequential_pass(spark):
     assert graph.communities_by_moves(g.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("spread", [graph.communities_by_moves, graph.communities])
+def test_rounds_of_communities_read_the_source_once(spark, spread):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    edges = [(f"n{c:02}{a}", f"n{c:02}{b}") for c in range(6) for a in range(5) for b in range(a)] + [(f"n{c:02}0", f"n{(c + 1) % 6:02}1") for c in range(6)]
+    g = graph.undirected(spark.createDataFrame(edges, "src string, dst string")).select("src", "dst", "weight").mapInPandas(count, "src string, dst string, weight long")
+    assert spread(g).count() == 30 and read.value == 2 * len(edges)
+
+
 def test_many_notes_of_one_name_are_resolved_without_their_product(spark):
     n = 3000
     notes = spark.range(n).select(F.format_string("d%04d/index.md", "id").alias("path"), F.col("id").alias("scan_ord"))

@@ -50,6 +50,8 @@ MIN_WORDS = 50
 GRAM = 10
 #: Frames of a class.
 STEP = 10
+#: Rows of a batch that are worked on at a time.
+SLICE = 1024
 #: Keys from here on stand for rows without a doc_id.
 NAMELESS = 1 << 62
 TAIL = np.zeros(256, dtype=bool)
@@ -67,7 +69,7 @@ def _slide(a: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
 
 
 def minimisers(word: np.ndarray, ptr: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the retained suffixes and the hashes of their first words."""
+    """Places of the retained suffixes and the hashes of their first words, mixed anew: as the least of their windows they are all small, and would share a small part of a bitmap."""
     width = min_words - GRAM + 1
     n = len(word)
     if n < min_words:
@@ -79,7 +81,7 @@ def minimisers(word: np.ndarray, ptr: np.ndarray, min_words: int = MIN_WORDS) ->
     least = np.where(whole, least, K.U64(0))
     padded = np.concatenate([np.zeros(width - 1, K.U64), least, np.zeros(width - 1, K.U64)])
     places = np.flatnonzero(_slide(padded, width, np.maximum)[: len(gram)] == gram)
-    return places, gram[places]
+    return places, K.mix64(gram[places])
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +138,19 @@ class _Steps:
 
 
 def _texts(batch: pa.RecordBatch, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For blocks of the rows whose bit is in ``keep``: keys, text hashes, bytes, row offsets; word hashes, starts, ends and row pointers.  Of a text that the batch has twice only the least key."""
-    batch = batch.filter(pa.array(bitmaps.among(keep, batch.column("row").to_numpy().view(K.U64))))
-    key, t = batch.column("key").to_numpy(), batch.column("t").to_numpy()
-    order = np.lexsort((key, t))
-    _, first = np.unique(t[order], return_index=True)
-    batch = batch.take(pa.array(np.sort(order[first])))
-    key, t = batch.column("key").to_numpy(), batch.column("t").to_numpy()
-    data, off = K.utf8(batch.column("text"))
-    for lo, hi in K.blocks(off):
-        own, ends = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-        yield key[lo:hi], t[lo:hi], own, ends, *K.words(own, ends)
+    """For blocks of the rows whose bit is in ``keep``: keys, text hashes, bytes, row offsets; word hashes, starts, ends and row pointers.  Of a text that a slice has twice only the least key."""
+    for at in range(0, len(batch), SLICE):  # copied a slice at a time, not the batch
+        part = batch.slice(at, SLICE)
+        part = part.filter(pa.array(bitmaps.among(keep, part.column("row").to_numpy().view(K.U64))))
+        key, t = part.column("key").to_numpy(), part.column("t").to_numpy()
+        order = np.lexsort((key, t))
+        _, first = np.unique(t[order], return_index=True)
+        part = part.take(pa.array(np.sort(order[first])))
+        key, t = part.column("key").to_numpy(), part.column("t").to_numpy()
+        data, off = K.utf8(part.column("text"))
+        for lo, hi in K.blocks(off):
+            own, ends = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            yield key[lo:hi], t[lo:hi], own, ends, *K.words(own, ends)
 
 
 def _grams(keep, min_words: int):

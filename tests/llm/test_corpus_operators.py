@@ -295,3 +295,12 @@ def best_states(field, features):
     for g in emit[1:]:
         paths = [max(((w + move[p[-1]][s] + g[s], [*p, s]) for w, p in paths), key=lambda x: x[0]) for s in (0, 1)]
     return max(paths, key=lambda x: x[0])[1] if paths else []
+
+
+def test_suffix_hashes_use_the_whole_bitmap():
+    """The retained suffixes have the least hashes of their windows, so these crowded into a small part of the bitmap and most bits of it were found set."""
+    import numpy as np
+
+    words = np.random.default_rng(5).integers(0, 1 << 63, 200_000).astype(np.uint64)
+    _, hashes = suffix_dedup.minimisers(words, np.array([0, len(words)]))
+    assert len(hashes) > 5_000 and 0.45 < float((hashes >> np.uint64(63)).mean()) < 0.55

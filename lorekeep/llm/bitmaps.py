@@ -8,6 +8,7 @@ Defined results: no hashes give a bitmap without a bit; repeated hashes set a bi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,21 +55,22 @@ def paged(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, bits): a bitmap of the places that occur twice or more; all rows of a page are in one partition, as counts of fixed size."""
+    """(page, bits): a bitmap, packed by zlib, of the places that occur twice or more; pages without such a place have no row.  All rows of a page are in one partition, as counts of fixed size."""
     seen: dict[int, np.ndarray] = {}
     for b in batches:
         for page, bits in zip(b.column("page").to_pylist(), b.column("bits").to_pylist(), strict=True):
             own = seen.setdefault(page, np.zeros(1 << 16, dtype=np.uint8))
             own[:] = np.minimum(own + np.minimum(np.bincount(np.frombuffer(bits, "<u2"), minlength=1 << 16), 2).astype(np.uint8), 2)
     for page, own in seen.items():
-        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([np.packbits(own == 2, bitorder="little").tobytes()], pa.binary())], names=["page", "bits"])
+        if (own == 2).any():
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([zlib.compress(np.packbits(own == 2, bitorder="little").tobytes(), 1)], pa.binary())], names=["page", "bits"])
 
 
 def twice(pages: DataFrame) -> np.ndarray:
     """The bitmap of what occurs twice, from rows of ``paged``."""
     out = np.zeros(PAGES << 13, dtype=np.uint8)
     for r in pages.repartition(min(PAGES, partitions(pages.sparkSession)), "page").mapInArrow(_twice, PAGED).collect():
-        out[r.page << 13 : (r.page + 1) << 13] = np.frombuffer(r.bits, dtype=np.uint8)
+        out[r.page << 13 : (r.page + 1) << 13] = np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8)
     return out
 
 

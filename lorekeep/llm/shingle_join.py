@@ -220,29 +220,32 @@ def families(index: DataFrame) -> DataFrame:
     return under.withColumn("t", F.sum("c").over(Window.partitionBy("id"))).where("reach is not null").select("lead", "id", "n", "t", "reach")
 
 
-def in_blocks(members: DataFrame, block: int, tokens: int | None = None) -> DataFrame:
-    """``members`` (lead, id, n, reach, ...) once for each pair (x, y) of blocks of their family that may hold a link, with ``side``: 0 in x, 1 in y, 0 if both are one.
+def in_blocks(members: DataFrame, block: int, tokens: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """``members`` (lead, id, n, reach, ...) once for each pair (x, y) of blocks of their family that may hold a link, with ``side``: 0 in x, 1 in y, 0 if both are one;
+    and the small tables to discard when that is stored.
 
-    The blocks of a family follow the sizes of its sets; one size with many sets is cut by hash.  Pairs of blocks whose sizes and reach cannot fit are skipped."""
-    sizes = members.groupBy("lead", "n").agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.partitionBy("lead").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    The blocks of a family follow the sizes of its sets; one size with many sets is cut by hash.  Pairs of blocks whose sizes and reach cannot fit are skipped.
+    What is known of the families of several blocks is stored before it is joined: as one plan it would be made over and over for each of its uses."""
     weight = F.lit(1.0 / block)
     if tokens:
         weight = F.greatest(weight, F.col("n") / F.lit(float(tokens)))  # of one set, as a share of a block
-        before = F.sum(F.col("c") * weight).over(Window.partitionBy("lead").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c") * weight
-    else:
-        before = before * weight
-    cuts = sizes.select("lead", "n", F.floor(before).alias("at"), F.greatest(F.lit(1), F.ceil(F.col("c") * weight)).cast("int").alias("parts"))
-    large = cuts.groupBy("lead").agg(F.max(F.col("at") + F.col("parts")).alias("n_blocks")).where("n_blocks > 1").select("lead")
-    cuts = cuts.join(large, "lead", "left_semi")
-    placed = members.join(cuts, ["lead", "n"], "left").withColumn("block", F.when(F.col("at").isNull(), F.lit(0).cast("long")).otherwise(F.col("at") * (1 << 24) + F.pmod(F.xxhash64("id"), F.col("parts")))).drop("at", "parts")
-    bounds = placed.where("block is not null").join(large, "lead", "left_semi").groupBy("lead", "block").agg(F.min("n").alias("small"), F.max("n").alias("big"), F.max("reach").alias("most"))
+    share = F.col("c") * weight
+    family = Window.partitionBy("lead")
+    before = F.sum(share).over(family.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - share
+    sizes = members.groupBy("lead", "n").agg(F.count(F.lit(1)).alias("c"))
+    cuts = sizes.select("lead", "n", F.floor(before).alias("at"), F.greatest(F.lit(1), F.ceil(share)).cast("int").alias("parts"))
+    # Families of several blocks only: a member without a row here is in the one block of its family.
+    cuts = cuts.withColumn("n_blocks", F.max(F.col("at") + F.col("parts")).over(family)).where("n_blocks > 1")
+    cuts = stored(cuts.select("lead", "n", "at", "parts"), "cuts")
+    placed = members.join(cuts, ["lead", "n"]).withColumn("block", F.col("at") * (1 << 24) + F.pmod(F.xxhash64("id"), F.col("parts"))).drop("at", "parts")
+    bounds = stored(placed.groupBy("lead", "block").agg(F.min("n").alias("small"), F.max("n").alias("big"), F.max("reach").alias("most")), "bounds")
     a, b = [bounds.select("lead", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "small", "big", "most")]) for k in "xy"]
     met = a.join(b, "lead").where("block_x <= block_y and small_x <= most_y and small_y <= most_x").select("lead", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
     # Each block with the pairs it is in: (lead, block, x, y, side); a family of one block has no row here.
-    places = met.select("lead", F.col("x").alias("block"), "x", "y", F.lit(0).alias("side")).unionByName(met.where("x < y").select("lead", F.col("y").alias("block"), "x", "y", F.lit(1).alias("side")))
-    alone = placed.join(large, "lead", "left_anti").withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "side": F.lit(0)}).drop("block")
-    return alone.unionByName(placed.join(places, ["lead", "block"]).drop("block").select(*alone.columns))
+    sides = F.when(F.col("x") < F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side"))))
+    places = met.select("lead", "x", "y", F.explode(sides).alias("place")).select("lead", "place.block", "x", "y", "place.side")
+    alone = members.join(cuts.select("lead", "n"), ["lead", "n"], "left_anti").withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "side": F.lit(0)})
+    return alone.unionByName(placed.join(places, ["lead", "block"]).drop("block").select(*alone.columns)), [cuts, bounds]
 
 
 def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -473,9 +476,10 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, meta_block
     under = stored(families(index), "families")
     discard(rows)
     # Sizes and reach first: only members with a possible partner go on.
-    met = by_groups(in_blocks(under, meta_block), ["lead", "x", "y"], _partners(percent), "lead long, id long, n long, t long")
+    blocks, small = in_blocks(under, meta_block)
+    met = by_groups(blocks, ["lead", "x", "y"], _partners(percent), "lead long, id long, n long, t long")
     chosen = stored(met.distinct(), "chosen")
-    discard(under)
+    discard(under, *small)
     # One row of each chosen set is read again: that of its node.
     texts = sizes.where("n > 0").join(chosen.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi").join(same.select("h1", "h2", "node"), ["h1", "h2"], "left").where("node is null or node = key")
     wanted = spark.sparkContext.broadcast(bitmaps.bitmap(texts.select(F.xxhash64("t1", "doc_id").alias("row")), "row", MAP_BITS))
@@ -483,12 +487,13 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, meta_block
     # Grouped by the hash that the join is on, so that the sets are dealt once.
     sets = found.groupBy("h1").agg(F.min("key").alias("key"), F.first("tokens").alias("tokens"))
     leads = chosen.groupBy("id").agg(F.collect_list("lead").alias("leads"))
-    blocks = in_blocks(chosen.withColumn("reach", F.floor(100 * F.col("n") / percent)), block, BLOCK_TOKENS)
+    blocks, small = in_blocks(chosen.withColumn("reach", F.floor(100 * F.col("n") / percent)), block, BLOCK_TOKENS)
     places = blocks.groupBy("id").agg(F.collect_list(F.struct("lead", "x", "y", "side", "n", "t")).alias("places")).join(leads, "id")
     weights = same.select(F.col("h1").alias("id"), F.col("w").alias("copies"))
     places = places.join(weights, "id", "left").withColumn("w", F.coalesce("copies", F.lit(1)).cast("long")).drop("copies")
     ready = sets.withColumnRenamed("h1", "id").join(places, "id").select("id", "key", "w", "leads", "tokens", F.explode("places").alias("place")).select("id", "key", "w", "leads", "tokens", "place.*")
     answers = stored(by_groups(ready, ["lead", "x", "y"], _links(percent), "id long, h1 long, links long, other long"), "answers")
+    discard(*small)
     edges = answers.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"))
     # Rows that share a doc_id but not the set connect their nodes.
     several = named.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")

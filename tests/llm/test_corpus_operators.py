@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import line_dedup, shingle_join, source_mixing, suffix_dedup
+from lorekeep.llm import bitmaps, line_dedup, shingle_join, source_mixing, suffix_dedup
 from lorekeep.llm.components import components
 from tests.compare import assert_same
 from tests.llm import brute
@@ -304,3 +304,26 @@ def test_suffix_hashes_use_the_whole_bitmap():
     words = np.random.default_rng(5).integers(0, 1 << 63, 200_000).astype(np.uint64)
     _, hashes = suffix_dedup.minimisers(words, np.array([0, len(words)]))
     assert len(hashes) > 5_000 and 0.45 < float((hashes >> np.uint64(63)).mean()) < 0.55
+
+
+def test_pairs_of_blocks_are_planned_once(spark, capsys):
+    """As one plan the cuts of the families were made anew for each of their uses, which cost the driver memory."""
+    rows = [(f, f * 100 + i, 10 + i % 3, 40) for f, size in ((1, 9), (2, 2)) for i in range(size)]
+    found = shingle_join.in_blocks(spark.createDataFrame(rows, "lead long, id long, n long, reach long"), 4)
+    blocks = found[0] if isinstance(found, tuple) else found
+    capsys.readouterr()
+    blocks.explain()
+    assert capsys.readouterr().out.count("Exchange ") <= 12
+    got = [tuple(r) for r in blocks.select("lead", "id", "x", "y", "side").collect()]
+    assert sorted(r[1] for r in got if r[0] == 2) == [200, 201]
+    pairs = {frozenset((a[1], b[1])) for a in got for b in got if a[0] == b[0] == 1 and a[2:4] == b[2:4] and (a[4] != b[4] or a[2] == a[3])}
+    assert {frozenset((100 + i, 100 + j)) for i in range(9) for j in range(i)} <= pairs
+
+
+def test_pages_of_bitmaps_travel_packed():
+    """Pages without a place that occurs twice went to the driver too, and all of them at their full size."""
+    import numpy as np
+
+    places = np.array([5, 5, 9, (3 << 16) + 1], dtype=np.uint64) << np.uint64(64 - bitmaps.BITS)
+    sent = [(page, bits) for b in bitmaps._twice(bitmaps.paged(iter([places]))) for page, bits in zip(b.column("page").to_pylist(), b.column("bits").to_pylist(), strict=True)]
+    assert [page for page, _ in sent] == [0] and len(sent[0][1]) < 200

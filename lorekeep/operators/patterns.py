@@ -3,8 +3,8 @@
 ``AhoCorasick`` counts every occurrence of hundreds of words, overlapping ones too, in one pass over each text, whatever the words have in
 common.  The automaton is built on the driver from the words (its size is bounded by their letters) and broadcast.
 
-The trigram index has, for every three letters in a row, the places where they stand in each text.  A substring search intersects the
-places of the query's trigrams, shifted by their offsets: what is left are the places of the substring.  Queries of fewer than three letters are answered by a
+The trigram index has, for every three letters in a row, the keys of the texts that hold them.  A substring search intersects the
+keys of the query's trigrams and looks for the substring in the texts that are left.  Queries of fewer than three letters are answered by a
 scan.  Texts are lower-cased; null and empty texts and words are in no result.
 """
 
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import retrieval
+from ..session import stored
+from . import text_blocks
 
 
 class AhoCorasick:
@@ -100,38 +101,23 @@ def search_words(docs: DataFrame, queries: DataFrame, mode: str = "all", limit:
 
 
 def trigram_index(docs: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
-    """(gram, key, places): places in code points, from 0; to be stored sorted by (gram, key)."""
-    letters = F.regexp_extract_all(F.lower(body), F.lit("(?s)."), F.lit(0))  # a substring by place would be looked for from the beginning each time
-    held = docs.select(key, letters.alias("letters")).where(F.size("letters") >= 3)
-    grams = F.transform(F.sequence(F.lit(0), F.size("letters") - 3), lambda i: F.concat(F.get("letters", i), F.get("letters", i + 1), F.get("letters", i + 2)))
-    single, shared = retrieval.split_repeated(held, (key,))
-    # Each row's places are gathered in the row; only rows that share a key are grouped.
-    rows = retrieval.places(single, grams).select("x.term", key, "x.positions").toDF("gram", key, "places")
-    if shared is None:
-        return rows
-    again = shared.select(key, F.posexplode(grams).alias("place", "gram"))
-    return rows.unionByName(again.groupBy("gram", key).agg(F.sort_array(F.collect_list("place")).alias("places")))
+    """(gram, keys): the keys of the texts that hold a gram, one row a gram and slice of texts; to be stored as it comes, sorted by gram in each slice."""
+    return text_blocks.grams(docs, key, body)
 
 
-def _less(offset: int):
-    """For ``transform``, which hands a second argument its own meaning."""
-    return lambda p: p - offset
+def trigram_search(index: DataFrame, docs: DataFrame, query: str, key: str = "path", body: str = "body", most_sent: int = 1_000_000) -> DataFrame:
+    """(key, places) of all texts that hold ``query``, ignoring case; a row for each text, whatever keys they share.
 
-
-def trigram_search(index: DataFrame, docs: DataFrame, query: str, key: str = "path", body: str = "body") -> DataFrame:
-    """(key, places) of all texts that hold ``query``, ignoring case.
-
-    Grams that overlap by two letters say the same twice, so every third one and the last are taken; the rarest are not known in advance, and Spark's adaptive joins
-    start from what is left."""
+    Grams that overlap by two letters say the same twice, so every third one and the last are taken.  Texts that have all of them are looked through;
+    up to ``most_sent`` of their keys are sent to where the texts are, more are joined as any table."""
     low = query.lower()
     if not low:
         return docs.limit(0).select(key, F.array().cast("array<int>").alias("places"))
     if len(low) < 3:
-        at = F.filter(F.sequence(F.lit(0), F.length(body)), lambda i: F.substring(F.lower(body), i + 1, F.lit(len(low))) == low)
-        return docs.where(F.lower(body).contains(low)).select(key, at.alias("places"))
-    offsets = sorted({*range(0, len(low) - 2, 3), len(low) - 3})
-    found = None
-    for o in offsets:
-        rows = index.where(F.col("gram") == low[o : o + 3]).select(key, F.transform("places", _less(o)).alias("here"))
-        found = rows.withColumnRenamed("here", "places") if found is None else found.join(rows, key).select(key, F.array_intersect("places", "here").alias("places")).where(F.size("places") > 0)
-    return found.select(key, F.sort_array("places").alias("places"))
+        return text_blocks.places(docs, low, key, body)
+    grams = sorted({low[o : o + 3] for o in (*range(0, len(low) - 2, 3), len(low) - 3)})
+    held = index.where(F.col("gram").isin(grams)).select("gram", F.explode("keys").alias("held"))
+    found = stored(held.groupBy("held").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("held"), "trigram-found")
+    few = F.broadcast(found) if found.count() <= most_sent else found
+    kept = docs.select(key, body).join(few, F.col(key).eqNullSafe(F.col("held")), "left_semi")
+    return text_blocks.places(kept, low, key, body)

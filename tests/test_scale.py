@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import scalars as X
-from lorekeep.operators import evaluate, retrieval
+from lorekeep.operators import evaluate, patterns, retrieval
 from lorekeep.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,25 @@ def test_terms_are_counted_and_placed_in_the_row(spark):
     # Without repeated keys nothing is shuffled.
     single = docs.where("doc_id <> 4")
     assert "Exchange" not in plan(retrieval.term_counts(single, "doc_id", "text")) and "Exchange" not in plan(retrieval.bm25_index(single.withColumnRenamed("text", "content"), ("doc_id",), ("content",))[0])
+
+
+def test_trigram_index_has_a_row_for_each_gram_of_a_slice_and_finds_each_text(spark):
+    long = "x" * 300 + "ab" * 2000 + "\0c\0" + "漢字かな" + "ẞtraße"
+    rows = [(1, "abcd abcd"), (1, "xabcd"), (None, "ABCD"), (2, None), (3, "ab"), (4, ""), (5, long), *((100 + i, f"abcd {i:03}") for i in range(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = patterns.trigram_index(docs, "doc_id", "text").cache()
+    held = {}
+    for r in index.collect():
+        held.setdefault(r.gram, []).extend(r["keys"])
+    want = {}
+    for k, t in rows:
+        low = (t or "").lower()
+        for gram in {low[i : i + 3] for i in range(len(low) - 2)}:
+            want.setdefault(gram, []).append(k)
+    order = lambda d: {g: sorted(ks, key=str) for g, ks in d.items()}
+    assert order(held) == order(want) and index.count() == len(want)
+    for most_sent in (0, 1_000_000):
+        for q in ("abcd", "Abcd 0", "\0c", "字か", "ßE", "babab"):
+            low = q.lower()
+            found = sorted(((k, at) for k, t in rows if (at := [i for i in range(len(t or "")) if t.lower().startswith(low, i)])), key=str)
+            assert sorted(((r.doc_id, list(r.places)) for r in patterns.trigram_search(index, docs, q, "doc_id", "text", most_sent).collect()), key=str) == found, q

@@ -20,10 +20,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import retrieval
 from .index_store import CosineIndex, WordIndex
 
 COLUMNS = ("content", "title", "aliases")
+MOST_SENT = 2_000_000
 
 
 @dataclass
@@ -34,10 +36,14 @@ class Version:
 
 
 class SegmentedIndex:
-    """An index folder.  Paths are of type ``kind``; chunk rows have (path, chunk_index) and the text columns."""
+    """An index folder.  Paths are of type ``kind``; chunk rows have (path, chunk_index) and the text columns.
 
-    def __init__(self, spark: SparkSession, folder: str, kind: str = "string", columns: tuple[str, ...] = COLUMNS) -> None:
+    An index may keep the half for ``weights`` (cosine ranking) or for ``words`` (BM25) only; it then answers nothing that needs the other."""
+
+    def __init__(self, spark: SparkSession, folder: str, kind: str = "string", columns: tuple[str, ...] = COLUMNS, keeps: tuple[str, ...] = ("weights", "words")) -> None:
+        self.keeps = keeps
         self.spark, self.folder, self.columns = spark, folder.rstrip("/"), columns
+        self._known: list[list[str]] = []
         self.schemas = {
             "tf": f"doc {kind}, term string, tf long", "terms": "term string, df long", "docs": f"doc {kind}", "dead": f"doc {kind}", "lengths": f"path {kind}, chunk_index int, length long",
             "postings": f"path {kind}, chunk_index int, column string, term string, positions array<int>",
@@ -66,18 +72,25 @@ class SegmentedIndex:
         if batch <= now.batch:
             return now
         name = f"segment-{batch}-{uuid.uuid4().hex}"
-        postings, lengths = retrieval.bm25_index(chunks, ("path", "chunk_index"), self.columns)
+        postings, lengths = retrieval.bm25_index(chunks, ("path", "chunk_index"), self.columns) if "words" in self.keeps else (None, None)
+        tf = retrieval.term_counts(bodies, "path", "body") if "weights" in self.keeps else None
         gone = bodies.select("path").unionByName(deleted.select("path")).distinct().select(F.col("path").alias("doc"))
-        self._write(name, retrieval.term_counts(bodies, "path", "body"), bodies.select(F.col("path").alias("doc")), gone, postings, lengths)
+        self._write(name, tf, bodies.select(F.col("path").alias("doc")), gone, postings, lengths)
         return self._publish(Version(now.number + 1, batch, [*now.segments, name]))
 
-    def _write(self, name: str, tf: DataFrame, docs: DataFrame, dead: DataFrame, postings: DataFrame, lengths: DataFrame) -> None:
-        self._store(name, "tf", tf.sortWithinPartitions("term", "doc"))
-        self._store(name, "terms", self._of(name, "tf").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    def _write(self, name: str, tf: DataFrame | None, docs: DataFrame, dead: DataFrame, postings: DataFrame | None, lengths: DataFrame | None) -> None:
+        if tf is not None:
+            self._store(name, "tf", tf)
+            self._store(name, "terms", self._of(name, "tf").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
         self._store(name, "docs", docs)
         self._store(name, "dead", dead)
-        self._store(name, "postings", postings.sortWithinPartitions("term", "path", "chunk_index"))
-        self._store(name, "lengths", lengths)
+        if postings is not None:
+            self._store(name, "postings", postings)
+            self._store(name, "lengths", lengths)
+
+    def _needs(self, half: str) -> None:
+        if half not in self.keeps:
+            raise ValueError(f"this index keeps no {half}")
 
     def _store(self, segment: str, table: str, df: DataFrame) -> None:
         columns = [c.split()[0] for c in self.schemas[table].split(", ")]
@@ -90,7 +103,8 @@ class SegmentedIndex:
         if len(now.segments) > 1:
             name = f"segment-{now.batch}-{uuid.uuid4().hex}"
             docs = self.live("docs", now)
-            self._write(name, self.live("tf", now), docs, docs.limit(0), self.live("postings", now), self.live("lengths", now))
+            weights, words = "weights" in self.keeps, "words" in self.keeps
+            self._write(name, self.live("tf", now) if weights else None, docs, docs.limit(0), self.live("postings", now) if words else None, self.live("lengths", now) if words else None)
             now = self._publish(Version(now.number + 1, now.batch, [name]))
         return now
 
@@ -118,8 +132,14 @@ class SegmentedIndex:
         return out
 
     def _kills(self, v: Version) -> DataFrame:
-        """(doc, since): the last segment that has the path among its dead; the first segment's dead kill nothing."""
-        return self._all("dead", v, 1).groupBy("doc").agg(F.max("at").alias("since"))
+        """(doc, since): the last segment that has the path among its dead; the first segment's dead kill nothing.
+
+        Kept for a version.  Up to ``MOST_SENT`` rows are sent to where the segments are read, so that no posting is shuffled to tell which are live."""
+        if v.segments not in self._known:
+            self._known[:] = [v.segments]
+            kills = stored(self._all("dead", v, 1).groupBy("doc").agg(F.max("at").alias("since")), "segment-kills")
+            self._killed = F.broadcast(kills) if kills.count() <= MOST_SENT else kills
+        return self._killed
 
     def live(self, table: str, v: Version | None = None) -> DataFrame:
         v = v or self.newest()
@@ -131,6 +151,7 @@ class SegmentedIndex:
 
     def document_counts(self, v: Version | None = None) -> DataFrame:
         """(term, df, idf) of the live rows, from the segments' counts and the dead rows."""
+        self._needs("weights")
         v = v or self.newest()
         added = self._all("terms", v).select("term", "df")
         dead = self._all("tf", v).join(self._kills(v), "doc").where("at < since").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -139,6 +160,7 @@ class SegmentedIndex:
         return df.select("term", "df", F.ln(1 + F.lit(float(n)) / (1 + F.col("df"))).alias("idf"))
 
     def cosine(self) -> CosineIndex:
+        self._needs("weights")
         v = self.newest()
         tf, terms, at = self.live("tf", v), self.document_counts(v), f"{self.folder}/norms-{v.number}"
         norms = retrieval.row_norms(tf, terms)
@@ -148,5 +170,6 @@ class SegmentedIndex:
         return CosineIndex(tf, terms, self.spark.read.schema(norms.schema).parquet(at))
 
     def words(self) -> WordIndex:
+        self._needs("words")
         v = self.newest()
         return WordIndex(self.live("postings", v), self.live("lengths", v), ("path", "chunk_index"))

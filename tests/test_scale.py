@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import scalars as X
-from lorekeep.operators import evaluate, patterns, retrieval
+from lorekeep.functions import text as T
+from lorekeep.operators import evaluate, patterns, retrieval, segments, text_blocks
 from lorekeep.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +97,37 @@ def test_trigram_index_has_a_row_for_each_gram_of_a_slice_and_finds_each_text(sp
             low = q.lower()
             found = sorted(((k, at) for k, t in rows if (at := [i for i in range(len(t or "")) if t.lower().startswith(low, i)])), key=str)
             assert sorted(((r.doc_id, list(r.places)) for r in patterns.trigram_search(index, docs, q, "doc_id", "text", most_sent).collect()), key=str) == found, q
+
+
+def test_blocks_cut_words_as_the_expressions_do(spark, monkeypatch):
+    odd = ["", None, "--a", "a-_b_-", "-_-", "漢字 kanaかな ไทย x", "ÄÖ łódź éx", "the THE it's 3d x" + "y" * 45, "a\0b c", "z" * 40, "ß", "Ⅷ ² ½ 𝒜𝒷 😀ok", " ", "́", "_x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(odd * 2)], "doc_id long, content string").coalesce(1)
+    words = docs.select("doc_id", F.explode(T.tfidf_tokens(F.col("content"))).alias("term")).groupBy("doc_id", "term").count()
+    full = docs.select("doc_id", F.posexplode(T.fts_tokens(F.coalesce("content", F.lit("")))).alias("pos", "term")).groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    rows = lambda df: sorted((tuple(map(str, r)) for r in df.collect()))
+    for size in (1, 30, 8 << 20):
+        monkeypatch.setattr(text_blocks, "SLICE", size)
+        assert rows(retrieval.term_counts(docs, "doc_id", "content")) == rows(words)
+        postings, lengths = retrieval.bm25_index(docs, ("doc_id",), ("content",))
+        assert rows(postings.select("doc_id", "term", "positions")) == rows(full)
+        assert {r.doc_id: r.length for r in lengths.collect()} == {r.doc_id: r.n for r in docs.select("doc_id", (F.size(T.fts_tokens(F.coalesce("content", F.lit("")))) + 1).alias("n")).collect()}
+    for df in (retrieval.term_counts(docs, "doc_id", "content"), postings, lengths):
+        assert "MapInArrow" in plan(df) and "regexp_extract_all" not in plan(df) and "Exchange" not in plan(df)
+
+
+def test_segments_are_read_without_a_shuffle_and_keep_what_is_asked_for(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "alpha beta"), ("b", "beta"), ("c", "gamma beta")], "path string, body string")
+    chunk = lambda df: df.select("path", F.lit(0).alias("chunk_index"), F.col("body").alias("content"))
+    index = segments.SegmentedIndex(spark, str(tmp_path / "w"), columns=("content",), keeps=("words",))
+    index.append(0, docs, chunk(docs), docs.limit(0))
+    index.append(1, docs.where("path = 'b'"), chunk(docs.where("path = 'b'")), docs.where("path = 'a'"))
+    assert "Exchange hash" not in plan(index.live("postings")) and "BroadcastHashJoin" in plan(index.live("postings"))
+    assert {r.path for r in index.words().search("beta", None).collect()} == {"b", "c"}
+    with pytest.raises(ValueError):
+        index.cosine()
+    assert len(index.compact().segments) == 1 and {r.path for r in index.words().search("beta", None).collect()} == {"b", "c"}
+    weights = segments.SegmentedIndex(spark, str(tmp_path / "c"), columns=("content",), keeps=("weights",))
+    weights.append(0, docs, chunk(docs), docs.limit(0))
+    assert {r.term: r.df for r in weights.document_counts().collect()} == {"alpha": 1, "beta": 3, "gamma": 1}
+    with pytest.raises(ValueError):
+        weights.words()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import scalars as X
 from lorekeep.functions import text as T
-from lorekeep.operators import evaluate, patterns, retrieval, segments, text_blocks
+from lorekeep.operators import block_max, evaluate, index_store, patterns, retrieval, segments, text_blocks
 from lorekeep.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +131,17 @@ def test_segments_are_read_without_a_shuffle_and_keep_what_is_asked_for(spark, t
     assert {r.term: r.df for r in weights.document_counts().collect()} == {"alpha": 1, "beta": 3, "gamma": 1}
     with pytest.raises(ValueError):
         weights.words()
+
+
+def test_block_scores_make_no_row_for_a_word_that_a_block_has_not(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i} common") for i in range(64)], "doc_id long, text string")
+    cosine = index_store.CosineIndex.save(docs, str(tmp_path / "c"), "doc_id", "text")
+    index = block_max.BlockIndex.save(cosine.weights(), cosine.norms.withColumnRenamed("norm", "by"), str(tmp_path / "b"), size=4)
+    asked = spark.createDataFrame([(q, f"w{q * 8 + i}") for q in range(2) for i in range(8)], "query_id int, term string")
+    queries = block_max.unit_queries(asked, cosine.terms).cache()
+    chosen = index.bounds(queries).select("query_id", "block")
+    text = plan(index.scores(queries, chosen))
+    # The words of the queries go to the postings; blocks only restrict what was found there.
+    assert "LeftSemi" in text and "BroadcastExchange" in text
+    found = sorted((r.query_id, r.doc) for r in index.scores(queries, chosen).collect())
+    assert found == [(q, q * 8 + i) for q in range(2) for i in range(8)]
